@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import outliers
+from . import mixing, outliers, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +17,20 @@ def op5_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.outlier_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op9_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op5_outlier_rules": op5_outlier_rules,
+    "op9_vector_pack": op9_vector_pack,
+    "op10_pivotal_mix": op10_pivotal_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
