@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, outliers, packing
+from . import mixing, outliers, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.outlier_rules(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op9_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_kd_shards": op1_kd_shards,
     "op5_outlier_rules": op5_outlier_rules,
     "op9_vector_pack": op9_vector_pack,
     "op10_pivotal_mix": op10_pivotal_mix,
