@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, outliers, packing, sharding
+from . import mixing, neardup, outliers, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), ngram=3, similarity=0.85)
+
+
 def op5_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.outlier_rules(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op9_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op4_minhash_join": op4_minhash_join,
     "op5_outlier_rules": op5_outlier_rules,
     "op9_vector_pack": op9_vector_pack,
     "op10_pivotal_mix": op10_pivotal_mix,
