@@ -7,15 +7,15 @@ left, each resource weighed by its total demand, until none fits. Buckets of pie
 
 Defined results: a null or empty text has the end id only; repeated rows are packed each on its own; an empty table
 gives an empty result; documents of any length are cut, none is dropped. Other columns of the input are ignored.
-The tokenizer runs once for each word between ASCII white space and keeps a bounded memory of what it gave: the
-vocabulary drops white space and never joins across it.
+The tokenizer drops white space and never joins across it or its runs of letters; each distinct run is tokenized once
+a batch, and a bounded memory keeps what it gave.
 """
 
 from __future__ import annotations
 
+import array
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,44 +25,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import workspace
+from . import textops, workspace
 
 END_ID = 1
-CACHE_WORDS = 400_000
-_WORD = re.compile(r"[^ \t-\r]+")
+CACHE_RUNS = 500_000
+BATCH_BYTES = 6_000_000
 
+#: What a byte is to the tokenizer: 0 white space, 1 a letter of the Latin alphabet (also either byte of one with
+#: an accent), 2 punctuation, 3 a digit (each is tokenized alone), 4 anything else.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[32, 9, 10, 11, 12, 13]] = 0
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+_KIND[[b for b in range(33, 127) if chr(b) not in "'" and not chr(b).isalnum()]] = 2
+_KIND[range(48, 58)] = 3
 
-class WordTokenizer:
-    """Token ids, as little-endian unsigned 32-bit numbers in bytes, of texts that are tokenized word by word."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+def byte_alphabet() -> list[str]:
+    """The letters that stand for the 256 bytes in byte-level vocabularies: printable ones for themselves, the others
+    by the code points from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+class RunTokenizer:
+    """Token ids of many texts at once; every distinct run of a batch is tokenized once.
+
+    The vocabulary's rule parts a text into runs of letters, of punctuation, and single digits before any merge. In
+    words of Latin letters, digits and punctuation these runs are found here, and go to the bare merges. All other
+    words (with an apostrophe, of other alphabets, with combining marks, or with a special token) go whole through
+    the whole tokenizer.
+    """
+
+    def __init__(self, path: str, cache_runs: int = CACHE_RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache_words = cache_words
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        for part in itertools.batched(sorted(words), 20_000):
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(list(part), add_special_tokens=False)):
-                self.known[word] = np.asarray(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size < 1_000_000):
-                group.append(_WORD.findall(texts[at] or ""))
-                size += len(texts[at] or "")
-                at += 1
-            words = set().union(*group)
-            if len(self.known) + len(words) > self.cache_words:
-                self.known.clear()
-            self._learn(words.difference(self.known))
-            known = self.known
-            for one in group:
-                yield b"".join([known[w] for w in one])
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.whole.model)
+        letters = byte_alphabet()
+        self.spelled = {b: letters[b] for b in range(256)}
+        self.cache_runs = cache_runs
+        self.known: dict[bytes, bytes] = {}
+
+    def _learn(self, runs: list[tuple[bytes, bool]]) -> None:
+        for bare in (True, False):
+            new = [r for r, simple in runs if simple == bare]
+            for part in itertools.batched(new, 20_000):
+                texts = [r.decode("latin-1").translate(self.spelled) if bare else r[:-1].decode() for r in part]
+                got = (self.bare if bare else self.whole).encode_batch_fast(texts, add_special_tokens=False)
+                self.known.update(zip(part, [array.array("I", x.ids).tobytes() for x in got]))
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and each text's first (one more than there are texts)."""
+        starts, letters, rank, first = textops.word_spans(data, bounds)
+        if len(starts) == 0:
+            return np.empty(0, "<u4"), np.zeros(len(bounds), np.int64)
+        raw = data[letters]
+        kind = _KIND[raw]
+        # A byte of another kind, an accent's second byte out of place, or the start of a special token: not simple.
+        odd = kind == 4
+        second = np.zeros(len(raw), bool)
+        second[1:] = (raw[:-1] == 0xC3) & (rank[1:] == rank[:-1])
+        odd |= (raw >= 0x80) & (raw < 0xC0) & (~second | (raw == 0x97) | (raw == 0xB7))
+        odd[1:] |= (raw[1:] == 124) & (raw[:-1] == 60)
+        whole = np.zeros(len(starts), bool)
+        whole[rank[odd]] = True
+        low = raw.copy()
+        low[(raw >= 65) & (raw <= 90)] += 32
+        low[second & (raw < 0x9F)] += 32
+        simple = ~whole[rank]
+        low = np.where(simple, low, raw)
+        begins = np.ones(len(raw), bool)
+        begins[1:] = (rank[1:] != rank[:-1]) | (simple[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 3)))
+        at = np.flatnonzero(begins)
+        length = np.diff(np.append(at, len(raw)))
+        h = textops.run_hashes(low, at, length) ^ simple[at]
+        _, one, which = np.unique(h, return_index=True, return_inverse=True)
+        text = low.tobytes()
+        ends = at[one] + length[one]
+        plain = simple[at[one]].tolist()
+        distinct = [text[s:e] if p else text[s:e] + b"\n" for s, e, p in zip(at[one].tolist(), ends.tolist(), plain)]
+        known = self.known
+        if missing := [x for x in zip(distinct, plain) if x[0] not in known]:
+            if len(known) + len(missing) > self.cache_runs:
+                known.clear()
+                missing = list(zip(distinct, plain))
+            self._learn(missing)
+        ids = [known[r] for r in distinct]
+        counts = np.array([len(x) // 4 for x in ids], np.int64)
+        begin = np.cumsum(counts) - counts
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        n = counts[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        run_of_word = np.searchsorted(at, np.searchsorted(letters, starts))
+        out = flat[np.repeat(begin[which] - total[:-1], n) + np.arange(total[-1])]
+        return out, total[np.append(run_of_word, len(at))[first]]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("loss", pa.int64()), ("nr", pa.int64())])
@@ -72,16 +130,18 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int, end_id: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, loss (its tokens but the first), nr."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, nr, end = WordTokenizer(tokenizer), 0, np.array([end_id], "<u4").tobytes()
+        encoder, nr, end = RunTokenizer(tokenizer), 0, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    out.append((doc, start, len(part) // 4, zlib.crc32(part), n, len(part) // 4 - 1, nr))
-                    nr += 1
+            out, keys = [], batch.column(0).to_pylist()
+            for at, data, bounds in textops.utf8_batches(batch.column(1), BATCH_BYTES):
+                flat, first = encoder.encode(data, bounds)
+                for i, doc in enumerate(keys[at : at + len(first) - 1]):
+                    ids = flat[first[i] : first[i + 1]].tobytes() + end
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        part = ids[4 * start : 4 * (start + capacity)]
+                        out.append((doc, start, len(part) // 4, zlib.crc32(part), n, len(part) // 4 - 1, nr))
+                        nr += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), PIECES.types)] if out else [pa.array([], t) for t in PIECES.types], schema=PIECES)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(

@@ -50,15 +50,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased (A-Z) words of many texts that lie end to end in ``data``.
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words are of many texts that lie end to end in ``data``.
 
-    ``bounds`` has the texts' byte offsets (one more than there are texts). Returns the words' hashes and, per text,
-    the index of its first word (again one more). Texts never share a word, even where no white space parts them.
+    ``bounds`` has the texts' byte offsets (one more than there are texts). Returns the words' first bytes, the bytes
+    that are in words, each of these bytes' word, and, per text, the index of its first word (again one more). Texts
+    never share a word, even where no white space parts them.
     """
-    n_texts = len(bounds) - 1
-    if len(data) == 0:
-        return np.empty(0, np.uint64), np.zeros(n_texts + 1, np.int64)
     inside = ~_IS_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -66,21 +64,26 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     cut = cut[cut < len(data)]
     begins[cut] |= inside[cut]
     starts = np.flatnonzero(begins)
-    first = np.searchsorted(starts, bounds)
+    letters = np.flatnonzero(inside)
+    return starts, letters, np.cumsum(begins)[letters] - 1, np.searchsorted(starts, bounds)
+
+
+def run_hashes(letters: np.ndarray, firsts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes that lie end to end, from where each begins and how long it is."""
+    at = np.arange(len(letters)) - np.repeat(firsts, length)
+    value = _BYTE[letters]
+    longest = int(length.max())
+    value *= (_POWERS if longest <= len(_POWERS) else _powers(longest))[at]  # words of thousands of bytes are rare
+    return mix64(np.add.reduceat(value, firsts) + length.astype(np.uint64) * _GOLD)
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, with A-Z as a-z, and, per text, the index of its first word (again one more)."""
+    starts, letters, _, first = word_spans(data, bounds)
     if len(starts) == 0:
         return np.empty(0, np.uint64), first
-    letters = np.flatnonzero(inside)
-    rank = np.cumsum(begins)[letters] - 1
-    at = letters - starts[rank]
-    value = _BYTE[_LOWER[data[letters]]]
-    if at.max() < len(_POWERS):
-        value *= _POWERS[at]
-    else:  # words of thousands of bytes are rare
-        value *= _powers(int(at.max()) + 1)[at]
     firsts = np.searchsorted(letters, starts)
-    total = np.add.reduceat(value, firsts)
-    length = np.diff(np.append(firsts, len(letters))).astype(np.uint64)
-    return mix64(total + length * _GOLD), first
+    return run_hashes(_LOWER[data[letters]], firsts, np.diff(np.append(firsts, len(letters)))), first
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
