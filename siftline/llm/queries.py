@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, outliers, packing, sharding
+from . import linededup, mixing, neardup, outliers, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op10_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the lines that repeat elsewhere removed; the digest lists what went."""
+    cleaned = linededup.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.array_join("removed_lines", "\n")).alias("removed_md5"), "text")
+
+
 def op9_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -40,8 +46,38 @@ QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op4_minhash_join": op4_minhash_join,
     "op5_outlier_rules": op5_outlier_rules,
+    "op6_line_windows": op6_line_windows,
     "op9_vector_pack": op9_vector_pack,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_windows": f"""
+WITH lines AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
+), worded AS (
+  SELECT doc_id, i AS lno, trim(all_lines[i], {_WS}) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos
+  FROM (SELECT doc_id, all_lines, unnest(range(1, len(all_lines) + 1)) AS i FROM lines) WHERE trim(all_lines[i], {_WS}) <> ''
+), win AS (
+  SELECT doc_id, pos, line, lead(line, 1) OVER w AS line1, lead(line, 2) OVER w AS line2 FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line1, line2 ORDER BY doc_id, pos) AS nr FROM win WHERE line2 IS NOT NULL
+), covered AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, (VALUES (0), (1), (2)) AS t(k) WHERE nr > 1
+), owner AS (
+  SELECT l.doc_id, i, all_lines[i] AS line, (SELECT max(lno) FROM worded w WHERE w.doc_id = l.doc_id AND w.lno <= i) AS lno
+  FROM (SELECT doc_id, all_lines, unnest(range(1, len(all_lines) + 1)) AS i FROM lines) l WHERE l.doc_id IN (SELECT doc_id FROM covered)
+), kept AS (
+  SELECT o.doc_id, string_agg(o.line, chr(10) ORDER BY o.i) AS kept_text
+  FROM owner o JOIN worded w ON w.doc_id = o.doc_id AND w.lno = o.lno LEFT JOIN covered c ON c.doc_id = w.doc_id AND c.pos = w.pos
+  WHERE c.pos IS NULL GROUP BY o.doc_id
+), removed AS (
+  SELECT w.doc_id, count(*) AS n, string_agg(w.line, chr(10) ORDER BY w.pos) AS gone FROM worded w JOIN covered c USING (doc_id, pos) GROUP BY w.doc_id
+), counted AS (SELECT doc_id, count(*) AS n FROM worded GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::INT AS n_lines, coalesce(r.n, 0)::INT AS n_removed, md5(coalesce(r.gone, '')) AS removed_md5,
+       CASE WHEN r.n > 0 THEN coalesce(k.kept_text, '') ELSE d.text END AS text
+FROM documents d LEFT JOIN counted n USING (doc_id) LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""",
+}
