@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, neardup, outliers, packing, sharding
+from . import linededup, mixing, mpegts, neardup, outliers, packing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.array_join("removed_lines", "\n")).alias("removed_md5"), "text")
 
 
+def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = mpegts.transport_streams(table(spark, sf_dir, "documents"))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units")
+
+
 def op9_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -47,6 +52,7 @@ QUERIES = {
     "op4_minhash_join": op4_minhash_join,
     "op5_outlier_rules": op5_outlier_rules,
     "op6_line_windows": op6_line_windows,
+    "op7_transport_streams": op7_transport_streams,
     "op9_vector_pack": op9_vector_pack,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
