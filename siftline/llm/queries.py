@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, mpegts, neardup, outliers, packing, sharding
+from . import linededup, mixing, mpegts, neardup, outliers, packing, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units")
 
 
+def op8_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -53,6 +58,7 @@ QUERIES = {
     "op5_outlier_rules": op5_outlier_rules,
     "op6_line_windows": op6_line_windows,
     "op7_transport_streams": op7_transport_streams,
+    "op8_warc_zstd": op8_warc_zstd,
     "op9_vector_pack": op9_vector_pack,
     "op10_pivotal_mix": op10_pivotal_mix,
 }
@@ -85,5 +91,18 @@ WITH lines AS (
 SELECT d.doc_id, coalesce(n.n, 0)::INT AS n_lines, coalesce(r.n, 0)::INT AS n_removed, md5(coalesce(r.gone, '')) AS removed_md5,
        CASE WHEN r.n > 0 THEN coalesce(k.kept_text, '') ELSE d.text END AS text
 FROM documents d LEFT JOIN counted n USING (doc_id) LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+""",
+    # Base32 of the SHA-1: each five hexadecimal digits are four letters.
+    "op8_warc_zstd": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, list_reduce(list_transform(range(0, 8), lambda i:
+    list_reduce(list_transform(range(0, 4), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT >> (15 - 5 * k)) & 31)::INT), 1)), lambda a, b: a || b)
+  ), lambda a, b: a || b) AS payload_digest FROM p
+), m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS least FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to
+FROM m
 """,
 }
