@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, linededup, mixing, mpegts, neardup, outliers, packing, sharding, warc
+from . import extraction, linededup, mixing, mpegts, neardup, outliers, packing, quality_model, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), ngram=3, similarity=0.85)
 
@@ -59,6 +63,7 @@ def op9_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_tag_path_ratios": op2_tag_path_ratios,
+    "op3_byte_cnn": op3_byte_cnn,
     "op4_minhash_join": op4_minhash_join,
     "op5_outlier_rules": op5_outlier_rules,
     "op6_line_windows": op6_line_windows,
