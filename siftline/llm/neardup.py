@@ -11,8 +11,9 @@ probability below one in a million. Counting is spared in two ways:
 Texts with equal shingle sets are one document from the start. What is wanted are groups, so a posting list isn't
 expanded into all its pairs: its most typical document (the one with most shared values) is compared with all others;
 once those that are linked are one group, only pairs of different groups are left, fewer with each round. The last
-round takes all that remain, unless the sizes of the sets and the number of shingles that nobody else has rule them
-out. Every candidate is confirmed on the full shingle sets.
+round takes all that remain, unless the sets' sizes, the number of shingles that nobody else has, or the parities of
+their shingles' hashes (which bound the difference from below) rule them out. Every candidate is confirmed on the
+full shingle sets.
 
 Defined results: null and empty texts, and those without words, have no shingles, are linked with nothing, and form
 their own group; repeated rows and copies are in one group; rows with a null id stay alone or follow their copies; an
@@ -36,6 +37,7 @@ from .components import connected_components
 COORDINATES = 48
 MISS = 1e-6
 HUB_ROUNDS = 2
+PARITY_WORDS = 16
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 2**64 - 1, 256, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,17 +89,23 @@ def _signatures(docs: DataFrame, ngram: int, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ngram: int) -> DataFrame:
-    """doc_id, shingles: the full sets, as hashes of 64 bits."""
+    """doc_id, shingles (the full sets, as hashes of 64 bits) and parity (for each of 1024 bits, whether the number of
+    shingles that fall on it is odd; two sets differ in at least as many shingles as their parities do in bits)."""
+    bits = 64 * PARITY_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, bounds in textops.utf8_batches(batch.column(1)):
                 h, first = textops.shingle_sets(data, bounds, ngram)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(bounds) - 1), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))], names=["doc_id", "shingles"]
-                )
+                rows = len(bounds) - 1
+                cell = np.repeat(np.arange(rows), np.diff(first)) * bits + (h % np.uint64(bits)).astype(np.int64)
+                odd = (np.bincount(cell, minlength=rows * bits) & 1).astype(np.uint8)
+                parity = pa.array(np.packbits(odd).view(np.int64))
+                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
+                parities = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * PARITY_WORDS), parity)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), sets, parities], names=["doc_id", "shingles", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>, parity array<long>")
 
 
 class _Threshold:
@@ -115,6 +123,11 @@ class _Threshold:
         both = F.least(n_a - own_a, n_b - own_b)
         return self.linked(both, n_a, n_b)
 
+    def near(self, parity_a, parity_b, n_a, n_b):
+        """Whether two sets can be linked, by what their parities show of their difference."""
+        differ = sum((F.bit_count(F.get(parity_a, k).bitwiseXOR(F.get(parity_b, k))) for k in range(1, PARITY_WORDS)), F.bit_count(F.get(parity_a, 0).bitwiseXOR(F.get(parity_b, 0))))
+        return (self.down + self.up) * differ <= (self.down - self.up) * (n_a + n_b)
+
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, k_matches: int, limit: _Threshold) -> DataFrame:
     """The pairs (a, b) that collide often enough and are similar on their full sets."""
@@ -198,11 +211,13 @@ def _remaining(left: DataFrame, sets: DataFrame, limit: _Threshold) -> DataFrame
     # The best partner that a document could have holds all that isn't its own, and nothing else.
     shared = F.col("n") - F.col("own")
     rows = rows.where(limit.linked(shared, F.col("n"), F.greatest(F.col("n_min"), shared)))
-    rows = workspace.stage(rows.select("token", "rep", "n", "own", "component"), "near-rest")
+    rows = rows.select("token", "rep", "n", "own", "component").join(sets.select("rep", "parity"), "rep")
+    rows = workspace.stage(rows, "near-rest")
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("m"))
     main = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("most")).select("token", F.col("most.component").alias("main"))
     rows = rows.join(main, "token")
-    few = rows.where("component <> main").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("component").alias("c_a"))
+    few = rows.where("component <> main").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("component").alias("c_a"), F.col("parity").alias("parity_a"))
     met = rows.join(few, "token").where("component <> c_a and (component = main or rep < a)")
     met = met.where(limit.possible(F.col("n"), F.col("own"), F.col("n_a"), F.col("own_a")))
+    met = met.where(limit.near("parity", "parity_a", F.col("n"), F.col("n_a")))
     return met.select(F.greatest("a", "rep").alias("a"), F.least("a", "rep").alias("b")).distinct()
