@@ -84,7 +84,7 @@ def extract_field(raw: Column, label: str, stops: list[str], drop: list[str] = (
 
 def city_of(place: Column, region: str, street: str) -> Column:
     """The first part of an address between commas that looks neither like a region nor like a street; else empty."""
-    parts = F.transform(F.split(F.coalesce(place, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(place, F.lit("")), ","), lambda x: F.trim(x))
     return F.coalesce(F.get(F.filter(parts, lambda p: (p != "") & ~p.rlike(region) & ~p.rlike(street)), 0), F.lit(""))
 
 

@@ -87,7 +87,8 @@ def rake(cells: DataFrame, target: DataFrame, columns: list[str], passes: int =
         for c in columns:
             sums = now.groupBy(F.col(c).alias("v")).agg(F.sum(F.col("w") * F.col("n")).alias("s"))
             listed = sums.agg(F.array_sort(F.collect_list(F.struct("v", "s"))).alias("xs"), F.sum("s").alias("total")).crossJoin(shares[c])
-            t = lambda x, c=c: F.coalesce(F.try_element_at(F.col(f"t_{c}"), x["v"]), F.lit(0.0))
+            share_of = F.col(f"t_{c}")
+            t = lambda x: F.coalesce(F.try_element_at(share_of, x["v"]), F.lit(0.0))  # noqa: B023, E731
             step = F.aggregate(
                 "xs", F.struct(F.col("total").alias("sum"), F.expr("cast(array() as array<struct<v:string,f:double>>)").alias("out")),
                 lambda a, x: F.struct(

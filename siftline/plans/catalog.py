@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.plans import geo, lexical  # noqa: F401
+from siftline.plans import dense, features, fusion, geo, lexical, params  # noqa: F401
 from siftline.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
