@@ -109,12 +109,13 @@ def select_stratified(candidates: DataFrame, strata: list[str], wanted: dict[str
         return pd.DataFrame(out, columns=["id", "split", "converted"])
 
     kind = candidates.schema["id"].dataType.simpleString()
-    return candidates.groupBy(F.lit(0)).applyInPandas(run, f"id {kind}, split string, converted boolean")
+    return candidates.groupBy().applyInPandas(run, f"id {kind}, split string, converted boolean")
 
 
-def split_ids(rows: DataFrame, prefix: str, order: list) -> DataFrame:
-    """Adds query_id: the prefix and a number of 13 digits."""
-    return rows.withColumn("query_id", F.concat(F.lit(prefix), F.lpad((F.row_number().over(Window.orderBy(*order)) - 1).cast("string"), 13, "0")))
+def split_ids(rows: DataFrame, order: list, split: str = "split") -> DataFrame:
+    """Adds query_id: the split's name and a number of 13 digits, from 0 in each split."""
+    number = F.row_number().over(Window.partitionBy(split).orderBy(*order)) - 1
+    return rows.withColumn("query_id", F.concat(F.col(split), F.lpad(number.cast("string"), 13, "0")))
 
 
 def negatives(pairs: DataFrame, top: int = 300, one_in: int = 7, seed: int = 0) -> DataFrame:
