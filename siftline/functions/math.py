@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(12742.0) * F.asin(F.sqrt(F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0))))
+    inside = F.when(h < 0, 0.0).when(h > 1, 1.0).otherwise(h)  # least() and greatest() would skip a null
+    return F.lit(12742.0) * F.asin(F.sqrt(inside))
 
 
 def log_floor(p: Column, floor: float = 1e-6) -> Column:

@@ -9,6 +9,7 @@ import functools
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: the algorithm's ending groups, longest match wins -----------------------------------------------
 VOWELS = "аеиоуыэюя"
@@ -80,7 +81,7 @@ def stem(word: str) -> str:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(tokens: pd.Series) -> pd.Series:
     """Stems of arrays of tokens."""
     return tokens.map(lambda xs: [stem(x) for x in xs] if xs is not None else None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 
@@ -128,7 +129,7 @@ def write_answers(answers: DataFrame, path: str) -> None:
 
 def append_log(spark: SparkSession, path: str, record: dict) -> None:
     """Adds one line to a results log. Every call writes a file of its own, so writers need no lock."""
-    row = {"id": uuid.uuid4().hex, **record}
+    row = {"id": uuid.uuid4().hex, "ts": dt.datetime.now().isoformat(timespec="milliseconds"), **record}
     spark.createDataFrame([(json.dumps(row, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
 
 
