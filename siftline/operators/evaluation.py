@@ -71,43 +71,35 @@ def check_answer(answer: DataFrame, queries: DataFrame, items: DataFrame, k: int
     return one.select(F.explode(rules).alias("x")).select("x.rule", "x.n", "x.severity")
 
 
+RAKE_CELLS = 1_000_000
+
+
 def rake(cells: DataFrame, target: DataFrame, columns: list[str], passes: int = 50) -> DataFrame:
     """Weights of mean 1 that bring the marginals of ``columns`` to those of ``target``, by iterative proportional fitting.
 
-    Rows of equal values have equal weights, so the fit runs on cells (the distinct combinations, with count n). Values
-    are visited in sorted order, and each rescaling changes the total: with a column's sums s, shares t and the total S
-    so far, a value's factor is t S / s; then S grows by t S - s. Values that either side lacks are left alone.
+    Rows of equal values have equal weights, so the fit runs on cells (the distinct combinations of segment labels, with
+    count n), a table whose size hangs on the labels, not on the rows; that size is checked. Values are visited in
+    sorted order, as each rescaling changes the total. Values that either side lacks are left alone.
     """
-    shares = {}
+    listed = cells.limit(RAKE_CELLS + 1).collect()
+    if len(listed) > RAKE_CELLS:
+        raise ValueError(f"more than {RAKE_CELLS} cells: {', '.join(columns)} aren't segment labels")
+    shares = []
     for c in columns:
-        total = target.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-        shares[c] = total.withColumn("t", F.col("n") / F.sum("n").over(Window.partitionBy())).agg(F.map_from_entries(F.collect_list(F.struct("v", "t"))).alias(f"t_{c}"))
-    now = cells.withColumns({c: F.col(c).cast("string") for c in columns}).withColumn("w", F.lit(1.0))
-    for _ in range(passes):
-        for c in columns:
-            sums = now.groupBy(F.col(c).alias("v")).agg(F.sum(F.col("w") * F.col("n")).alias("s"))
-            listed = sums.agg(F.array_sort(F.collect_list(F.struct("v", "s"))).alias("xs"), F.sum("s").alias("total")).crossJoin(shares[c])
-            share_of = F.col(f"t_{c}")
-            t = lambda x: F.coalesce(F.try_element_at(share_of, x["v"]), F.lit(0.0))  # noqa: B023, E731
-            step = F.aggregate(
-                "xs", F.struct(F.col("total").alias("sum"), F.expr("cast(array() as array<struct<v:string,f:double>>)").alias("out")),
-                lambda a, x: F.struct(
-                    F.when((x["s"] > 0) & (t(x) > 0), a["sum"] - x["s"] + t(x) * a["sum"]).otherwise(a["sum"]).alias("sum"),
-                    F.concat(a["out"], F.array(F.struct(x["v"].alias("v"), F.when((x["s"] > 0) & (t(x) > 0), t(x) * a["sum"] / x["s"]).otherwise(F.lit(1.0)).alias("f")))).alias("out"),
-                ),
-            )["out"]
-            factors = listed.select(F.explode(step).alias("x")).select(F.col("x.v").alias(c), F.col("x.f").alias("f"))
-            now = now.join(factors, c).withColumn("w", F.col("w") * F.col("f")).drop("f")
-    total = now.agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("mean"))
-    return now.crossJoin(total).withColumn("w", F.col("w") / F.col("mean")).drop("mean")  # total is one row
+        counts = target.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).limit(RAKE_CELLS).collect()
+        total = sum(r.n for r in counts)
+        shares.append({r.v: r.n / total for r in counts if r.v is not None})
+    weights = rake_on_driver([(r.n, *(None if r[c] is None else str(r[c]) for c in columns)) for r in listed], shares, passes)
+    rows = [(*(None if r[c] is None else str(r[c]) for c in columns), r.n, w) for r, w in zip(listed, weights)]
+    return cells.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns) + ", n long, w double")
 
 
 def rake_on_driver(cells: list[tuple], shares: list[dict[str, float]], passes: int = 50) -> list[float]:
-    """The same fit for many passes over a small table of cells: rows (n, value, value, ...)."""
+    """The fit over rows (n, value, value, ...)."""
     w = [1.0] * len(cells)
     for _ in range(passes):
         for j, share in enumerate(shares, 1):
-            for v in sorted({c[j] for c in cells}):
+            for v in sorted({c[j] for c in cells if c[j] is not None}):
                 rows = [i for i, c in enumerate(cells) if c[j] == v]
                 s, total = sum(w[i] * cells[i][0] for i in rows), sum(x * c[0] for x, c in zip(w, cells))
                 if s > 0 and share.get(v, 0) > 0:
