@@ -71,9 +71,31 @@ class Store:
         return f"{self.root}/artifacts/{owner}/{name}"
 
     def save_channel(self, owner: str, name: str, split: str, df: DataFrame, most: int = 2000) -> None:
-        """Writes a channel, sorted by query and rank, after checking it."""
+        """Writes a channel, sorted by query and rank, and puts it in place once what was written keeps the contract."""
         self._check(split)
+        place = f"{self._path(owner, name)}/{split}"
+        aside = f"{self._path(owner, name)}/_{split}-{uuid.uuid4().hex}"
         df = df.select(*[F.col(f.name).cast(f.dataType) for f in CHANNEL])
+        df.repartition("query_id").sortWithinPartitions("query_id", "rank").write.option("compression", "zstd").parquet(aside)
+        try:
+            self._check_channel(owner, name, split, self.spark.read.schema(CHANNEL).parquet(aside), most)
+            self._delete(place)
+            if not self._fs(aside).rename(self._hadoop(aside), self._hadoop(place)):
+                raise OSError(f"{aside} can't be moved to {place}")
+        except BaseException:
+            self._delete(aside)
+            raise
+
+    def _hadoop(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, path: str):
+        return self._hadoop(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _delete(self, path: str) -> None:
+        self._fs(path).delete(self._hadoop(path), True)
+
+    def _check_channel(self, owner: str, name: str, split: str, df: DataFrame, most: int) -> None:
         bad = (
             df.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("d"), F.min("rank").alias("first"))
             .agg(F.sum((F.col("n") > most).cast("int")).alias("too_long"), F.sum((F.col("n") != F.col("d")).cast("int")).alias("repeated"), F.sum((F.col("first") != 1).cast("int")).alias("not_from_one"))
@@ -81,7 +103,6 @@ class Store:
         strange = df.join(self.queries(split).select("query_id"), "query_id", "left_anti").limit(1).count(), df.join(self.corpus(["item_id"]), "item_id", "left_anti").limit(1).count()
         if any(bad) or any(strange):
             raise ContractError(f"channel {owner}/{name}: {bad.asDict()}, unknown queries {strange[0]}, unknown items {strange[1]}")
-        df.repartition("query_id").sortWithinPartitions("query_id", "rank").write.mode("overwrite").option("compression", "zstd").parquet(f"{self._path(owner, name)}/{split}")
 
     def channel(self, owner: str, name: str, split: str) -> DataFrame:
         return self.spark.read.schema(CHANNEL).parquet(f"{self._path(owner, name)}/{split}")
@@ -108,12 +129,10 @@ class Store:
     def complete_channels(self, first: str = "baseline") -> list[tuple[str, str]]:
         """Owner and name of the channels that exist for every split, the owner ``first`` before the others."""
         names = [(r.owner, r.name) for r in self.catalog().where("kind = 'channel'").select("owner", "name").distinct().collect()]  # a few artifacts
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
 
         def there(owner: str, name: str, split: str) -> bool:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self._path(owner, name)}/{split}")
-            return path.getFileSystem(conf).exists(path)
+            path = f"{self._path(owner, name)}/{split}"
+            return self._fs(path).exists(self._hadoop(path))
 
         return sorted((x for x in names if all(there(*x, s) for s in SPLITS)), key=lambda x: (x[0] != first, x))
 
