@@ -83,8 +83,9 @@ def kd_nodes(rows: DataFrame, n_shards: int, tolerance: float) -> tuple[DataFram
             found[r.node][r.dim][r.bin] = r.w
         spread = lambda h: max(h) - min(h)
         if scale is None:
-            scale = {d: max(1, spread(h)) for d, h in found[1].items()}
-            leaf_bytes = sum(found[1][0].values()) / n_shards if found[1] else 0
+            root = found.get(1, {})
+            scale = {d: max(1, spread(h)) for d, h in root.items()}
+            leaf_bytes = sum(root[0].values()) / n_shards if root else 0
         plan = {}
         for node, n in open_.items():
             if node not in found:
