@@ -32,7 +32,8 @@ def query_terms(queries: DataFrame, terms: str = "terms") -> DataFrame:
 
 def postings(items: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
     """item_id, field, term, tf, dl for the terms that queries have; only these are shuffled."""
-    parts = [items.select("item_id", F.lit(f).alias("field"), F.size(f).alias("dl"), F.explode(f).alias("term")) for f in fields]
+    # explode() would have the optimizer ask for the array's size in a filter at the scan: the text would be tokenized twice.
+    parts = [items.select("item_id", F.lit(f).alias("field"), F.size(f).alias("dl"), F.explode_outer(f).alias("term")) for f in fields]
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)

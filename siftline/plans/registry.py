@@ -29,9 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (a small file of one row group) is dealt out to all of them
+    before the costly work on its rows; a large table, which has more, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus items: documents, their first 120 characters as titles."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text", F.substring("text", 1, 120).alias("title"), "lang", "source", "n_chars")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")).select(F.col("doc_id").alias("item_id"), "text", F.substring("text", 1, 120).alias("title"), "lang", "source", "n_chars")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
