@@ -171,6 +171,7 @@ def _candidates(reps: DataFrame, k: int, matches: int) -> tuple[DataFrame, DataF
     prefix = workspace.stage(prefix.select(F.col("v.token").alias("token"), "rep", "lo", "n", "shared"), "near-prefix")
     lists = prefix.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     posts = workspace.stage(prefix.join(lists, "token", "left_semi"), "near-posts")
+    workspace.drop(prefix)
     met = posts.select("rep", "lo").distinct()
     return workspace.stage(reps.join(met, ["rep", "lo"], "left_semi").select("rep", "n", "sig"), "near-candidates"), posts.select("token", "rep", "n", "shared")
 

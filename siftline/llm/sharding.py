@@ -170,6 +170,7 @@ def kd_shards(
         F.pmod(F.xxhash64("key", F.lit(7)), F.lit(BINS)).cast("int").alias("h_row"),
     )
     rows = workspace.stage(rows, "shard-points")
+    workspace.drop(raw)
     if n_shards is None:
         n_shards = max(1, math.ceil((rows.agg(F.sum("w")).first()[0] or 0) / target_bytes))
     placed, shard_of = kd_nodes(rows, n_shards, tolerance)
@@ -177,6 +178,7 @@ def kd_shards(
     placed = placed.join(numbers, "node").select("key", "w", "crc", "shard")
     cells = max(1, rows.count() // (n_shards * SLOT_CELL_ROWS))
     placed = workspace.stage(placed.withColumn("cell", F.pmod(F.xxhash64("crc", "key"), F.lit(cells)).cast("int")), "shard-placed")
+    workspace.drop(rows)
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = counts.select("shard", "cell", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = placed.select("*", (F.row_number().over(Window.partitionBy("shard", "cell").orderBy("crc", "key")) - 1).alias("nr"))
