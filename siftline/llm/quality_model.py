@@ -26,7 +26,7 @@ from . import textops
 
 STEP = 8
 DIMS = 8
-FILTERS = 32
+FILTERS = 64
 PAD = 256
 BLOCK_BYTES = 1_000_000
 
@@ -72,8 +72,10 @@ def layout(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out.reshape(-1, STEP), first
 
 
-def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Network:
-    """Adam on the logistic loss, classes weighed alike; then the prior's odds are added."""
+def fit(texts: list[bytes], labels: list[int], prior: float, epochs: int = 12, least_steps: int = 400, batch: int = 32, rate: float = 0.01, seed: int = 11) -> Network:
+    """Adam on the logistic loss, classes weighed alike; then the prior's odds are added. Small samples are passed over
+    more often, until there are ``least_steps``."""
+    epochs = max(epochs, math.ceil(least_steps * batch / len(texts)))
     rng = np.random.Generator(np.random.PCG64(seed))
     width = 2 * STEP * DIMS
     p = {
@@ -132,7 +134,7 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, max_
 
 
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, target: str = "quality", text: str = "text", key: str = "doc_id", per_class: int = 1000, max_bytes: int = 32_768, cutoff: float = 0.3
+    docs: DataFrame, labels: DataFrame, target: str = "quality", text: str = "text", key: str = "doc_id", per_class: int = 2500, max_bytes: int = 32_768, cutoff: float = 0.3
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, held_out, score (the probability of label 1), predicted."""
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -208,7 +208,7 @@ def test_network_learns_and_blocks_agree():
             words = [w + "***" for w in words]
         texts.append(" ".join(words).encode())
         labels.append(1 - k % 2)
-    net = quality_model.fit(texts[:160], labels[:160], 0.5, epochs=4)
+    net = quality_model.fit(texts[:160], labels[:160], 0.5, epochs=4, least_steps=20)
     data, bounds = np.frombuffer(b"".join(texts[160:]), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts[160:]])])
     got = net.scores(data, bounds)
     assert ((got > 0.5) == np.array(labels[160:])).mean() > 0.95
@@ -218,7 +218,7 @@ def test_network_learns_and_blocks_agree():
 
 
 def test_long_texts_are_pooled_piece_by_piece(monkeypatch):
-    net = quality_model.fit([b"abc " * 20, b"*** " * 20] * 20, [1, 0] * 20, 0.5, epochs=1)
+    net = quality_model.fit([b"abc " * 20, b"*** " * 20] * 20, [1, 0] * 20, 0.5, epochs=1, least_steps=1)
     text = np.frombuffer(os.urandom(20_000), np.uint8)
     whole = net.pooled(text, np.array([0, len(text)]))
     monkeypatch.setattr(quality_model, "BLOCK_BYTES", 800)
