@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,36 +11,56 @@ from siftline.operators import fusion as U
 from siftline.operators import retrieval as R
 from siftline.plans.registry import bm25_sql, items, passages, query, ranked_sql, with_terms
 
-DEPTH, QUOTAS, MOST = 200, [100, 40], 120
+class Sizes(NamedTuple):
+    depth: int  # ranks a channel keeps
+    quotas: list[int]  # ranks of each channel that enter the union
+    most: int  # pairs of a query after the cap
+
+
+#: The queries without a suffix are a sample of the job, about a tenth of its size, as their SQL says; those that end in _whole do all of it.
+SAMPLE = Sizes(200, [100, 40], 120)
+WHOLE = Sizes(2000, [1000, U.dynamic_quota(2)], 2000)
+
 
-CHANNELS = f"""{bm25_sql('s0')}, {ranked_sql('c0', 's0', DEPTH)}, {bm25_sql('s1', "substr(text, 1, 120)")}, {ranked_sql('c1', 's1', DEPTH)}"""
-POOL = f"""{CHANNELS}, keys AS (SELECT query_id, item_id FROM c0 WHERE rank <= {QUOTAS[0]} UNION SELECT query_id, item_id FROM c1 WHERE rank <= {QUOTAS[1]}),
+def channels_sql(n: Sizes) -> str:
+    return f"""{bm25_sql('s0')}, {ranked_sql('c0', 's0', n.depth)}, {bm25_sql('s1', "substr(text, 1, 120)")}, {ranked_sql('c1', 's1', n.depth)}"""
+
+
+def pool_sql(n: Sizes) -> str:
+    return f"""{channels_sql(n)}, keys AS (SELECT query_id, item_id FROM c0 WHERE rank <= {n.quotas[0]} UNION SELECT query_id, item_id FROM c1 WHERE rank <= {n.quotas[1]}),
 pool AS MATERIALIZED (
   SELECT query_id, item_id, c0.score AS c0_score, c0.rank AS c0_rank, c1.score AS c1_score, c1.rank AS c1_rank,
          round(1.0 / (60 + coalesce(c0.rank, 2001)) + 1.0 / (60 + coalesce(c1.rank, 2001)), 9) AS rrf
   FROM keys LEFT JOIN c0 USING (query_id, item_id) LEFT JOIN c1 USING (query_id, item_id)
 ), capped AS MATERIALIZED (
-  SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, item_id))::INT AS pool_rank FROM pool) WHERE pool_rank <= {MOST}
+  SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, item_id))::INT AS pool_rank FROM pool) WHERE pool_rank <= {n.most}
 )"""
 
 
-def channels(spark: SparkSession, sf: str) -> list[DataFrame]:
+CHANNELS, POOL = channels_sql(SAMPLE), pool_sql(SAMPLE)
+
+
+def channels(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> list[DataFrame]:
     qs = with_terms(passages(spark, sf))
-    return [R.top_k(R.bm25(with_terms(items(spark, sf), c), qs), DEPTH) for c in ("text", "title")]
+    return [R.top_k(R.bm25(with_terms(items(spark, sf), c), qs), n.depth) for c in ("text", "title")]
 
 
-def pool(spark: SparkSession, sf: str) -> DataFrame:
-    return U.cap(U.fuse(U.pool_union(channels(spark, sf), QUOTAS), 2), MOST)
+def union(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
+    return U.pool_union(channels(spark, sf, n), n.quotas)
+
+
+def pool(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
+    return U.cap(U.fuse(union(spark, sf, n), 2), n.most)
 
 
 @query(f"WITH {POOL} SELECT query_id, item_id, c0_score, c0_rank, c1_score, c1_rank FROM pool")
 def pool_union_quota(spark: SparkSession, sf: str) -> DataFrame:
-    return U.pool_union(channels(spark, sf), QUOTAS)
+    return union(spark, sf)
 
 
 @query(f"WITH {POOL} SELECT query_id, item_id, rrf FROM pool")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return U.fuse(U.pool_union(channels(spark, sf), QUOTAS), 2).select("query_id", "item_id", "rrf")
+    return U.fuse(union(spark, sf), 2).select("query_id", "item_id", "rrf")
 
 
 @query(f"WITH {POOL} SELECT query_id, item_id, rrf, pool_rank FROM capped")
@@ -46,6 +68,21 @@ def pool_cap(spark: SparkSession, sf: str) -> DataFrame:
     return pool(spark, sf).select("query_id", "item_id", "rrf", "pool_rank")
 
 
+@query(f"WITH {pool_sql(WHOLE)} SELECT query_id, item_id, c0_score, c0_rank, c1_score, c1_rank FROM pool")
+def pool_union_quota_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return union(spark, sf, WHOLE)
+
+
+@query(f"WITH {pool_sql(WHOLE)} SELECT query_id, item_id, rrf FROM pool")
+def rrf_fusion_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return U.fuse(union(spark, sf, WHOLE), 2).select("query_id", "item_id", "rrf")
+
+
+@query(f"WITH {pool_sql(WHOLE)} SELECT query_id, item_id, rrf, pool_rank FROM capped")
+def pool_cap_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return pool(spark, sf, WHOLE).select("query_id", "item_id", "rrf", "pool_rank")
+
+
 @query("""
 WITH c AS (SELECT user_id AS query_id, floor(value * 10)::BIGINT AS item_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - (user_id % 9 = 0)::INT)::INT AS rank FROM events),
 q AS (SELECT count(*) FILTER (n > 12)::BIGINT AS too_long, count(*) FILTER (least <> 1)::BIGINT AS not_from_one FROM (SELECT query_id, count(*) AS n, min(rank) AS least FROM c GROUP BY 1)),
