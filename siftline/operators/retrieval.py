@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import math as M
+from siftline.functions import text as T
 
 QUERY_BLOCK = 2048
 
@@ -30,6 +31,12 @@ def query_terms(queries: DataFrame, terms: str = "terms") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms)).alias("term"))
 
 
+def body_terms(text: Column, whole: bool = True) -> Column:
+    """Terms of a long text by slices at 1,500 and 4,000 characters; what follows only if ``whole``."""
+    parts = [T.tokens(T.char_slice(text, 0, 1500)), T.tokens(T.char_slice(text, 1500, 4000))]
+    return F.concat(*parts, *([T.tokens(T.char_slice(text, 4000, 2**31 - 1))] if whole else []))
+
+
 def postings(items: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
     """item_id, field, term, tf, dl for the terms that queries have; only these are shuffled."""
     # explode() would have the optimizer ask for the array's size in a filter at the scan: the text would be tokenized twice.

@@ -149,10 +149,10 @@ def answer_pipeline_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pool pairs with label 1 where the item holds the passage's first 60 characters."""
-    q = passages(spark, sf).select("query_id", F.substring("text", 1, 60).alias("head"))
+    """Pool pairs with label 1 where the item holds the whole passage."""
+    q = passages(spark, sf).select("query_id", F.col("text").alias("passage"))
     i = items(spark, sf).select("item_id", "text")
-    marked = pool(spark, sf, WHOLE).join(q, "query_id").join(i, "item_id").select("query_id", "item_id", F.contains("text", "head").cast("int").alias("label"))
+    marked = pool(spark, sf, WHOLE).join(q, "query_id").join(i, "item_id").select("query_id", "item_id", F.contains("text", "passage").cast("int").alias("label"))
     return pair_frame(spark, sf, WHOLE).join(marked, ["query_id", "item_id"])
 
 

@@ -112,8 +112,7 @@ class Search:
         """Fielded BM25 with the prior, and penalties for filters that an item doesn't meet."""
         rec = self.items_params().select("item_id", "core_text", "other_params_text", "place_city")
         raw = self.store.corpus(["item_id", "item_title_raw", "item_description_raw"]).join(rec, "item_id")
-        d = F.col("item_description_raw")
-        body = F.concat(T.tokens(T.char_slice(d, 0, 1500)), T.tokens(T.char_slice(d, 1500, 4000)))
+        body = R.body_terms(F.col("item_description_raw"))
         fields = {"title": T.tokens(F.col("item_title_raw")), "core": T.tokens(F.col("core_text")), "description": body, "other": T.tokens(F.col("other_params_text")), "address": T.tokens(F.col("place_city"))}
         items = raw.select("item_id", *[stems(c).alias(n) for n, c in fields.items()])
         queries = self._query_terms(split)

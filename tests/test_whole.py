@@ -3,6 +3,7 @@
 import pytest
 
 from siftline.plans import catalog, features
+from siftline.plans.workflow import Search
 
 
 def tables(spark, folder, **rows):
@@ -26,3 +27,25 @@ def test_all_copies_are_in_the_pool(spark, copies, name):
 
 def test_all_copies_are_labelled(spark, copies):
     assert features.labelled_pairs(spark, copies).where("label = 1").count() == 300
+
+
+def test_bodies_are_read_to_their_end(spark, tmp_path):
+    text = "silver otters swim under the frozen harbour while seven grey lanterns burn all night long"
+    docs = [(1, "word " * 900 + text, "en", "web", 4590), (2, "word " * 900, "en", "web", 4500), (3, None, "en", "web", 0), (4, text[:70] + " otherwise", "en", "web", 80)]
+    folder = tables(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), benchmark=([(1, text)], "item_id long, text string"))
+    assert {r.item_id for r in catalog.QUERIES["bm25f_topk_whole"](spark, folder).collect()} == {1, 4}
+    assert {r.item_id for r in features.labelled_pairs(spark, folder).where("label = 1").collect()} == {1}
+
+
+def test_workflow_reads_descriptions_to_their_end(spark):
+    class OneItem:
+        def corpus(self, columns=None):
+            rows = spark.createDataFrame([("a", "t", "word " * 900 + "lantern", None, 1, 1, 1)], "item_id string, item_title_raw string, item_description_raw string, item_infm_params_text string, item_category_id long, item_microcat_id long, item_location_id long")
+            return rows.select(*columns) if columns else rows
+
+        def queries(self, split):
+            return spark.createDataFrame([("q", "lantern", 1)], "query_id string, search_query string, search_location_id long")
+
+    search = Search(OneItem())
+    search._with_geo = lambda channel, *_: channel
+    assert search.bm25f_channel("val").count() == 1
