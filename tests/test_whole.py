@@ -49,3 +49,10 @@ def test_workflow_reads_descriptions_to_their_end(spark):
     search = Search(OneItem())
     search._with_geo = lambda channel, *_: channel
     assert search.bm25f_channel("val").count() == 1
+
+
+def test_penalties_reach_all_parts(spark, tmp_path):
+    parts = [(50, "steel", "a"), (51, "steel", "b"), (5000001, "steel", "a"), (9000001, "tin", "b")]
+    folder = tables(spark, tmp_path, part=(parts, "p_partkey long, p_type string, p_brand string"))
+    got = {r.item_id: (r.penalty, r.vid_match, r.tip_match) for r in catalog.QUERIES["filter_unmet_penalty_whole"](spark, folder).collect()}
+    assert got == {50: (0.0, 1, 1), 51: (1.5, 1, -1), 5000001: (0.0, 1, 1), 9000001: (4.5, -1, -1)}
