@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("train", help="train the ranker")
     c.add_argument("--channels", type=_channels, required=True)
     c.add_argument("--models", required=True)
-    c.add_argument("--rounds", type=int, default=20)
+    c.add_argument("--rounds", type=int, default=200)
     c = sub.add_parser("predict", help="answer a split's queries")
     c.add_argument("split")
     c.add_argument("out")

@@ -16,7 +16,7 @@ from siftline.functions import math as M
 from siftline.operators.retrieval import top_k
 
 
-def fit(pairs: DataFrame, features: list[str], seeds: list[int], rounds: int = 20, depth: int = 5, fraction: float = 0.9, step: float = 0.1) -> list[PipelineModel]:
+def fit(pairs: DataFrame, features: list[str], seeds: list[int], rounds: int = 200, depth: int = 5, fraction: float = 0.9, step: float = 0.1) -> list[PipelineModel]:
     """One model a seed; ``pairs`` has label and weight. Missing values count as -999."""
     models = []
     for seed in seeds:

@@ -158,14 +158,14 @@ def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gbt_rank_top50(spark: SparkSession, sf: str) -> DataFrame:
-    """The trained ranker's answer: gradient-boosted trees of two seeds on weighted, sampled pairs."""
+    """The trained ranker's answer: gradient-boosted trees of three seeds on weighted, sampled pairs."""
     from siftline.operators import ranker, sampling
 
     pairs = labelled_pairs(spark, sf).persist()
     qrels = pairs.where("label = 1").select("query_id", "item_id")
-    train = sampling.negatives(pairs.withColumn("rank", F.col("c0_rank")), top=30)
+    train = sampling.negatives(pairs.withColumn("rank", F.col("c0_rank")))
     train = sampling.sample_weights(train, qrels)
-    models = ranker.fit(train, FEATURES, seeds=[1, 2], rounds=5, depth=4)
+    models = ranker.fit(train, FEATURES, seeds=[1, 2, 3])
     return ranker.predict(pairs, models, FEATURES)
 
 

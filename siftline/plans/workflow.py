@@ -179,7 +179,7 @@ class Search:
         names += [f"c{j}_{p}" for j in range(n) for p in ("score", "score_gap", "rank")]
         return pairs.select("query_id", "item_id", *[F.col(c).cast("double").alias(c) for c in names])
 
-    def train(self, channels: list[tuple[str, str]], split: str = "rtrain", seeds: tuple[int, ...] = (1, 2, 3), rounds: int = 20, **more) -> tuple[list[PipelineModel], list[str]]:
+    def train(self, channels: list[tuple[str, str]], split: str = "rtrain", seeds: tuple[int, ...] = (1, 2, 3), rounds: int = 200, **more) -> tuple[list[PipelineModel], list[str]]:
         frame = self.features(split, channels, **more)
         names = [c for c in frame.columns if c not in ("query_id", "item_id")]
         qrels = self.store.qrels(split)

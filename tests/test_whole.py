@@ -56,3 +56,35 @@ def test_penalties_reach_all_parts(spark, tmp_path):
     folder = tables(spark, tmp_path, part=(parts, "p_partkey long, p_type string, p_brand string"))
     got = {r.item_id: (r.penalty, r.vid_match, r.tip_match) for r in catalog.QUERIES["filter_unmet_penalty_whole"](spark, folder).collect()}
     assert got == {50: (0.0, 1, 1), 51: (1.5, 1, -1), 5000001: (0.0, 1, 1), 9000001: (4.5, -1, -1)}
+
+
+def test_ranker_is_fully_trained(spark, monkeypatch, copies):
+    """200 rounds and three seeds by default, and negatives down to rank 300."""
+    from inspect import signature
+
+    from siftline import cli
+    from siftline.operators import ranker, sampling
+
+    assert signature(ranker.fit).parameters["rounds"].default == signature(Search.train).parameters["rounds"].default == 200
+    seen = {}
+
+    def train(self, channels, rounds):
+        raise InterruptedError(rounds)
+
+    monkeypatch.setattr(Search, "train", train)
+    with pytest.raises(InterruptedError, match="^200$"):
+        cli.main(["--store", copies, "train", "--channels", "a/b", "--models", f"{copies}/m"])
+
+    def fit(pairs, names, seeds, rounds=200, **more):
+        seen.update(seeds=seeds, rounds=rounds, more=more)
+        raise InterruptedError
+
+    def negatives(pairs, **more):
+        seen.update(least=more.get("top", 300))
+        return pairs
+
+    monkeypatch.setattr(ranker, "fit", fit)
+    monkeypatch.setattr(sampling, "negatives", negatives)
+    with pytest.raises(InterruptedError):
+        catalog.QUERIES["gbt_rank_top50"](spark, copies)
+    assert seen == {"seeds": [1, 2, 3], "rounds": 200, "more": {}, "least": 300}
