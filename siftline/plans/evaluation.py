@@ -156,12 +156,18 @@ def _rake_sql(passes: int) -> str:
 
 
 @query(_rake_sql(3))
-def rake_weights(spark: SparkSession, sf: str) -> DataFrame:
+def rake_weights(spark: SparkSession, sf: str, passes: int = 3) -> DataFrame:
     orders = table(spark, sf, "orders")
     names = ["o_orderstatus", "o_orderpriority"]
     cells = orders.where("o_orderkey % 3 = 0").groupBy(*names).agg(F.count("*").alias("n"))
     target = orders.where("o_orderkey % 3 = 1 and o_custkey % 5 < 3")
-    return E.rake(cells, target, names, passes=3).select(*names, "n", F.round("w", 6).alias("w"))
+    return E.rake(cells, target, names, passes).select(*names, "n", F.round("w", 6).alias("w"))
+
+
+@query()
+def rake_weights_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The operator's 50 passes; as SQL these would be a chain of 400 tables."""
+    return rake_weights(spark, sf, 50)
 
 
 def _draws(value: str, source: str, resamples: int) -> str:
@@ -170,28 +176,47 @@ n AS (SELECT count(*) AS n FROM v), d AS (SELECT rep, {mix('idx * 7919 + rep * 1
 m AS (SELECT rep, avg(x) AS m FROM d JOIN v USING (idx) GROUP BY rep)"""
 
 
-@query(f"""
-WITH item AS (SELECT item_id, item_id % 3 / 2.0 AS r FROM benchmark), {_draws('r', 'item', 200)}
+def _ci_sql(resamples: int) -> str:
+    return f"""
+WITH item AS (SELECT item_id, item_id % 3 / 2.0 AS r FROM benchmark), {_draws('r', 'item', resamples)}
 SELECT (SELECT round(avg(x), 6) FROM v) AS mean, (SELECT n FROM n) AS n, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m
-""")
-def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
+"""
+
+
+@query(_ci_sql(200))
+def bootstrap_ci(spark: SparkSession, sf: str, resamples: int = 200) -> DataFrame:
+    """As many resamples as the SQL has; bootstrap_ci_whole has the operator's 2000."""
     rows = passages(spark, sf).select("query_id", ((F.col("query_id") % 3) / 2.0).alias("r"))
     rows = rows.withColumn("idx", F.row_number().over(Window.orderBy("query_id")) - 1)
-    return E.bootstrap(rows, "r", 200)
+    return E.bootstrap(rows, "r", resamples)
 
 
-@query(f"""
-WITH item AS (SELECT item_id, item_id % 3 / 2.0 - item_id % 4 / 3.0 AS r FROM benchmark), {_draws('r', 'item', 200)}
+@query(_ci_sql(2000))
+def bootstrap_ci_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return bootstrap_ci(spark, sf, 2000)
+
+
+def _paired_sql(resamples: int) -> str:
+    return f"""
+WITH item AS (SELECT item_id, item_id % 3 / 2.0 - item_id % 4 / 3.0 AS r FROM benchmark), {_draws('r', 'item', resamples)}
 SELECT (SELECT round(avg(x), 6) FROM v) AS mean, (SELECT n FROM n) AS n, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi,
        (SELECT count(*) FROM v WHERE x > 0) AS better, (SELECT count(*) FROM v WHERE x < 0) AS worse FROM m
-""")
-def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+"""
+
+
+@query(_paired_sql(200))
+def paired_bootstrap(spark: SparkSession, sf: str, resamples: int = 200) -> DataFrame:
     n = F.col("query_id")
     a = passages(spark, sf).select(n, (n % 3 / 2.0).alias("b"))
     b = passages(spark, sf).select(n, (n % 4 / 3.0).alias("a"))
     rows = a.join(b, "query_id").withColumn("d", F.col("b") - F.col("a")).withColumn("idx", F.row_number().over(Window.orderBy("query_id")) - 1)
     signs = rows.agg(F.sum((F.col("d") > 0).cast("long")).alias("better"), F.sum((F.col("d") < 0).cast("long")).alias("worse"))
-    return E.bootstrap(rows, "d", 200).crossJoin(signs)  # each is one row
+    return E.bootstrap(rows, "d", resamples).crossJoin(signs)  # each is one row
+
+
+@query(_paired_sql(2000))
+def paired_bootstrap_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return paired_bootstrap(spark, sf, 2000)
 
 
 @query("""

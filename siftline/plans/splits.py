@@ -38,19 +38,29 @@ def location_table(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("self_rate", F.round("self_rate", 6))
 
 
-@query(f"""
-WITH {_TRAIN}, q AS (SELECT event_id, norm_q, search AS search_location_id FROM train WHERE event_id % 5 = 0), h AS (SELECT norm_q, search AS search_location_id FROM train WHERE event_id % 40 = 1),
+def _history_sql(kept: str) -> str:
+    return f"""
+WITH {_TRAIN}, q AS (SELECT event_id, norm_q, search AS search_location_id FROM train WHERE event_id % 5 = 0), h AS (SELECT norm_q, search AS search_location_id FROM train WHERE {kept}),
 t AS (SELECT norm_q, count(*) AS n FROM h GROUP BY 1), p AS (SELECT DISTINCT * FROM h)
 SELECT event_id, coalesce(n, 0) AS text_rows_in_history, coalesce(n, 0) > 0 AS seen_text, p.norm_q IS NOT NULL AS seen_same_loc,
        CASE WHEN n IS NULL THEN '0' WHEN n = 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 8 THEN '4-8' WHEN n <= 30 THEN '9-30' ELSE '31+' END AS f_bucket
 FROM q LEFT JOIN t USING (norm_q) LEFT JOIN p ON p.norm_q = q.norm_q AND p.search_location_id = q.search_location_id
-""")
-def history_features(spark: SparkSession, sf: str) -> DataFrame:
+"""
+
+
+@query(_history_sql("event_id % 40 = 1"))
+def history_features(spark: SparkSession, sf: str, kept: str = "event_id % 40 = 1") -> DataFrame:
+    """The history is a fortieth of the rows, as the SQL has it; history_features_whole takes all that aren't queries."""
     rows = train(spark, sf).withColumnRenamed("search", "search_location_id")
-    out = S.history_features(rows.where("event_id % 5 = 0"), rows.where("event_id % 40 = 1"))
+    out = S.history_features(rows.where("event_id % 5 = 0"), rows.where(kept))
     return out.select("event_id", "text_rows_in_history", "seen_text", "seen_same_loc", "f_bucket")
 
 
+@query(_history_sql("event_id % 5 <> 0"))
+def history_features_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return history_features(spark, sf, "event_id % 5 <> 0")
+
+
 @query(f"""
 WITH {_TRAIN}, taken AS (SELECT DISTINCT search, place FROM train WHERE event_id % 100 = 0)
 SELECT event_id FROM train WHERE (search, place) NOT IN (SELECT (search, place) FROM taken) AND item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM train WHERE event_id % 50 = 7 AND item_id IS NOT NULL)

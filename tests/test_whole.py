@@ -88,3 +88,21 @@ def test_ranker_is_fully_trained(spark, monkeypatch, copies):
     with pytest.raises(InterruptedError):
         catalog.QUERIES["gbt_rank_top50"](spark, copies)
     assert seen == {"seeds": [1, 2, 3], "rounds": 200, "more": {}, "least": 300}
+
+
+def test_history_is_all_other_rows(spark, tmp_path):
+    rows = [(i, 1, "view") for i in range(100)]
+    folder = tables(spark, tmp_path, events=(rows, "event_id long, user_id long, event_type string"))
+    got = catalog.QUERIES["history_features_whole"](spark, folder).collect()
+    assert len(got) == 20 and {r.text_rows_in_history for r in got} == {80}
+
+
+def test_raking_and_resampling_run_to_their_defaults(spark, monkeypatch):
+    from siftline.operators import evaluation as E
+
+    seen = {}
+    monkeypatch.setattr(E, "bootstrap", lambda rows, value, resamples: seen.setdefault(value, resamples) and spark.range(1))
+    monkeypatch.setattr(E, "rake", lambda cells, target, names, passes: seen.setdefault("passes", passes) and cells.selectExpr("*", "1.0 as w"))
+    for name in ("bootstrap_ci_whole", "paired_bootstrap_whole", "rake_weights_whole"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == {"r": 2000, "d": 2000, "passes": 50}
