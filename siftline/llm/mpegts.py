@@ -131,39 +131,41 @@ def _payload_at(packets: np.ndarray) -> np.ndarray:
     return np.where(control & 1, np.minimum(begin, PACKET), PACKET)
 
 
-def _sections(packets: np.ndarray, table: int) -> list[bytes]:
-    """The bodies (between header and CRC) of a PID's sections whose CRC holds; each begins in its own packet."""
+def _sections(packets: np.ndarray, table: int) -> list[tuple[int, bytes]]:
+    """Numbers (of the program, in maps) and bodies (between header and CRC) of a PID's sections whose CRC holds."""
     begin, out, waiting = _payload_at(packets), [], b""
     for p, at in zip(packets, begin):
         body = p[at:].tobytes()
-        if p[1] & 0x40 and body:
-            waiting = body[1 + body[0] :]
-        elif waiting:
-            waiting += body
-        while len(waiting) >= 3 and waiting[0] != 0xFF:
-            size = 3 + (struct.unpack(">H", waiting[1:3])[0] & 0xFFF)
-            if len(waiting) < size:
-                break
-            one, waiting = waiting[:size], waiting[size:]
-            if one[0] == table and size >= 12 and crc32_mpeg(one) == 0:
-                out.append(one[8:-4])
+        starts = p[1] & 0x40 and body  # what stands before the pointer ends the section that waits
+        for fresh, piece in ((False, body[1 : 1 + body[0]]), (True, body[1 + body[0] :])) if starts else ((False, body),):
+            waiting = piece if fresh else waiting and waiting + piece
+            while len(waiting) >= 3 and waiting[0] != 0xFF:
+                size = 3 + (struct.unpack(">H", waiting[1:3])[0] & 0xFFF)
+                if len(waiting) < size:
+                    break
+                one, waiting = waiting[:size], waiting[size:]
+                if one[0] == table and size >= 12 and crc32_mpeg(one) == 0:
+                    out.append((struct.unpack(">H", one[3:5])[0], one[8:-4]))
     return out
 
 
 def demux(stream: bytes) -> dict:
     """programs {number: {stream PID: type}}, packets, breaks, payload (of all elementary streams by PID, end to end),
-    and units: (pid, pts or -1, offset of its data in the payload, bytes, whether random access begins there)."""
+    and units: (pid, pts or -1, offset of its data in the payload, bytes, whether random access begins there).
+    Tables are merged over their sections and versions: what any of them names is read."""
     packets = packet_grid(stream)
     pids = ((packets[:, 1].astype(np.int64) & 31) << 8) | packets[:, 2]
     programs: dict[int, dict[int, int]] = {}
-    maps = {}
-    for body in _sections(packets[pids == 0], 0x00)[:1]:
+    maps: set[int] = set()
+    for _, body in _sections(packets[pids == 0], 0x00):
         for number, pid in struct.iter_unpack(">HH", body[: len(body) // 4 * 4]):
             if number:
-                maps[number] = pid & 0x1FFF
-    for number, pid in maps.items():
-        programs[number] = {}
-        for body in _sections(packets[pids == pid], 0x02)[:1]:
+                programs.setdefault(number, {})
+                maps.add(pid & 0x1FFF)
+    for pid in sorted(maps):
+        for number, body in dict.fromkeys(_sections(packets[pids == pid], 0x02)):
+            if number not in programs:
+                continue
             at = 4 + (struct.unpack(">H", body[2:4])[0] & 0xFFF)
             while at + 5 <= len(body):
                 kind, es, info = struct.unpack(">BHH", body[at : at + 5])

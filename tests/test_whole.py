@@ -106,3 +106,41 @@ def test_raking_and_resampling_run_to_their_defaults(spark, monkeypatch):
     for name in ("bootstrap_ci_whole", "paired_bootstrap_whole", "rake_weights_whole"):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == {"r": 2000, "d": 2000, "passes": 50}
+
+
+def _two_programs():
+    """Two association sections, maps of both programs on one PID, and a later map that adds a stream to the first."""
+    import struct
+
+    from siftline.llm import mpegts as m
+
+    def pes(pid, data):
+        one = b"\x00\x00\x01\xbd" + struct.pack(">H", len(data) + 3) + b"\x84\x00\x00" + data
+        gap = m.PACKET - 4 - len(one)
+        return struct.pack(">BHBBB", m.SYNC, 0x4000 | pid, 0x30, gap - 1, 0) + b"\xff" * (gap - 2) + one
+
+    def pmt(number, *streams):
+        return m._section(2, number, struct.pack(">HH", 0xE000 | 0x200, 0xF000) + b"".join(struct.pack(">BHH", 6, 0xE000 | es, 0xF000) for es in streams))
+
+    pat = [m._section(0, 1, struct.pack(">HH", n, 0xE000 | 0x100)) for n in (1, 2)]
+    tables = [m._table_packet(0, 0, pat[0]), m._table_packet(0, 1, pat[1]), m._table_packet(0x100, 0, pmt(1, 0x201)), m._table_packet(0x100, 1, pmt(2, 0x202)), m._table_packet(0x100, 2, pmt(1, 0x201, 0x203))]
+    return b"".join(tables + [pes(0x201, b"one"), pes(0x202, b"two"), pes(0x203, b"three")])
+
+
+def test_all_programs_and_later_maps_are_read():
+    from siftline.llm import mpegts as m
+
+    got = m.demux(_two_programs())
+    assert got["programs"] == {1: {0x201: 6, 0x203: 6}, 2: {0x202: 6}} and got["payload"] == b"onetwothree"
+
+
+def test_a_section_that_ends_before_the_pointer_is_read():
+    import struct
+
+    import numpy as np
+
+    from siftline.llm import mpegts as m
+
+    first, second = m._section(0, 1, bytes(200)), m._section(0, 1, b"\x00\x07\xe1\x00")
+    packets = struct.pack(">BHB", m.SYNC, 0x4000, 0x10) + b"\x00" + first[:183] + (struct.pack(">BHB", m.SYNC, 0x4000, 0x11) + bytes([len(first) - 183]) + first[183:] + second).ljust(m.PACKET, b"\xff")
+    assert m._sections(np.frombuffer(packets, np.uint8).reshape(2, m.PACKET), 0) == [(1, bytes(200)), (1, b"\x00\x07\xe1\x00")]
