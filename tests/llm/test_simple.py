@@ -1,5 +1,6 @@
 """Operators without Spark: formats, parsers, tokenizers, heuristics."""
 
+import collections
 import os
 import random
 import struct
@@ -95,6 +96,45 @@ def test_packing_keeps_all_limits(rows, most, loss_cap):
         assert offset[own].tolist() == (np.cumsum(tokens[own]) - tokens[own]).tolist() and order[own].tolist() == list(range(len(own)))
 
 
+def plain_packing(tokens, loss, limits):
+    """The heuristic by plain loops: the piece of the largest dot product that fits; ties to the shorter, then the earlier."""
+    need = [tokens.sum() / limits[0], len(tokens) / limits[1], loss.sum() / limits[2]]
+    need = [x / sum(need) for x in need]
+    open_, out, number = sorted(range(len(tokens)), key=lambda i: (tokens[i], loss[i], i)), {}, 0
+    while open_:
+        left = list(limits)
+        while True:
+            fitting = [i for i in open_ if tokens[i] <= left[0] and left[1] >= 1 and loss[i] <= left[2]]
+            if not fitting:
+                break
+            best = max(fitting, key=lambda i: (round(sum(w * d * r / c**2 for w, d, r, c in zip(need, (tokens[i], 1, loss[i]), left, limits)), 12), -open_.index(i)))
+            out[best] = number
+            open_.remove(best)
+            left = [left[0] - tokens[best], left[1] - 1, left[2] - loss[best]]
+        number += 1
+    return [out[i] for i in range(len(tokens))]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=40), st.integers(1, 6), st.integers(63, 64))
+def test_packing_is_that_of_a_plain_loop(sizes, most, loss_cap):
+    tokens = np.array(sorted(sizes))
+    assert packing.place(tokens, tokens - 1, (64, most, loss_cap))[0].tolist() == plain_packing(tokens, tokens - 1, (64, most, loss_cap))
+
+
+def test_each_limit_stops_what_the_others_allow():
+    def most(tokens, loss, limits):
+        sequence = packing.place(np.array(tokens), np.array(loss), limits)[0]
+        return max(collections.Counter(sequence.tolist()).values())
+
+    assert most([16] * 9, [1] * 9, (64, 9, 64)) == 4  # tokens
+    assert most([2] * 9, [1] * 9, (64, 5, 64)) == 5  # segments
+    assert most([16] * 9, [15] * 9, (64, 9, 50)) == 3  # loss-bearing tokens
+    limits = (packing.CAPACITY, packing.MAX_SEGMENTS, int(packing.CAPACITY * packing.LOSS_SHARE))
+    assert most([3] * 500, [2] * 500, limits) == packing.MAX_SEGMENTS
+    assert most([1024] * 8, [1023] * 8, limits) == 1 and most([1024] * 8, [0] * 8, limits) == 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 162, 163, 169, 170, 171, 176, 177, 184, 185, 7680, 7681, 7680 * 13 + 5])
 def test_transport_round_trip(n):
     payload = os.urandom(n)

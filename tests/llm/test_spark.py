@@ -206,6 +206,14 @@ def test_packing_holds_every_id_once(spark, odd):
         assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[-1][0] + s[-1][1] <= 256
 
 
+def test_packing_is_the_same_however_rows_are_dealt(spark, odd):
+    rows = lambda df: sorted(str((r.doc_id, r.start, r.ids_crc32, r.sequence_id, r.offset)) for r in df.collect())
+    many = odd.unionByName(docs_of(spark, [(8, PROSE[1], "en", "a")] * 40 + [(None, "x", "en", "a")] * 40))
+    once = rows(packing.pack(many, TOKENIZER, bucket_pieces=20))
+    assert once == rows(packing.pack(many.repartition(7), TOKENIZER, bucket_pieces=20))
+    assert max(collections.Counter(r.sequence_id for r in packing.pack(many, TOKENIZER).collect()).values()) <= packing.MAX_SEGMENTS
+
+
 def plain_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
