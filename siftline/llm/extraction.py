@@ -1,15 +1,19 @@
 """HTML extraction by tag-path ratios.
 
-Every text block of a page has a root-to-leaf path of block elements. Per path the text's length and punctuation
-are summed; their ratios to the number of blocks tell paths that hold prose from paths that hold links and labels. The
-two ratios are smoothed over the page's order of paths, fused to one by their product, and a threshold picks the
-content paths. The blocks of these paths span the content: their heaviest common ancestor. Within it all blocks are
-kept, as short paragraphs and headings of an article belong to it, but for what its elements show to be no part of it
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).
-
-Defined results: a null or empty html, or one without content, gives an empty text; blocks that repeat are kept as
-often as they occur; rows with equal ids are handled each by itself; other columns are ignored; empty tables give
-empty results. Markup of any length is read in one pass.
+Every text block of a page has a root-to-leaf path of block elements, with the class of each. Per path the length of
+text and the punctuation outside links are summed; their ratios to the number of blocks tell paths that hold prose from
+paths that hold links and labels. Each ratio is smoothed over the page's order of paths, the two are fused to one, and
+weighed down by what the elements say of themselves: a class that names an advert or comments, an article within an
+article (a reader's comment, by HTML's own account), a place outside the page's article. A threshold on the fused ratio
+picks the content paths, and their blocks are the content nodes. Short neighbours join them by position: headings,
+list items and short paragraphs inside the content nodes' closest common ancestor, unless they too are weighed down.
+Only what HTML itself declares to be no content never counts: nav, footer, aside, form and its parts, scripts, styles,
+hidden elements, headers outside articles, and the roles that mean the same.
+
+Defined results: a null or empty html, or one without text, gives an empty text; if no path is over the threshold, all
+are content; paths with equal ratios are chosen alike; blocks that repeat are kept as often as they occur; rows with
+equal ids are handled each by itself; other columns are ignored; empty tables give empty results. Time is linear in
+the page's length, whatever its depth: paths are numbered once, and nothing walks the stack of open elements.
 """
 
 from __future__ import annotations
@@ -46,12 +50,10 @@ SCOPES = frozenset("html body table td th caption ul ol dl article section div m
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist status".split())
 #: Blocks that belong to the prose around them, however short.
 AMONG = HEADINGS | frozenset("li dt dd blockquote pre td th figcaption".split())
-#: Words of class names and ids that mark what isn't the article.
+#: Words of class names and ids that speak against a path; they lower its ratio, and decide nothing alone.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising adsense adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notification alert "
-    "sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar header masthead footer foot colophon copyright comment comments "
-    "commentlist disqus respond reply replies share sharing social follow related recommended recommendations more-from newsletter subscribe subscription signup "
-    "login register popup modal overlay lightbox widget widgets pagination pager tags taglist skip hidden print popular trending poll survey paywall toc".split()
+    "ad ads advert advertisement advertising adsense banner promo promotion sponsored cookie cookies consent gdpr notice sidebar menu breadcrumb breadcrumbs comment comments "
+    "respond replies newsletter subscribe signup popup modal pagination".split()
 )
 # ----------------------------------------------------------------------------------------------------------------
 
@@ -66,44 +68,48 @@ _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+#: What a mark, an article within an article, and a place outside the page's article or main part leave of a ratio.
+MARKED, NESTED, OUTSIDE = 0.15, 0.15, 0.02
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
-    nodes: tuple[int, ...]
+    path: int
+    node: int
+    name: str  # of the element that holds it
     text: str
     in_link: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
+    """An open element, with what is true of all that are open up to it."""
+
     name: str
-    label: str
-    number: int
+    path: int
+    node: int
     out: bool  # it, or one around it, is no part of an article
-    link: bool = False
-
-
-def _label(name: str, attributes: dict[str, str]) -> str:
-    kind = attributes.get("class", "").split()
-    return f"{name}.{kind[0]}" if kind else name
+    blocks: int  # how many of them are blocks
+    links: int
+    articles: int
 
 
 def _excluded(name: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if name in NEVER or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+    """Whether HTML itself says that this element is no content."""
+    if name in NEVER or (name == "header" and not in_article):
         return True
-    if name == "header" and not in_article:
-        return True
-    if attributes.get("role", "").lower() in ROLES or _HIDDEN.search(attributes.get("style", "")):
+    if not attributes:
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if name in ("html", "body", "main", "article"):
+    return attributes.get("role", "").lower() in ROLES or bool(_HIDDEN.search(attributes.get("style", "")))
+
+
+def _marked(name: str, attributes: dict[str, str]) -> bool:
+    if name in ("html", "body", "main") or not attributes:
         return False
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    if named == " ":
-        return False
-    words = set(_WORDS.findall(_CAMEL.sub("-", named).lower()))
-    if name in HEADINGS or (in_article and name in ("header", "p")):
-        words -= {"header", "foot", "more", "side", "print"}
-    return bool(words & MARKS)
+    return named != " " and not MARKS.isdisjoint(_WORDS.findall(_CAMEL.sub("-", named).lower()))
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -116,65 +122,106 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+_CLOSES = {name: [k for k, v in CLOSED_BY.items() if name in v] for name in frozenset().union(*CLOSED_BY.values())}
+_STOPS = {name: [s for s in SCOPES if name not in CLOSED_BY.get(s, ())] for name in _CLOSES}
+_ROOT = Element("", 0, 0, False, 0, 0, 0)
+
+
 @dataclass
-class _Page:
+class Page:
+    """The blocks of a page, its paths (numbered; each with its weight and whether it lies in an article or main part),
+    and the parent of every block element (by number)."""
+
     blocks: list[Block] = field(default_factory=list)
-    stack: list[Element] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    made: int = 0
+    weights: list[float] = field(default_factory=lambda: [1.0])
+    inside: list[bool] = field(default_factory=lambda: [False])
+    parents: list[int] = field(default_factory=lambda: [0])
+    names: list[str] = field(default_factory=lambda: [""])
+
+
+class _Reader:
+    def __init__(self) -> None:
+        self.page = Page()
+        self.stack: list[Element] = [_ROOT]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each name, where on the stack it is open
+        self.paths: dict[tuple[int, str], int] = {}
+        self.parts: list[str] = []
+        self.linked = 0
 
     def flush(self) -> None:
         if not self.parts:
             return
+        top = self.stack[-1]
         text = " ".join("".join(self.parts).split())
-        if text and not (self.stack and self.stack[-1].out):
-            around = [e for e in self.stack if e.name in BLOCKS]
-            self.blocks.append(Block(tuple(e.label for e in around), tuple(e.number for e in around), text, self.linked))
+        if text and not top.out:
+            self.page.blocks.append(Block(top.path, top.node, self.page.names[top.node], text, self.linked))
         self.parts, self.linked = [], 0
 
     def add(self, text: str) -> None:
-        if self.stack and self.stack[-1].out:
+        top = self.stack[-1]
+        if top.out:
             return
         text = entities.unescape(text)
         self.parts.append(text)
-        if any(e.link for e in self.stack):
+        if top.links:
             self.linked += len(text.strip())
 
+    def _cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.places[self.stack.pop().name].pop()
+
     def close(self, name: str) -> None:
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].name == name), -1)
-        if at < 0:
+        if not self.places[name]:
             return
-        if name not in BLOCKS and any(e.name in BLOCKS for e in self.stack[at + 1 :]):
+        at = self.places[name][-1]
+        top, this, below = self.stack[-1], self.stack[at], self.stack[at - 1]
+        if name not in BLOCKS and top.blocks > this.blocks:
             return  # a stray end tag of an inline element doesn't close the blocks in it
-        if any(e.name in BLOCKS or e.out for e in self.stack[at:]):
+        if top.blocks > below.blocks or top.out != below.out:
             self.flush()
-        del self.stack[at:]
+        self._cut(at)
+
+    def _last(self, names: list[str]) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
 
     def open(self, name: str, raw: str) -> None:
-        while True:
-            scope = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].name in SCOPES and name not in CLOSED_BY.get(self.stack[i].name, ())), -1)
-            at = next((i for i in range(len(self.stack) - 1, scope, -1) if name in CLOSED_BY.get(self.stack[i].name, ())), -1)
-            if at < 0:
-                break
-            self.flush()
-            del self.stack[at:]
+        if name in _CLOSES:
+            while (at := self._last(_CLOSES[name])) and at > self._last(_STOPS[name]):
+                self.flush()
+                self._cut(at)
         attributes = _attributes(raw) if "=" in raw or "hidden" in raw else {}
-        around = self.stack[-1].out if self.stack else False
-        out = around or _excluded(name, attributes, any(e.name in ("article", "main") for e in self.stack))
-        if name in BLOCKS or (out and not around):
+        top, is_block = self.stack[-1], name in BLOCKS
+        out = top.out or _excluded(name, attributes, top.articles > 0)
+        if is_block or out != top.out:
             self.flush()
         if name in VOID:
             if name == "br":
                 self.parts.append(" ")
             return
-        self.made += 1
-        self.stack.append(Element(name, _label(name, attributes), self.made, out, name == "a"))
-
-
-def blocks_of(page: str) -> list[Block]:
+        path, node = top.path, top.node
+        if is_block and not out:
+            path, node = self._enter(name, attributes, top)
+        self.places[name].append(len(self.stack))
+        self.stack.append(Element(name, path, node, out, top.blocks + is_block, top.links + (name == "a"), top.articles + (name in ("article", "main"))))
+
+    def _enter(self, name: str, attributes: dict[str, str], top: Element) -> tuple[int, int]:
+        page, marked = self.page, _marked(name, attributes)
+        kind = attributes.get("class", "").split()
+        label = f"{name}.{kind[0] if kind else ''}{'!' if marked else ''}"
+        path = self.paths.get((top.path, label))
+        if path is None:
+            path = self.paths[top.path, label] = len(page.weights)
+            nested = name == "article" and page.inside[top.path]
+            page.weights.append(page.weights[top.path] * (MARKED if marked else 1.0) * (NESTED if nested else 1.0))
+            page.inside.append(page.inside[top.path] or name in ("article", "main"))
+        page.parents.append(top.node)
+        page.names.append(name)
+        return path, len(page.parents) - 1
+
+
+def read(page: str) -> Page:
     """The text blocks of a page in order, without those inside elements that are never content."""
-    state, at, n = _Page(), 0, len(page)
+    state, at, n = _Reader(), 0, len(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -213,7 +260,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         state.open(name, m[3])
     state.flush()
-    return state.blocks
+    return state.page
 
 
 def _smooth(values: list[float], weights: list[int], sigma: float = 1.0) -> list[float]:
@@ -227,58 +274,78 @@ def _smooth(values: list[float], weights: list[int], sigma: float = 1.0) -> list
     return out
 
 
-def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """The fused ratio of every tag path."""
-    length: dict = defaultdict(int)
-    marks: dict = defaultdict(int)
-    count: dict = defaultdict(int)
-    for b in blocks:
+def path_scores(page: Page) -> dict[int, float]:
+    """The fused ratio of every tag path that holds a block."""
+    length: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    count: dict[int, int] = defaultdict(int)
+    for b in page.blocks:
         length[b.path] += max(0, len(b.text) - b.in_link)
         marks[b.path] += len(_PUNCTUATION.findall(b.text)) * (b.in_link * 2 <= len(b.text))
         count[b.path] += 1
     paths = list(count)
     text_ratio = [length[p] / count[p] for p in paths]
     mark_ratio = [(marks[p] + 0.1) / count[p] for p in paths]
-    own = [t * m for t, m in zip(text_ratio, mark_ratio)]
-    weights = [count[p] for p in paths]
-    both = [a * b for a, b in zip(_smooth(text_ratio, weights), _smooth(mark_ratio, weights))]
-    return {p: math.sqrt(max(o, 0.0) * max(s, 0.0)) for p, o, s in zip(paths, own, both)}
-
-
-def _content_root(blocks: list[Block], chosen: set[tuple[str, ...]], share: float) -> tuple[int, str] | None:
-    """The element that holds ``share`` of the text in content paths: an article, else a main part, else the deepest."""
-    held: dict[tuple[int, str], int] = defaultdict(int)
-    depth: dict[tuple[int, str], int] = {}
-    total = 0
-    for b in blocks:
-        if b.path in chosen:
-            total += len(b.text)
-            for d, node in enumerate(zip(b.nodes, (x.split(".")[0] for x in b.path))):
-                if node[1] in AMONG or node[1] == "p":
-                    break
-                held[node] += len(b.text)
-                depth[node] = d
-    good = [node for node, n in held.items() if n >= share * total]
-    return max(good, key=lambda node: (node[1] == "article", node[1] == "main", depth[node] if node[1] not in ("article", "main") else -depth[node]), default=None)
-
-
-def main_text(page: str | None, threshold: float = 0.25, share: float = 0.9) -> str:
-    """The page's article: its blocks, joined by line breaks.
-
-    Paths whose fused ratio is at least ``threshold`` times that of the mean block are content paths.
-    """
-    blocks = blocks_of(page or "")
-    if not blocks:
+    smooth = [_smooth(ratio, [count[p] for p in paths]) for ratio in (text_ratio, mark_ratio)]
+    fused = [math.sqrt(t * m * st * sm) for t, m, st, sm in zip(text_ratio, mark_ratio, *smooth)]
+    has_article = any(page.inside[p] for p in paths)
+    return {p: v * page.weights[p] * (OUTSIDE if has_article and not page.inside[p] else 1.0) for p, v in zip(paths, fused)}
+
+
+def content_paths(page: Page, scores: dict[int, float], threshold: float) -> set[int]:
+    """Paths whose fused ratio is at least ``threshold`` times that of the mean character."""
+    size = sum(len(b.text) for b in page.blocks)
+    mean = sum(scores[b.path] * len(b.text) for b in page.blocks) / size
+    return {p for p, v in scores.items() if v >= threshold * mean} or set(scores)
+
+
+def _ancestor(page: Page, nodes: list[int]) -> list[bool]:
+    """Of every block element whether it is the closest common ancestor of ``nodes`` or lies in it; that one first."""
+    held = [0] * len(page.parents)
+    for n in nodes:
+        held[n] += 1
+    root = 0
+    for n in range(len(held) - 1, 0, -1):  # children have larger numbers than their parents
+        if held[n] == len(nodes):
+            root = n
+            break
+        held[page.parents[n]] += held[n]
+    while page.names[root] in AMONG or page.names[root] == "p":
+        root = page.parents[root]
+    inside = [False] * len(held)
+    inside[root] = True
+    for n in range(root + 1, len(held)):
+        inside[n] = inside[page.parents[n]]
+    return inside
+
+
+def main_text(html: str | None, threshold: float = 0.25) -> str:
+    """The page's article: its blocks, joined by line breaks."""
+    page = read(html or "")
+    if not page.blocks:
         return ""
-    scores = path_scores(blocks)
-    size = sum(len(b.text) for b in blocks)
-    mean = sum(scores[b.path] * len(b.text) for b in blocks) / size
-    chosen = {p for p, v in scores.items() if v >= threshold * mean} or set(scores)
-    root = _content_root(blocks, chosen, share)
-    if root is None or root[1] in ("html", "body"):
-        # No element of its own holds the content: its paths, and what stands among them.
-        return "\n".join(b.text for b in blocks if b.path in chosen or (b.path and b.path[-1].split(".")[0] in AMONG))
-    return "\n".join(b.text for b in blocks if root[0] in b.nodes)
+    chosen = content_paths(page, path_scores(page), threshold)
+    return "\n".join(b.text for b in _with_neighbours(page, chosen))
+
+
+def _with_neighbours(page: Page, chosen: set[int]) -> list[Block]:
+    """The content nodes and the blocks beside them that belong to them, in the page's order."""
+    content = [b.path in chosen for b in page.blocks]
+    inside = _ancestor(page, [b.node for b, is_content in zip(page.blocks, content) if is_content])
+    root = inside.index(True)
+    parents = {page.parents[b.node] for b, is_content in zip(page.blocks, content) if is_content}
+    first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+    while first and page.blocks[first - 1].name in HEADINGS and page.weights[page.blocks[first - 1].path] == 1:
+        first -= 1
+    whole = page.names[root] in ("article", "main")
+    out = []
+    for i, (b, is_content) in enumerate(zip(page.blocks, content)):
+        joins = inside[b.node] and page.weights[b.path] == 1
+        if joins and not whole:  # nothing but the ratios says where the article ends
+            joins = first <= i <= last and 2 * b.in_link <= len(b.text) and (b.name in AMONG or page.parents[b.node] in parents)
+        if is_content or joins:
+            out.append(b)
+    return out
 
 
 def extract(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:

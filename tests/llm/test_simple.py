@@ -1,9 +1,12 @@
 """Operators without Spark: formats, parsers, tokenizers, heuristics."""
 
 import collections
+import html.parser
+import math
 import os
 import random
 import struct
+import time
 
 import numpy as np
 import public_tokenizers
@@ -234,8 +237,112 @@ def test_headings_and_lists_stay():
 
 
 def test_deep_and_long_pages_are_read_in_one_pass():
+    began = time.process_time()
     assert extraction.main_text("<div>" * 3000 + "x, y." + "</div>" * 3000) == "x, y."
     assert len(extraction.main_text("<article>" + "<p>word, word.</p>" * 20_000 + "</article>").split("\n")) == 20_000
+    assert len(extraction.main_text("<div>x, y." * 100_000).split("\n")) == 100_000
+    assert extraction.main_text("<span>x, y." * 100_000).startswith("x, y.x, y.")
+    assert extraction.main_text("<p>" + "word, " * 200_000).count("word") == 200_000
+    assert time.process_time() - began < 8
+
+
+LINES = "<p>First long paragraph, with words and, of course, commas. It goes on.</p><p>Second long paragraph, with words and, of course, commas. It goes on.</p>"
+
+
+@pytest.mark.parametrize("wrap", ["<section id='follow-up'>{}</section>", "<section class='popular-science'>{}</section>", "<div class='print-summary'>{}</div>", "<div class='side-effects'>{}</div>", "<div class='related-work'>{}</div>", "<div id='footnotes'>{}</div>"])
+def test_names_of_an_articles_parts_lose_nothing(wrap):
+    assert extraction.main_text(page(f"<article>{LINES}{wrap.format(LINES)}{LINES}</article>")).count("long paragraph") == 6
+    assert extraction.main_text(page(f"<div>{LINES}{wrap.format(LINES)}{LINES}</div>")).count("long paragraph") == 6
+
+
+def test_the_ratios_decide_without_articles_or_names():
+    menu = "".join(f"<div class=x{k % 3}><a href=/{k}>Item {k}</a></div>" for k in range(9))
+    html = page(f"<div>{menu}</div><div><h2>Title</h2>{LINES * 3}</div><div class=z><span>Short label</span></div>")
+    assert extraction.main_text(html) == "Title\n" + "\n".join(["First long paragraph, with words and, of course, commas. It goes on.", "Second long paragraph, with words and, of course, commas. It goes on."] * 3)
+
+
+def test_other_ratios_choose_other_nodes(monkeypatch):
+    html = page(f"<div class='ad'>Buy it now.</div><article>{LINES}</article>")
+    monkeypatch.setattr(extraction, "path_scores", lambda p: {b.path: 1.0 for b in p.blocks})
+    assert extraction.main_text(html).startswith("Buy it now.\nFirst long")
+
+
+class Plain(html.parser.HTMLParser):
+    """Blocks of well-formed pages of div, p, h2, article and a: (path of (name.class, number), text, in links)."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks, self.n, self.link = [], [], 0, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = True
+            return
+        self.n += 1
+        self.stack.append((f"{tag}.{dict(attrs).get('class', '')}", self.n))
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = False
+        else:
+            self.stack.pop()
+
+    def handle_data(self, data):
+        self.blocks.append((list(self.stack), data, len(data) if self.link else 0))
+
+
+def plain_main_text(source):
+    parser = Plain()
+    parser.feed(source)
+    blocks = [(tuple(x for x, _ in stack), [n for _, n in stack], text, linked) for stack, text, linked in parser.blocks]
+    paths = list(dict.fromkeys(b[0] for b in blocks))
+    mean = lambda xs: sum(xs) / len(xs)
+    of = {p: [b for b in blocks if b[0] == p] for p in paths}
+    texts = [mean([len(b[2]) - b[3] for b in of[p]]) for p in paths]
+    marks = [(sum(sum(c in ".,;:!?" for c in b[2]) for b in of[p] if not b[3]) + 0.1) / len(of[p]) for p in paths]
+
+    def smooth(values, i):
+        near = [(math.exp(-((i - j) ** 2) / 2) * len(of[paths[j]]), values[j]) for j in range(len(paths)) if abs(i - j) <= 2]
+        return sum(w * v for w, v in near) / sum(w for w, _ in near)
+
+    article = lambda p: any(x.startswith("article") for x in p)
+    score = {}
+    for i, p in enumerate(paths):
+        score[p] = math.sqrt(texts[i] * marks[i] * smooth(texts, i) * smooth(marks, i))
+        score[p] *= 0.15 ** sum(x == "div.ad" for x in p) * 0.15 ** max(0, sum(x.startswith("article") for x in p) - 1)
+        score[p] *= 0.02 if any(map(article, paths)) and not article(p) else 1
+    bar = 0.25 * sum(score[b[0]] * len(b[2]) for b in blocks) / sum(len(b[2]) for b in blocks)
+    chosen = {p for p in paths if score[p] >= bar} or set(paths)
+    content = [b[0] in chosen for b in blocks]
+    nodes = [list(zip(b[1], b[0])) for b, c in zip(blocks, content) if c]
+    common = [x for x in nodes[0] if all(x in other for other in nodes)]
+    while common and common[-1][1].split(".")[0] in ("p", "h2"):
+        common.pop()
+    root = common[-1] if common else None
+    first, last = content.index(True), max(i for i, c in enumerate(content) if c)
+    bad = lambda p: "div.ad" in p or sum(x.startswith("article") for x in p) > 1
+    while first and blocks[first - 1][0] and blocks[first - 1][0][-1].startswith("h2") and not bad(blocks[first - 1][0]):
+        first -= 1
+    beside = {tuple(b[1][:-1]) for b, c in zip(blocks, content) if c}
+    out = []
+    for i, (b, c) in enumerate(zip(blocks, content)):
+        joins = (root is None or root in zip(b[1], b[0])) and not bad(b[0])
+        if not (root and root[1].startswith("article")):
+            joins = joins and first <= i <= last and 2 * b[3] <= len(b[2]) and (b[0][-1].startswith("h2") or tuple(b[1][:-1]) in beside)
+        if c or joins:
+            out.append(b[2])
+    return "\n".join(out)
+
+
+_text = st.sampled_from(["Short", "A label here", "Some words, and more of them, in a row. They end here.", "Long prose, with commas, and clauses; and so on, and on. It ends, at last, here.", "x"])
+_leaf = st.one_of(_text.map(lambda t: f"<p>{t}</p>"), _text.map(lambda t: f"<h2>{t}</h2>"), _text.map(lambda t: f"<p class=b>{t}</p>"), _text.map(lambda t: f"<p class=m><a>{t}</a></p>"))
+_tree = st.recursive(_leaf, lambda inner: st.tuples(st.sampled_from(["div", "div class=ad", "div class=c", "article"]), st.lists(inner, min_size=1, max_size=4)).map(lambda x: f"<{x[0]}>{''.join(x[1])}</{x[0].split()[0]}>"), max_leaves=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_tree, min_size=1, max_size=4).map("".join))
+def test_extraction_is_that_of_a_plain_version(source):
+    assert extraction.main_text(source) == plain_main_text(source)
 
 
 def test_network_learns_and_blocks_agree():
