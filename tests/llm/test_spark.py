@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import re
 import zlib
 
@@ -65,6 +67,70 @@ def test_outliers_reject_what_differs(spark):
     assert not any(got[1000 + k] for k in range(30)) and sum(got[k] for k in range(300)) >= 290
 
 
+FLOOR = np.diag(np.square(outliers.FLOORS))
+
+
+def plain_scatter(x, target):
+    """The regularised scatter of a subset's rows, of a group of n rows whose subset this is."""
+    rows, n = x
+    drawn = 30 / (n + 30)
+    return (1 - drawn) * outliers._consistency(0.75) * np.cov(rows.T, bias=True) + drawn * target + FLOOR
+
+
+def plain_estimate(x, target, starts=60):
+    """The least determinant of any start, by plain concentration steps; all subsets are starts in small groups."""
+    n = len(x)
+    h = math.ceil(0.75 * n)
+    rng = np.random.default_rng(5)
+    subsets = itertools.combinations(range(n), h) if n <= 9 else [rng.choice(n, 6, replace=False) for _ in range(starts)]
+    best = None
+    for subset in subsets:
+        rows, before = x[list(subset)], math.inf
+        while True:
+            centre, scatter = rows.mean(0), plain_scatter((rows, n), target)
+            now = np.linalg.slogdet(scatter)[1]
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+            if len(rows) >= h and (best is None or now < best[0]):
+                best = (now, d2)
+            if now > before - 1e-9 and len(rows) >= h:
+                break
+            before, rows = now if len(rows) >= h else math.inf, x[d2 <= np.sort(d2)[h - 1]]
+    return best
+
+
+def test_outliers_have_the_least_determinant(spark):
+    rng = np.random.default_rng(3)
+    groups = {}
+    for g, n in enumerate([1, 2, 3, 5, 8, 8, 9, 9, 40, 120, 300]):
+        x = rng.normal(0, (0.1, 0.6, 0.8, 0.7), (n, 4)) @ np.linalg.cholesky(0.6 * np.eye(4) + 0.4) + rng.normal(0, 1, 4)
+        x[: n // 6] += rng.choice([-9, 9], 4)
+        groups[f"g{g}"] = x
+    df = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "g string, x0 double, x1 double, x2 double, x3 double")
+    centred = df.join(outliers._quartiles(df), "g")
+    s = outliers._common_scatter(centred, 0.75)
+    target = np.zeros((4, 4))
+    for (i, j), v in zip(outliers.PAIRS, s):
+        target[i, j] = target[j, i] = v
+    got = df.join(outliers._estimates(df, 0.75, 30.0), "g").select("g", *outliers.DIMS, outliers._distance().alias("d2"), *[f"l{i}{i}" for i in range(4)])
+    found = collections.defaultdict(list)
+    for r in got.collect():
+        found[r.g].append(r)
+    for g, x in groups.items():
+        det, d2 = plain_estimate(x, target)
+        own = 2 * sum(math.log(found[g][0][f"l{i}{i}"]) for i in range(4))
+        assert own == pytest.approx(det, abs=1e-6)
+        plain = {tuple(np.round(r, 9)): d for r, d in zip(x, d2)}
+        for r in found[g]:
+            assert r.d2 == pytest.approx(plain[tuple(np.round([r.x0, r.x1, r.x2, r.x3], 9))], abs=1e-5, rel=1e-5)
+
+
+def test_small_groups_are_judged_too(spark):
+    text = lambda k: " ".join(f"{'abcdefghij'[(k + j) % 10]}{(k * j) % 83:04d}" for j in range(80))
+    rows = [(k, text(k), "en", f"s{k // 10}") for k in range(300)] + [(1000 + k, text(k).replace(" ", "*** "), "en", f"s{k}") for k in range(30)]
+    got = {r.doc_id: r.kept for r in outliers.outlier_rules(docs_of(spark, rows)).collect()}
+    assert not any(got[1000 + k] for k in range(30)) and sum(got[k] for k in range(300)) >= 295
+
+
 def test_shards(spark, odd):
     many = odd.unionByName(docs_of(spark, [(100 + k, PROSE[k % 5] * (1 + k % 7), "en" if k % 3 else "de", f"s{k % 4}") for k in range(1500)] + [(5000 + k, "same text " * 20, "en", f"s{k % 3}") for k in range(700)]))
     got = sharding.kd_shards(many, 16).collect()
