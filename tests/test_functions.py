@@ -47,6 +47,8 @@ def test_city_and_experience(spark):
     city = lambda p: one(spark, T.city_of(F.lit(p), service_terms.REGION, service_terms.STREET))
     assert city("Московская обл., Щёлково, ул. Мира") == "Щёлково"
     assert city("ул. Мира, 5") == "" and city(None) == ""
+    assert city("Республика Крым, Симферополь, р-н Киевский") == "Симферополь" and city("Краснодарский край, пос. Мирный, Крайний") == "Крайний"
+    assert city("проспект Мира, Шахты") == "Шахты" and city("12 линия, ЯНАО, Надым") == "ЯНАО" and city("Ямало-Ненецкий АО, Надым") == "Надым"
     years = [one(spark, T.experience_years(F.lit(x))) for x in ("Меньше года", "3–5 лет", "7 лет", "")]
     assert years == [0.5, 4.0, 7.0, None]
 
@@ -99,6 +101,12 @@ VOCABULARY = P.Vocabulary(service_terms.kinds({"Груз": "desc", "Гарант
         ("Вид услуги Ремонт Гарантия", [("Вид услуги", "Ремонт"), ("Гарантия", "")]),
         ("Вид услуги Ремонт Гарантия год", [("Вид услуги", "Ремонт Гарантия год")]),
         ("Тип услуги автосервиса Шиномонтаж", [("Тип услуги автосервиса", "Шиномонтаж")]),
+        ("Стоимость 500 Услуга Стрижка Услуга Окраска", [("Стоимость", "500"), ("Услуга", "Стрижка"), ("Услуга", "Окраска")]),
+        ("Вид услуги Услуга Стрижка", [("Вид услуги", "Услуга Стрижка")]),
+        ("до  Вид услуги Ремонт груз", [("", "до"), ("Вид услуги", "Ремонт груз")]),
+        ("Гарантия Гарантия", [("Гарантия", ""), ("Гарантия", "")]),
+        ("Стоимость Груз Марка", [("Стоимость", ""), ("Груз", "Марка")]),
+        ("Вид услуги Ремонт Груз Марка Груз", [("Вид услуги", "Ремонт"), ("Груз", "Марка"), ("Груз", "")]),
     ],
 )
 def test_parse_params(text, want):
