@@ -16,8 +16,10 @@ their shingles' hashes (which bound the difference from below) rule them out. Ev
 full shingle sets.
 
 Defined results: null and empty texts, and those without words, have no shingles, are linked with nothing, and form
-their own group; repeated rows and copies are in one group; rows with a null id stay alone or follow their copies; an
-empty table gives an empty result. Rows of one id count as one document. Other columns of the input are ignored.
+their own group; repeated rows and copies are in one group; different texts of one id are different documents, each
+in its own group; a group of which some rows have no id is named by the least id of the others, one without any id by
+null, and all of its rows count as kept. An empty table gives an empty result. Ids may be of any type that has an
+order. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -65,11 +67,11 @@ def minhash(shingles: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, ngram: int, k: int) -> DataFrame:
-    """doc_id, n, lo and hi (two hashes of the whole set), sig (null for an empty set)."""
+    """key, h, n, lo and hi (two hashes of the whole set), sig (null for an empty set), from key, h, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, bounds in textops.utf8_batches(batch.column(1)):
+            for at, data, bounds in textops.utf8_batches(batch.column(2)):
                 rows = len(bounds) - 1
                 h, first = textops.shingle_sets(data, bounds, ngram)
                 n = np.diff(first)
@@ -80,22 +82,22 @@ def _signatures(docs: DataFrame, ngram: int, k: int) -> DataFrame:
                     hi[some] = np.add.reduceat(textops.mix64(h ^ _XOR[255]), first[:-1][some])
                 sig = minhash(h, first, k)
                 ends = np.concatenate([[0], np.cumsum(np.where(some, k, 0))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, rows), pa.array(n, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))],
-                    names=["doc_id", "n", "lo", "hi", "sig"],
-                )
+                own = [batch.column(c).slice(at, rows) for c in (0, 1)]
+                sets = [pa.array(n, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))]
+                yield pa.RecordBatch.from_arrays(own + sets, names=["key", "h", "n", "lo", "hi", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, lo long, hi long, sig array<long>")
+    return docs.select("key", "h", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, h long, n long, lo long, hi long, sig array<long>")
 
 
 def _sets(docs: DataFrame, ngram: int) -> DataFrame:
-    """doc_id, shingles (the full sets, as hashes of 64 bits) and parity (for each of 1024 bits, whether the number of
-    shingles that fall on it is odd; two sets differ in at least as many shingles as their parities do in bits)."""
+    """rep, sig, shingles (the full sets, as hashes of 64 bits) and parity (for each of 1024 bits, whether the number of
+    shingles that fall on it is odd; two sets differ in at least as many shingles as their parities do in bits), from
+    rep, sig, text."""
     bits = 64 * PARITY_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, bounds in textops.utf8_batches(batch.column(1)):
+            for at, data, bounds in textops.utf8_batches(batch.column(2)):
                 h, first = textops.shingle_sets(data, bounds, ngram)
                 rows = len(bounds) - 1
                 cell = np.repeat(np.arange(rows), np.diff(first)) * bits + (h % np.uint64(bits)).astype(np.int64)
@@ -103,9 +105,10 @@ def _sets(docs: DataFrame, ngram: int) -> DataFrame:
                 parity = pa.array(np.packbits(odd).view(np.int64))
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
                 parities = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * PARITY_WORDS), parity)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), sets, parities], names=["doc_id", "shingles", "parity"])
+                own = [batch.column(c).slice(at, rows) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, sets, parities], names=["rep", "sig", "shingles", "parity"])
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>, parity array<long>")
+    return docs.select("rep", "sig", "text").mapInArrow(run, "rep long, sig array<long>, shingles array<long>, parity array<long>")
 
 
 class _Threshold:
@@ -144,52 +147,60 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: ``key``, n_shingles, component_id (the least id of its group), kept."""
     limit, matches = _Threshold(similarity), least_matches(k, similarity)
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # Ids in an order that has those that are missing last; h tells the texts of one id apart.
+    own = F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("id"))
+    named = docs.select(own.alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
     signed = workspace.stage(_signatures(named, ngram, k), "near-signed")
-    some = signed.where("n > 0")
-    reps = workspace.stage(some.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).where("rep is not null"), "near-reps")
+    # A node is a set of shingles, whatever rows have it; its number is fixed by writing it down.
+    nodes = signed.where("n > 0").groupBy("lo", "hi", "n").agg(F.min(F.struct("key", "h")).alias("row"), F.first("sig").alias("sig"))
+    reps = workspace.stage(nodes.select("lo", "hi", "n", "row.key", "row.h", "sig", F.monotonically_increasing_id().alias("rep")), "near-reps")
     candidates, posts = _candidates(reps, k, matches)
-    texts = named.join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = workspace.stage(_sets(texts, ngram).withColumnRenamed("doc_id", "rep").join(candidates.select("rep", "sig"), "rep"), "near-sets")
-    labels = _linked(posts, sets, matches, limit, hub_rounds)
-    groups = reps.select("lo", "hi", "n", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    groups = groups.select("lo", "hi", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "lo", "hi").join(groups, ["lo", "hi", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")
-    )
+    # One text of each node is needed; copies of a row are combined where they are before anything is shuffled.
+    texts = named.groupBy("key", "h").agg(F.first("text").alias("text")).join(candidates.select("key", "h", "rep", "sig"), ["key", "h"])
+    sets = workspace.stage(_sets(texts, ngram), "near-sets")
+    labels = _linked(posts, sets, matches, limit, hub_rounds).withColumnRenamed("id", "rep")
+    # What is joined with rows that may be many for one key is written first: such joins can be split.
+    linked = reps.select("rep", "key").join(labels, "rep")
+    least = workspace.stage(linked.groupBy("component").agg(F.min("key").alias("least")), "near-least")
+    named_labels = labels.join(least, "component").select("rep", "least")
+    groups = reps.select("lo", "hi", "n", "rep", "key").join(named_labels, "rep", "left").select("lo", "hi", "n", F.coalesce("least", "key").alias("least"))
+    groups = workspace.stage(groups, "near-groups")
+    out = signed.select("key", "n", "lo", "hi").join(groups, ["lo", "hi", "n"], "left").withColumn("least", F.coalesce("least", "key"))
+    return out.select(F.col("key.id").alias(key), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"), (F.col("key") == F.col("least")).alias("kept"))
 
 
 def _candidates(reps: DataFrame, k: int, matches: int) -> tuple[DataFrame, DataFrame]:
-    """Documents that may be in a pair (rep, n, sig), and their prefix posts (token, rep, n, shared)."""
-    all_posts = reps.select("rep", "lo", "n", F.explode("sig").alias("token"))
+    """Nodes that may be in a pair (rep, sig, key, h), and their prefix posts (token, rep, n, shared)."""
+    all_posts = reps.select("rep", "n", F.explode("sig").alias("token"))
     common = all_posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = all_posts.join(common, "token").groupBy("rep", "lo", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("values"))  # k values at most
+    shared = all_posts.join(common, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("values"))  # k values at most
     shared = shared.where(F.size("values") >= matches)
-    prefix = shared.select("rep", "lo", "n", F.size("values").alias("shared"), F.explode(F.slice("values", 1, F.size("values") - (matches - 1))).alias("v"))
-    prefix = workspace.stage(prefix.select(F.col("v.token").alias("token"), "rep", "lo", "n", "shared"), "near-prefix")
-    lists = prefix.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    prefix = shared.select("rep", "n", F.size("values").alias("shared"), F.explode(F.slice("values", 1, F.size("values") - (matches - 1))).alias("v"))
+    prefix = workspace.stage(prefix.select(F.col("v.token").alias("token"), "rep", "n", "shared"), "near-prefix")
+    lists = workspace.stage(prefix.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token"), "near-lists")
     posts = workspace.stage(prefix.join(lists, "token", "left_semi"), "near-posts")
-    workspace.drop(prefix)
-    met = posts.select("rep", "lo").distinct()
-    return workspace.stage(reps.join(met, ["rep", "lo"], "left_semi").select("rep", "n", "sig"), "near-candidates"), posts.select("token", "rep", "n", "shared")
+    workspace.drop(prefix, lists)
+    met = posts.select("rep").distinct()
+    return workspace.stage(reps.join(met, "rep", "left_semi").select("rep", "sig", "key", "h"), "near-candidates"), posts
 
 
 def _linked(posts: DataFrame, sets: DataFrame, matches: int, limit: _Threshold, hub_rounds: int) -> DataFrame:
     """id and component of all documents that are linked with another."""
+    # A posting list may be as long as a group of near copies: joins by token read written tables on both sides, so that
+    # a long list is split over tasks.
     left = posts.withColumn("component", F.col("rep"))
     edges = None
     labels = None
     for turn in range(hub_rounds + 1):
         # Only lists in which groups still differ are of interest.
         mixed = left.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max(F.struct("shared", (-F.col("rep")).alias("negated"))).alias("hub"), F.min("n").alias("n_min"))
-        mixed = mixed.where("c0 <> c1").select("token", "n_min", (-F.col("hub.negated")).alias("hub"))
+        mixed = workspace.stage(mixed.where("c0 <> c1").select("token", "n_min", (-F.col("hub.negated")).alias("hub")), "near-mixed")
         left = workspace.stage(left.join(mixed, "token"), f"near-left{turn}")
         if left.isEmpty():
             break
         if turn < hub_rounds:
-            hubs = left.where("rep = hub").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")).distinct()
+            hubs = left.where("rep = hub").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
+            hubs = workspace.stage(hubs.distinct(), "near-hubs")
             met = left.join(hubs, "token").where("component <> c_a").where(limit.linked(F.least("n", "n_a"), F.col("n"), F.col("n_a")))
             pairs = met.select("a", F.col("rep").alias("b")).distinct()
         else:
@@ -199,7 +210,7 @@ def _linked(posts: DataFrame, sets: DataFrame, matches: int, limit: _Threshold,
         labels = workspace.stage(connected_components(edges), "near-labels")
         if turn < hub_rounds:
             rest = left.where("rep <> hub").select("token", "rep", "n", "shared")
-            left = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            left = workspace.stage(rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "near-rest")
     return labels if labels is not None else posts.select(F.col("rep").alias("id"), F.col("rep").alias("component")).limit(0)
 
 
@@ -213,10 +224,10 @@ def _remaining(left: DataFrame, sets: DataFrame, limit: _Threshold) -> DataFrame
     shared = F.col("n") - F.col("own")
     rows = rows.where(limit.linked(shared, F.col("n"), F.greatest(F.col("n_min"), shared)))
     rows = rows.select("token", "rep", "n", "own", "component").join(sets.select("rep", "parity"), "rep")
-    rows = workspace.stage(rows, "near-rest")
+    rows = workspace.stage(rows, "near-open")
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("most")).select("token", F.col("most.component").alias("main"))
-    rows = rows.join(main, "token")
+    main = workspace.stage(sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("most")).select("token", F.col("most.component").alias("main")), "near-main")
+    rows = workspace.stage(rows.join(main, "token"), "near-open")
     few = rows.where("component <> main").select("token", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), F.col("component").alias("c_a"), F.col("parity").alias("parity_a"))
     met = rows.join(few, "token").where("component <> c_a and (component = main or rep < a)")
     met = met.where(limit.possible(F.col("n"), F.col("own"), F.col("n_a"), F.col("own_a")))

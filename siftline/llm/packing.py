@@ -276,7 +276,7 @@ def pack(
     counted = workspace.stage(cut.groupBy(*PIECES.names).agg(F.count("*").alias("copies")), "pack-pieces")
     total = counted.agg(F.sum("copies")).first()[0] or 0
     buckets = max(1, -(-total // bucket_pieces))
-    pieces = counted.select(*PIECES.names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nr"))
+    pieces = workspace.numbered(counted, "copies", "nr")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32", "nr"], kind="stable")

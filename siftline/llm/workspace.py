@@ -1,28 +1,41 @@
 """Intermediate tables in the folder that all machines of a cluster share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) does this module
-choose one, under /tmp/checkpoints.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local (tests, a
+laptop) does this module choose one, under /tmp/checkpoints. Each application has a folder of its own there, which
+Hadoop deletes when the driver's JVM ends, or ``clean`` before that.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
+BLOCK = 4096
+_announced: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = LOCAL_FALLBACK
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
+    folder = f"{shared_dir(spark)}/siftline-{spark.sparkContext.applicationId}"
+    if folder not in _announced:
+        _announced.add(folder)
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return folder
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -54,3 +67,14 @@ def drop(*tables: DataFrame) -> None:
 def clean(spark: SparkSession) -> None:
     """Delete all that this application has staged, once its results are written."""
     _delete(spark, _own_dir(spark))
+
+
+def numbered(df: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row as often as its column ``count`` says, numbered from 1 in ``name`` in place of it.
+
+    In two steps, so that no array is longer than a block or the number of blocks.
+    """
+    rest = [c for c in df.columns if c != count]
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / BLOCK))).alias("_block"))
+    last: Column = F.least(F.col(count), (F.col("_block") + 1) * BLOCK).cast("long")
+    return blocks.select(*rest, F.explode(F.sequence((F.col("_block") * BLOCK + 1).cast("long"), last)).alias(name))

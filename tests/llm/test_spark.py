@@ -197,6 +197,17 @@ def test_near_duplicates_of_rows_without_id(spark):
     assert got.where("component_id is null and kept").count() == 2
 
 
+def test_near_duplicates_of_several_texts_under_one_id(spark):
+    rows = [(2, PROSE[0], "en", "a"), (2, PROSE[1], "en", "a"), (1, PROSE[0] + " more", "en", "a"), (9, PROSE[1] + " more", "en", "a"), (2, PROSE[0], "en", "a")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, rows), 3, 0.85).collect())
+    assert got == [(1, 59, 1, True), (2, 58, 1, False), (2, 58, 1, False), (2, 58, 2, True), (9, 59, 2, False)]
+
+
+def test_near_duplicates_by_other_keys(spark):
+    rows = docs_of(spark, [(k, PROSE[k % 2], "en", "a") for k in range(6)]).withColumn("doc_id", F.format_string("d%d", "doc_id"))
+    assert sorted(r.doc_id for r in neardup.near_duplicates(rows, 3, 0.85).where("kept").collect()) == ["d0", "d1"]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 200), (200, 150), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components.connected_components(edges).collect()}
