@@ -6,9 +6,10 @@ are removed.
 
 Defined results: white space at a line's ends doesn't count; lines without a word are in no window and go with the
 line before them; documents of fewer than three lines with words stay as they are, null texts stay null. Of repeated
-rows (the same id) neither is later than the other: they count as one document, and keep or lose the same lines if
-their texts are equal. Rows with a null id come last in that order. An empty table gives an empty result. Extra
-columns pass through, whatever their names, but for those that the result adds.
+rows (the same id and text) neither is later than the other: they keep or lose the same lines. Different texts of one
+id are different documents, in the order of a hash of the text; so are rows with a null id, which come last. An empty
+table gives an empty result. Extra columns pass through, whatever their names, but for n_lines, n_removed and
+removed_lines, in place of which the result has its own.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from . import textops, workspace
 
 LINES = 3
+DOCUMENT = ("_siftline_id", "_siftline_text")
 #: A line break before a line with a word: what it parts are lines with words, each with the empty ones that follow.
 _BREAK = r"\n(?=[^\n]*[^\t-\r ])"
 
@@ -32,34 +34,40 @@ def _worded(text: Column) -> Column:
     return F.filter(F.split(text, _BREAK, -1), lambda x: _trimmed(x) != "")
 
 
+def _identity(key: str, text: str) -> list[Column]:
+    """What tells documents apart, in their order: the id (those without one last) and a hash of the text."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_siftline_id"), F.xxhash64(F.col(text)).alias("_siftline_text")]
+
+
 def windows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, pos, h1, h2 of every window; pos counts lines with words."""
-    worded = docs.select(F.col(key).cast("long").alias("doc_id"), F.transform(_worded(F.col(text)), _trimmed).alias("w")).where(F.size("w") >= LINES)
+    """_siftline_id, _siftline_text, pos, h1, h2 of every window; pos counts lines with words."""
+    worded = docs.select(*_identity(key, text), F.transform(_worded(F.col(text)), _trimmed).alias("w")).where(F.size("w") >= LINES)
     parts = lambda i: [F.get("w", i + k) for k in range(LINES)]
     both = F.transform(
         F.sequence(F.lit(0), F.size("w") - LINES),
         lambda i: F.struct(i.alias("pos"), F.xxhash64(*parts(i)).alias("h1"), F.xxhash64(F.lit(LINES), *parts(i)[::-1]).alias("h2")),
     )
-    return worded.select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.pos", "x.h1", "x.h2")
+    return worded.select(*DOCUMENT, F.explode(both).alias("x")).select(*DOCUMENT, "x.pos", "x.h1", "x.h2")
 
 
 def remove_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with ``text`` cleaned, and n_lines (with a word), n_removed (of these), removed_lines (their text)."""
-    last = F.lit(2**63 - 1)
-    found = workspace.stage(windows(docs, text, key).withColumn("doc_id", F.coalesce("doc_id", last)), "line-windows")
-    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = found.join(firsts, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    starts = again.groupBy(F.col("doc_id").alias("_siftline_id")).agg(F.array_sort(F.collect_set("pos")).alias("_siftline_starts"))
-    starts = workspace.stage(starts, "line-starts")
+    found = workspace.stage(windows(docs, text, key), "line-windows")
+    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct(*DOCUMENT, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written first, so that the windows of a very common passage can be split over tasks in the join.
+    firsts = workspace.stage(firsts, "line-firsts")
+    again = found.join(firsts, ["h1", "h2"]).where(F.struct(*DOCUMENT, "pos") != F.col("first"))
+    starts = workspace.stage(again.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_set("pos")).alias("_siftline_starts")), "line-starts")
     covered = F.array_distinct(F.flatten(F.transform("_siftline_starts", lambda p: F.sequence(p, p + (LINES - 1)))))
-    met = docs.withColumn("_siftline_id", F.coalesce(F.col(key).cast("long"), last)).join(starts, "_siftline_id", "left")
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
+    met = docs.select(*kept_columns, *_identity(key, text)).join(starts, list(DOCUMENT), "left")
     met = met.withColumns({"_siftline_lines": _worded(F.col(text)), "_siftline_covered": covered})
     whole = F.sequence(F.lit(0), F.size("_siftline_lines") - 1)
     kept = F.transform(F.array_except(whole, "_siftline_covered"), lambda i: F.get("_siftline_lines", i))
     gone = F.filter(F.transform("_siftline_covered", lambda i: F.get("_siftline_lines", i)), lambda x: x.isNotNull())
     some = F.coalesce((F.size("_siftline_covered") > 0) & (F.size("_siftline_lines") >= LINES), F.lit(False))
     return met.select(
-        *[(F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)) if c == text else F.col(c)).alias(c) for c in docs.columns],
+        *[(F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)) if c == text else F.col(c)).alias(c) for c in kept_columns],
         F.coalesce(F.size("_siftline_lines"), F.lit(0)).alias("n_lines"),
         F.when(some, F.size(gone)).otherwise(0).alias("n_removed"),
         F.when(some, F.transform(gone, _trimmed)).otherwise(F.array().cast("array<string>")).alias("removed_lines"),

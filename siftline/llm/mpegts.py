@@ -227,6 +227,8 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", null_is_emp
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+#: Streams whose units are held at once, one after the other being read.
+DECODE_ROWS = 256
 UNITS = pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("offset", pa.int64()), ("bytes", pa.int64()), ("random_access", pa.bool_())]))
 
 
@@ -235,7 +237,7 @@ def decode(media: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "packets", "breaks", "units", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, DECODE_ROWS) for b in batches for at in range(0, b.num_rows, DECODE_ROWS)):
             rows = []
             for stream in batch.column(2):
                 raw = stream.as_buffer()

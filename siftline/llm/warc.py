@@ -10,7 +10,8 @@ others become revisit records that refer to it.
 
 Defined results: a null html is an empty payload; pages with a null id are written, with an empty record id, and never
 are what others refer to; repeated rows with the smallest page_id are all responses; an empty table gives an empty
-result; other columns of the input are ignored.
+result; other columns of the input are ignored. The reader takes any archive of this kind: header names in any case,
+digests that are missing or of other kinds, ids of any form, and records without a page.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SAMPLE_BYTES = 1_000_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 LENGTH_FIELD = "X-Payload-Length"
+#: Header names are case-insensitive; these are read as they are spelled here.
+KNOWN = {n.lower(): n for n in (*MANDATORY, LENGTH_FIELD, "WARC-Target-URI", "WARC-Refers-To", "WARC-Payload-Digest", "WARC-Block-Digest", "Content-Type")}
 
 
 class BadRecord(ValueError):
@@ -47,6 +50,14 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _differs(stated: str, data: bytes) -> bool:
+    """Whether a SHA-1 that a header states, in base32 or hexadecimal, isn't that of ``data``. Other digests pass."""
+    kind, _, value = stated.partition(":")
+    if kind.lower() != "sha1":
+        return False
+    return value.lower() != hashlib.sha1(data).hexdigest() if len(value) == 40 else value.upper() != digest(data)
+
+
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None = None, refers_url: str | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One record: a response with an HTTP head and the payload, or a revisit with the head only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -122,7 +133,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
         name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon or not name or name != name.strip():
             raise BadRecord(f"bad header line {line[:60]!r}")
-        fields[name] = value.strip()
+        fields[KNOWN.get(name.lower(), name)] = value.strip()
     for name in MANDATORY:
         if not fields.get(name):
             raise BadRecord(f"{name} is missing")
@@ -132,7 +143,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise BadRecord(f"Content-Length is {size}, the block has {len(rest) - 4} bytes")
     block = rest[:size]
-    if (stated := fields.get("WARC-Block-Digest", "").removeprefix("sha1:")) and stated != digest(block):
+    if _differs(fields.get("WARC-Block-Digest", ""), block):
         raise BadRecord("the block's digest differs")
     return fields, block
 
@@ -165,8 +176,25 @@ def http_payload(block: bytes) -> bytes:
 
 
 def _page_id(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    """The page's number in a record id of ``record``; other ids have none."""
+    m = re.fullmatch(r"<urn:page:(-?\d+)>", urn)
+    return int(m[1]) if m else None
+
+
+def _row(fields: dict[str, str], block: bytes) -> tuple:
+    """A row of ``read_archives``."""
+    kind, payload = fields["WARC-Type"].lower(), None
+    is_http = fields.get("Content-Type", "").lower().startswith("application/http")
+    stated, length = fields.get("WARC-Payload-Digest", ""), fields.get(LENGTH_FIELD)
+    if kind != "revisit":
+        payload = http_payload(block) if is_http else block
+        if _differs(stated, payload) or (length is not None and int(length) != len(payload)):
+            raise BadRecord("the payload's digest or length differs")
+        length, stated = len(payload), stated or digest(payload)
+    return (
+        _page_id(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), None if length is None else int(length), stated.removeprefix("sha1:") or None, kind,
+        _page_id(fields.get("WARC-Refers-To", "")), payload, fields["WARC-Record-ID"], fields.get("WARC-Refers-To"),
+    )
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -191,9 +219,11 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of all records."""
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    """One row per record of any kind: page_id (null for ids that aren't those of ``record``), url, payload_bytes and
+    payload_digest (null where a revisit doesn't state them), record_type, refers_to (a page_id), payload (null for
+    revisits), record_id, refers_to_id (as they stand)."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()]
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "record_id", "refers_to_id"]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
@@ -203,20 +233,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for archive in one.column(0):
                 rows, size = [], 0
                 for fields, block in read_archive(archive.as_py()):
-                    stated, payload = fields["WARC-Payload-Digest"].removeprefix("sha1:"), None
-                    length = int(fields[LENGTH_FIELD])
-                    if fields["WARC-Type"] == "response":
-                        payload = http_payload(block)
-                        if len(payload) != length or digest(payload) != stated:
-                            raise BadRecord("the payload's digest or length differs")
-                    rows.append((_page_id(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), length, stated, fields["WARC-Type"], _page_id(fields.get("WARC-Refers-To", "")), payload))
-                    size += len(payload or b"") + 300
+                    rows.append(_row(fields, block))
+                    size += len(block) + 300
                     if size > 2_000_000:
                         yield batch(rows)
                         rows, size = [], 0
                 yield batch(rows)
 
-    return archives.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return archives.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string, refers_to_id string")
 
 
 def archive_pages(pages: DataFrame, html: str = "html", key: str = "page_id", url: str = "url", min_payload: int = 0) -> DataFrame:
@@ -230,6 +254,7 @@ def archive_pages(pages: DataFrame, html: str = "html", key: str = "page_id", ur
     first = slim.where(F.col("n") >= min_payload).groupBy("sha", "n").agg(F.count("*").alias("copies"), F.min("page_id").alias("least"))
     first = first.where("copies > 1 and least is not null")
     urls = slim.join(first.select("sha", "n", F.col("least").alias("page_id")), ["sha", "n", "page_id"]).groupBy("sha", "n").agg(F.min("page_id").alias("refers_to"), F.min("url").alias("refers_url"))
+    urls = workspace.stage(urls, "warc-first")  # written first, so that the pages of a very common payload can be split over tasks in the join
     met = rows.join(urls, ["sha", "n"], "left")
     again = ~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull()
     flagged = met.select("page_id", "url", "html", F.when(again, F.col("refers_to")).alias("refers_to"), F.when(again, F.col("refers_url")).alias("refers_url"))

@@ -190,6 +190,20 @@ def test_warc_faults():
             list(warc.read_archive(cut))
 
 
+def test_archives_of_others_are_read():
+    info = b"WARC/1.0\r\nwarc-type: warcinfo\r\nwarc-record-id: <urn:uuid:a-b>\r\nwarc-date: 2020-01-01T00:00:00Z\r\ncontent-length: 4\r\ncontent-type: application/warc-fields\r\n\r\na: b\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    page = b"WARC/1.1\r\nWARC-TYPE: response\r\nWARC-Record-ID: <urn:uuid:c>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Type: application/http\r\nWARC-Payload-Digest: sha256:00\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    again = b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:d>\r\nWARC-Refers-To: <urn:uuid:c>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    rows = [warc._row(*x) for x in warc.read_archive(warc.write_archive([info, page, again]))]
+    assert rows[0] == (None, None, 4, warc.digest(b"a: b"), "warcinfo", None, b"a: b", "<urn:uuid:a-b>", None)
+    assert rows[1][2:5] == (5, "sha256:00", "response") and rows[1][6] == b"hello"
+    assert rows[2][2:] == (None, None, "revisit", None, None, "<urn:uuid:d>", "<urn:uuid:c>")
+    wrong = page.replace(b"sha256:00", b"sha1:" + b"0" * 40)
+    with pytest.raises(warc.BadRecord):
+        warc._row(*warc.parse_record(wrong))
+
+
 def test_frames_end_where_their_blocks_do():
     import zstandard
 

@@ -241,6 +241,16 @@ def test_line_dedup(spark, odd):
     assert set(df.columns) <= set(next(iter(got.values())).asDict())
 
 
+def test_line_dedup_of_rows_without_id_and_of_clashing_columns(spark):
+    a = "\n".join(f"line {k} of the text" for k in range(4))
+    other = "\n".join(f"other {k} of the text" for k in range(4))
+    rows = [(None, a, "en", "a"), (None, "x\n" + a, "en", "a"), (None, other, "en", "a"), (5, other, "en", "a"), (5, a + "\ny", "en", "a"), (5, a + "\ny", "en", "a")]
+    df = docs_of(spark, rows).withColumn("n_lines", F.lit("clash")).withColumn("_siftline_lines", F.lit(1))
+    got = linededup.remove_repeated_lines(df)
+    assert len(set(got.columns)) == len(got.columns)
+    assert sorted((r.doc_id or 0, r.text, r.n_removed) for r in got.collect()) == sorted([(0, "", 4), (0, "x", 4), (0, "", 4), (5, other, 0), (5, a + "\ny", 0), (5, a + "\ny", 0)])
+
+
 def test_streams_are_read_back(spark, odd):
     text = {r.doc_id: (r.text or "").encode() for r in odd.collect()}
     got = mpegts.transport_streams(odd).collect()
@@ -329,6 +339,30 @@ def test_mixing(spark, odd):
     assert sorted(map(key, got)) == sorted(map(key, again.collect()))
 
 
+def test_mixing_of_many_rows_without_id(spark):
+    df = docs_of(spark, [(None, "w " * (1 + k % 3), "en", "a") for k in range(400)] + [(9, "v v", "en", "b")] * 300)
+    got = mixing.mix_sources(df, cell_rows=50).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.src] += r["size"] * r.copies
+    assert len(got) == 700 and all(abs(taken[r.src] - r.target) <= 3 for r in got)
+
+
+def test_mixing_keeps_expectations(spark):
+    """Over many ids each document's copies are, on average, its source's target by its size."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 7 as int))").alias("text"), F.expr("case when id % 3 = 0 then 'a' else 'b' end").alias("source"))
+    got = mixing.mix_sources(df, cell_rows=200).groupBy("src", "size").agg(F.avg("copies").alias("mean"), F.first(F.col("target") / F.col("source_size")).alias("want"), F.count("*").alias("n")).collect()
+    assert all(abs(r["mean"] - r.want) < 5 * 0.5 / r.n**0.5 for r in got) and len(got) == 14
+
+
+def test_targets_of_many_sources(spark):
+    sizes = {f"host{k:03d}": 1 + (k * 37) % 501 for k in range(300)} | {None: 50, "é": 7}
+    totals = spark.createDataFrame([(mixing.NO_SOURCE if s is None else s, 1, n) for s, n in sizes.items()], "src string, n long, source_size long").repartition(5)
+    got = {None if r.src == mixing.NO_SOURCE else r.src: r.target for r in mixing.source_targets(totals, (5.0, 2.0, 1.0), 1.5, 2.0).collect()}
+    want = plain_targets(sizes)
+    assert all(got[s] == pytest.approx(want[s]) for s in sizes)
+
+
 def test_quality_scores(spark, odd):
     rows = [(400 + k, (" ".join(PROSE[k % 8].split()[: 20 + k % 30]) if k % 4 else re.sub(" ", "*** ", PROSE[k % 8])), "en", "a") for k in range(300)]
     labels = spark.createDataFrame([(i, int("***" not in t), 0) for i, t, _, _ in rows] + [(400, None, 0)], "doc_id long, quality int, toxic int")
