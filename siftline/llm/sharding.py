@@ -5,6 +5,7 @@ along its widest dimension at the place where its bytes halve (or divide as the
 place is found by histograms of at most 4096 bins a node, aggregated where the rows are: one over the coordinate,
 then, in the bin that holds the median, one over a hash of the text, and, where the copies of one text are too heavy
 to stay together, one over a hash of the row. So sizes come out near equal whatever single value is frequent.
+All nodes of a level are split at once; histograms and splits are tables, and the driver sees none of their rows.
 
 Equal texts share their coordinates (the least source and language of the group), so they stay in one shard
 unless the group is heavier than ``tolerance`` of a shard and lies across a median.
@@ -16,7 +17,6 @@ separate rows that may be parted; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,30 +27,61 @@ BITS = 12
 BINS = 1 << BITS
 SLOT_CELL_ROWS = 4096
 NAMES = ("c_source", "c_lang", "c_size")
-SPLIT_SCHEMA = "node long, dim int, bin int, side int, text_bin int, text_side int, row_bin int"
+#: Levels of the tree after which the rows' nodes are written down.
+STAGED_LEVELS = 4
 
 
 def _coordinate(c: Column) -> Column:
     return F.coalesce(F.shiftrightunsigned(F.xxhash64(c), 64 - BITS), F.lit(0)).cast("int")
 
 
-def _cut(hist: dict[int, int], total: int, share: float) -> tuple[int, float]:
-    """The bin in which ``share`` of ``total`` is reached, and the weight that is wanted from it."""
-    wanted, before, last = total * share, 0, 0
-    for b in sorted(hist):
-        last = b
-        if before + hist[b] >= wanted:
-            break
-        before += hist[b]
-    return last, wanted - before
+def _median_bins(hist: DataFrame, by: list[str], bin_: str, wanted: Column) -> DataFrame:
+    """Per group of a histogram (w by ``bin_``) the bin in which ``wanted`` is reached: its w, and ``want``, the part of it.
 
+    A group has 4096 bins at most."""
+    order = Window.partitionBy(*by).orderBy(bin_)
+    before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = hist.select("*", before.alias("before"), F.lead(bin_).over(order).isNull().alias("last"), wanted.alias("goal"))
+    at = (F.col("before") < F.col("goal")) & ((F.col("before") + F.col("w") >= F.col("goal")) | F.col("last"))
+    return summed.where(at).select(*[c for c in hist.columns if c != "wanted"], (F.col("goal") - F.col("before")).alias("want"))
 
-def _parted(rows: DataFrame, splits: list[tuple], spark) -> DataFrame:
+
+def _splits(live: DataFrame, scale: list[float], tolerable: float) -> DataFrame:
+    """Where each node is split: node, dim, bin, side, text_bin, text_side, row_bin.
+
+    ``side`` is 1 or 0 where the bin of the median goes right or left as a whole, and -1 where it is heavier than
+    ``tolerable`` and must be parted; ``text_side`` alike for the bin of hashes of texts in it.
+    """
+    side = F.when(F.col("w") <= tolerable, (F.col("want") < F.col("w") / 2).cast("int")).otherwise(F.lit(-1))
+    long_ = live.select("node", "n", "w", F.posexplode(F.array(*NAMES)).alias("dim", "bin"))
+    hist = long_.groupBy("node", "n", "dim", "bin").agg(F.sum("w").alias("w"))
+    each = Window.partitionBy("node", "dim")
+    width = (F.max("bin").over(each) - F.min("bin").over(each)) / F.get(F.array(*map(F.lit, scale)), F.col("dim"))
+    hist = hist.select("*", F.struct(width, -F.col("dim")).alias("width"), F.sum("w").over(each).alias("total"))
+    hist = hist.select("*", F.max("width").over(Window.partitionBy("node")).alias("widest")).where("width = widest").drop("width", "widest")
+    share = F.floor(F.col("n") / 2) / F.col("n")
+    cuts = _median_bins(hist, ["node", "dim"], "bin", F.col("total") * share)
+    cuts = workspace.stage(cuts.select("node", "dim", "bin", side.alias("side"), "want"), "shard-cuts")
+    # Inside the bins that hold a median and are too heavy: by a hash of the text, then by one of the row.
+    heavy = cuts.where("side < 0").select("node", "dim", "bin", F.col("want").alias("wanted"))
+    inside = live.join(heavy, "node").where(F.get(F.array(*NAMES), F.col("dim")) == F.col("bin"))
+    texts = inside.groupBy("node", "wanted", "h_text").agg(F.sum("w").alias("w"))
+    texts = _median_bins(texts, ["node"], "h_text", F.col("wanted"))
+    texts = workspace.stage(texts.select("node", F.col("h_text").alias("text_bin"), side.alias("text_side"), F.col("want").alias("text_want")), "shard-texts")
+    single = texts.where("text_side < 0").select("node", "text_bin", F.col("text_want").alias("wanted"))
+    within = inside.drop("wanted").join(single, "node").where("h_text = text_bin")
+    within = within.groupBy("node", "wanted", "h_row").agg(F.sum("w").alias("w"))
+    ends = _median_bins(within, ["node"], "h_row", F.col("wanted"))
+    ends = ends.select("node", (F.col("h_row") - (F.col("want") < F.col("w") / 2).cast("int")).alias("row_bin"))
+    both = cuts.drop("want").join(texts.drop("text_want"), "node", "left").join(ends, "node", "left")
+    return workspace.stage(both, "shard-splits")
+
+
+def _parted(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """Moves every row to a child of its node (2 * node, 2 * node + 1); rows of leaves stay.
 
-    The table of splits has one row a node, fewer than there are shards, whatever the data.
+    ``splits`` has one row a node; Spark broadcasts it if it is small enough, as its written size tells.
     """
-    table = F.broadcast(spark.createDataFrame(splits, SPLIT_SCHEMA))
     at = F.get(F.array(*NAMES), F.col("dim"))
     right = (
         F.when(at != F.col("bin"), (at > F.col("bin")).cast("int"))
@@ -59,84 +90,30 @@ def _parted(rows: DataFrame, splits: list[tuple], spark) -> DataFrame:
         .when(F.col("text_side") >= 0, F.col("text_side"))
         .otherwise((F.col("h_row") > F.col("row_bin")).cast("int"))
     )
-    moved = F.when(F.col("dim").isNull(), F.col("node")).otherwise(2 * F.col("node") + right)
-    return rows.join(table, "node", "left").select(*[c for c in rows.columns if c != "node"], moved.alias("node"))
-
-
-def kd_nodes(rows: DataFrame, n_shards: int, tolerance: float) -> tuple[DataFrame, dict[int, int]]:
-    """``rows`` (w, NAMES, h_text, h_row) with the tree's leaf as ``node``, and each leaf's shard number."""
-    spark = rows.sparkSession
-    rows = rows.withColumn("node", F.lit(1).cast("long"))
-    open_, leaves = {1: n_shards}, {}
-    scale = None
-    leaf_bytes = None
-    while open_:
-        if all(n == 1 for n in open_.values()):
-            leaves |= open_
-            break
-        leaves |= {k: 1 for k, n in open_.items() if n == 1}
-        open_ = {k: n for k, n in open_.items() if n > 1}
-        live = rows.where(F.col("node").isin(list(open_))) if len(open_) < 64 else rows
-        long_ = live.select("node", "w", F.posexplode(F.array(*NAMES)).alias("dim", "bin"))
-        found: dict = defaultdict(lambda: defaultdict(dict))
-        for r in long_.groupBy("node", "dim", "bin").agg(F.sum("w").alias("w")).collect():  # at most 3 * 4096 a node
-            found[r.node][r.dim][r.bin] = r.w
-        spread = lambda h: max(h) - min(h)
-        if scale is None:
-            root = found.get(1, {})
-            scale = {d: max(1, spread(h)) for d, h in root.items()}
-            leaf_bytes = sum(root[0].values()) / n_shards if root else 0
-        plan = {}
-        for node, n in open_.items():
-            if node not in found:
-                plan[node] = (0, 0, -1, 0.0)
-                continue
-            dim = max(range(len(NAMES)), key=lambda d: (spread(found[node][d]) / scale[d], -d))
-            total = sum(found[node][dim].values())
-            b, want = _cut(found[node][dim], total, (n // 2) / n)
-            plan[node] = (dim, b, _whole(found[node][dim][b], want, tolerance * leaf_bytes), want)
-        # Inside the bins that hold a median: by a hash of the text, then by one of the row.
-        at = F.get(F.array(*NAMES), F.element_at(_mapped({k: p[0] for k, p in plan.items()}), F.col("node")))
-        inside = live.where(at == F.element_at(_mapped({k: p[1] for k, p in plan.items()}), F.col("node")))
-        fine: dict = defaultdict(dict)
-        if any(p[2] < 0 for p in plan.values()):
-            for r in inside.groupBy("node", "h_text").agg(F.sum("w").alias("w")).collect():  # at most 4096 a node
-                fine[r.node][r.h_text] = r.w
-        texts = {}
-        for node, (_, _, side, want) in plan.items():
-            if side >= 0 or node not in fine:
-                texts[node] = (0, -1, want)
-                continue
-            total = sum(fine[node].values())
-            b, rest = _cut(fine[node], total, want / total)
-            texts[node] = (b, _whole(fine[node][b], rest, tolerance * leaf_bytes), rest)
-        single: dict = defaultdict(dict)
-        if any(p[2] < 0 and texts[k][1] < 0 for k, p in plan.items()):
-            within = inside.where(F.col("h_text") == F.element_at(_mapped({k: v[0] for k, v in texts.items()}), F.col("node")))
-            for r in within.groupBy("node", "h_row").agg(F.sum("w").alias("w")).collect():  # at most 4096 a node
-                single[r.node][r.h_row] = r.w
-        splits = []
-        for node, (dim, b, side, _) in plan.items():
-            text_bin, text_side, rest = texts[node]
-            row_bin = 0
-            if single.get(node):
-                total = sum(single[node].values())
-                row_bin, over = _cut(single[node], total, rest / total)
-                row_bin -= over < single[node][row_bin] / 2
-            splits.append((node, dim, b, side, text_bin, text_side, row_bin))
-        rows = _parted(rows, splits, spark)
-        open_ = {c: m for k, n in open_.items() for c, m in ((2 * k, n // 2), (2 * k + 1, n - n // 2))}
-    path = lambda k: bin(k)[3:]
-    return rows, {k: i for i, k in enumerate(sorted(leaves, key=lambda k: (path(k), k)))}
-
-
-def _whole(weight: int, want: float, tolerance: float) -> int:
-    """1 or 0: the side to which a bin goes as a whole; -1: it is heavier than the tolerance and must be parted."""
-    return int(want < weight / 2) if weight <= tolerance else -1
-
-
-def _mapped(values: dict[int, int]) -> Column:
-    return F.create_map(*[F.lit(x) for k, v in values.items() for x in (F.lit(k).cast("long"), v)])
+    met = rows.join(splits, "node", "left").select("*", F.when(F.col("dim").isNotNull(), F.coalesce(right, F.lit(0))).alias("right"))
+    left_n = F.floor(F.col("n") / 2).cast("int")
+    return met.select(
+        *[c for c in rows.columns if c not in ("node", "n", "first")],
+        F.when(F.col("right").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.col("right")).alias("node"),
+        F.when(F.col("right").isNull(), F.col("n")).when(F.col("right") == 1, F.col("n") - left_n).otherwise(left_n).alias("n"),
+        F.when(F.col("right") == 1, F.col("first") + left_n).otherwise(F.col("first")).alias("first"),
+    )
+
+
+def kd_leaves(rows: DataFrame, n_shards: int, tolerance: float) -> DataFrame:
+    """``rows`` (w, NAMES, h_text, h_row) with the shard of the leaf that each comes to: node, n (1), first (the shard).
+
+    A node of n shards has children of floor(n / 2) and the rest, so how deep the tree is follows from n_shards.
+    """
+    extent = rows.agg(F.sum("w").alias("w"), *[(F.max(c) - F.min(c)).alias(c) for c in NAMES]).first()
+    scale = [float(max(1, extent[c] or 0)) for c in NAMES]
+    tolerable = tolerance * (extent.w or 0) / n_shards
+    rows = rows.select("*", F.lit(1).cast("long").alias("node"), F.lit(n_shards).cast("int").alias("n"), F.lit(0).cast("int").alias("first"))
+    for level in range(math.ceil(math.log2(n_shards)) if n_shards > 1 else 0):
+        if level and level % STAGED_LEVELS == 0:
+            rows = workspace.stage(rows, "shard-nodes")
+        rows = _parted(rows, _splits(rows.where("n > 1"), scale, tolerable))
+    return rows
 
 
 def kd_shards(
@@ -161,10 +138,13 @@ def kd_shards(
         F.col(source).alias("src"), F.col(lang).alias("lg"),
     )
     raw = workspace.stage(raw, "shard-rows")
-    groups = raw.groupBy("h", "crc", "w").agg(F.min("src").alias("src"), F.min("lg").alias("lg"))
-    met = raw.drop("src", "lg").join(groups, ["h", "crc", "w"])
+    # The coordinates of copies; written first, so that the copies of one text can be split over tasks in the join.
+    groups = raw.groupBy("h", "crc", "w").agg(F.min("src").alias("g_src"), F.min("lg").alias("g_lg"), F.count("*").alias("copies")).where("copies > 1")
+    groups = workspace.stage(groups, "shard-groups")
+    met = raw.join(groups, ["h", "crc", "w"], "left")
+    of_group = lambda one, least: F.when(F.col("copies").isNull(), F.col(one)).otherwise(F.col(least))
     rows = met.select(
-        "key", "w", "crc", _coordinate(F.col("src")).alias("c_source"), _coordinate(F.col("lg")).alias("c_lang"),
+        "key", "w", "crc", _coordinate(of_group("src", "g_src")).alias("c_source"), _coordinate(of_group("lg", "g_lg")).alias("c_lang"),
         F.least(F.floor(F.log2(F.col("w").cast("double")) * 100), F.lit(BINS - 1)).cast("int").alias("c_size"),
         F.pmod(F.col("h"), F.lit(BINS)).cast("int").alias("h_text"),
         F.pmod(F.xxhash64("key", F.lit(7)), F.lit(BINS)).cast("int").alias("h_row"),
@@ -173,9 +153,7 @@ def kd_shards(
     workspace.drop(raw)
     if n_shards is None:
         n_shards = max(1, math.ceil((rows.agg(F.sum("w")).first()[0] or 0) / target_bytes))
-    placed, shard_of = kd_nodes(rows, n_shards, tolerance)
-    numbers = F.broadcast(rows.sparkSession.createDataFrame(list(shard_of.items()), "node long, shard int"))  # one row a shard
-    placed = placed.join(numbers, "node").select("key", "w", "crc", "shard")
+    placed = kd_leaves(rows, n_shards, tolerance).select("key", "w", "crc", F.col("first").alias("shard"))
     cells = max(1, rows.count() // (n_shards * SLOT_CELL_ROWS))
     placed = workspace.stage(placed.withColumn("cell", F.pmod(F.xxhash64("crc", "key"), F.lit(cells)).cast("int")), "shard-placed")
     workspace.drop(rows)

@@ -150,6 +150,41 @@ def test_shards(spark, odd):
     assert again == {(r.doc_id, r.text_crc32, r.shard) for r in got}
 
 
+def plain_tree(rows, n, first, scale, tolerable):
+    """Shards of rows (i, w, three coordinates, h_text, h_row) by plain recursion."""
+    if n == 1 or not rows:
+        return {r[0]: first for r in rows}
+    spread = lambda d: (max(r[2 + d] for r in rows) - min(r[2 + d] for r in rows)) / scale[d]
+    dim = max(range(3), key=lambda d: (spread(d), -d))
+    want, left, right, rest = sum(r[1] for r in rows) * (n // 2) / n, [], [], rows
+    for column, whole in ((2 + dim, tolerable), (5, tolerable), (6, math.inf)):
+        weight = collections.Counter()
+        for r in rest:
+            weight[r[column]] += r[1]
+        for b in sorted(weight):
+            if want - weight[b] <= 0:
+                break
+            want -= weight[b]
+        left += [r for r in rest if r[column] < b]
+        right += [r for r in rest if r[column] > b]
+        rest = [r for r in rest if r[column] == b]
+        if weight[b] <= whole:
+            (right if want < weight[b] / 2 else left).extend(rest)
+            break
+    return plain_tree(left, n // 2, first, scale, tolerable) | plain_tree(right, n - n // 2, first + n // 2, scale, tolerable)
+
+
+@pytest.mark.parametrize("n_shards", [2, 7, 16, 33])
+def test_shards_are_those_of_a_plain_tree(spark, n_shards):
+    rng = np.random.default_rng(n_shards)
+    rows = [(k, int(rng.integers(1, 900)), int(rng.integers(0, 5)) * 700, int(rng.integers(0, 3)) * 1300, int(rng.integers(0, 300)), int(rng.integers(0, 40)) * 99, int(rng.integers(0, 4096))) for k in range(900)]
+    rows += [(1000 + k, 500, 700, 1300, 7, 99, int(rng.integers(0, 4096))) for k in range(400)]
+    df = spark.createDataFrame(rows, "key long, w long, c_source int, c_lang int, c_size int, h_text int, h_row int").repartition(3)
+    scale = [max(1, max(r[c] for r in rows) - min(r[c] for r in rows)) for c in (2, 3, 4)]
+    want = plain_tree(rows, n_shards, 0, scale, 0.01 * sum(r[1] for r in rows) / n_shards)
+    assert {r.key: r.first for r in sharding.kd_leaves(df, n_shards, 0.01).collect()} == want
+
+
 def brute_groups(rows, n, up):
     sets, root = {}, {}
     for i, t in rows:
