@@ -378,9 +378,33 @@ def test_network_learns_and_blocks_agree():
     assert net.scores(np.empty(0, np.uint8), np.array([0, 0, 0])).shape == (2,)
 
 
+def plain_score(net, text):
+    """Convolution, pooling and score of one text by loops."""
+    size = max(2, -(-len(text) // 8)) * 8
+    data = list(text) + [256] * (size - len(text))
+    half = 8 * quality_model.DIMS + quality_model.LAGS
+    blocks = []
+    for b in range(0, size, 8):
+        lags = [sum(data[i] == data[i - lag] != 256 for i in range(b, b + 8) if i >= lag) / 8 for lag in range(1, quality_model.LAGS + 1)]
+        blocks.append([float(v) for i in range(b, b + 8) for v in net.embed[data[i]]] + lags)
+    best = [-math.inf] * quality_model.FILTERS
+    for left, right in zip(blocks, blocks[1:]):
+        for f in range(quality_model.FILTERS):
+            best[f] = max(best[f], float(np.dot(left, net.filters[:half, f]) + np.dot(right, net.filters[half:, f]) + net.bias[f]))
+    z = sum(max(b, 0) * float(o) for b, o in zip(best, net.out)) + net.out_bias
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_are_those_of_loops():
+    net = quality_model.fit([b"abc d" * 20, b"*** x x x" * 20] * 20, [1, 0] * 20, 0.3, epochs=1, least_steps=3)
+    texts = [b"", b"x", b"abcdefgh", b"word word word word " * 5, os.urandom(200), "é è ç".encode() * 9, b"ab" * 40]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert net.scores(data, bounds) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+
+
 def test_long_texts_are_pooled_piece_by_piece(monkeypatch):
     net = quality_model.fit([b"abc " * 20, b"*** " * 20] * 20, [1, 0] * 20, 0.5, epochs=1, least_steps=1)
-    text = np.frombuffer(os.urandom(20_000), np.uint8)
+    text = np.frombuffer(os.urandom(9_000) + b"repeat this now " * 100 + os.urandom(9_001), np.uint8)
     whole = net.pooled(text, np.array([0, len(text)]))
     monkeypatch.setattr(quality_model, "BLOCK_BYTES", 800)
     assert np.allclose(whole, net.pooled(text, np.array([0, len(text)])), atol=1e-5)
