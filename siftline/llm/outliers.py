@@ -133,9 +133,9 @@ def _concentrated(rows: DataFrame, estimates: DataFrame, by: list[str], coverage
     """One concentration step: ``by``, the new centre m, root l and log_det.
 
     ``rows`` has g, n and the vector; ``target`` the scatter that small groups are drawn to."""
-    far = rows.join(estimates.drop("log_det"), "g").select(*by, "n", *DIMS, _distance().alias("d2"))
+    far = rows.join(workspace.lookup(estimates).drop("log_det"), "g").select(*by, "n", *DIMS, _distance().alias("d2"))
     cut = workspace.stage(far.groupBy(*by).agg(F.percentile_approx("d2", coverage, 2000).alias("cut")), "outlier-cut")
-    inner = far.join(cut, by).where(F.col("d2") <= F.col("cut"))
+    inner = far.join(workspace.lookup(cut), by).where(F.col("d2") <= F.col("cut"))
     moments = inner.groupBy(*by).agg(F.max("n").alias("n"), *_moments())
     return workspace.stage(_with_root(_regularised(moments, _consistency(coverage), target, prior_rows)), "outlier-step")
 
@@ -166,7 +166,7 @@ def _common_scatter(rows: DataFrame, coverage: float) -> list[float]:
     """The scatter of all rows around their groups' medians, by the minimum covariance determinant: ten numbers."""
     centred = rows.select(F.lit("").alias("g"), F.lit(1).alias("n"), *[(F.col(x) - F.col(f"q{i}")[1]).alias(x) for i, x in enumerate(DIMS)])
     none = [0.0] * len(PAIRS)
-    now = workspace.stage(_with_root(_quartiles(centred).select("g", *_from_quartiles())), "outlier-pool")
+    now = workspace.stage(_with_root(_quartiles(centred).select("g", *_from_quartiles())), "outlier-pool")  # one row
     best = now.first()
     if best is None:
         return none
@@ -182,7 +182,7 @@ def _common_scatter(rows: DataFrame, coverage: float) -> list[float]:
 def _estimates(rows: DataFrame, coverage: float, prior_rows: float) -> DataFrame:
     """The centre m and root l of every group g, of the least determinant that was found. ``rows`` has g and the vector."""
     quartiles = workspace.stage(_quartiles(rows), "outlier-quartiles")
-    rows = rows.join(quartiles, "g")
+    rows = rows.join(workspace.lookup(quartiles), "g")
     target = _common_scatter(rows, coverage)
     rows = rows.drop(*[f"q{i}" for i in range(4)])
     # Starts: the quartiles, the common scatter around the median, and random subsets (as a hash of the row says).
@@ -206,7 +206,7 @@ def _estimates(rows: DataFrame, coverage: float, prior_rows: float) -> DataFrame
         if live.isEmpty():
             break
         best = workspace.stage(best.join(live.select("g"), "g", "left_anti").unionByName(live), "outlier-best")
-    return best.drop("log_det")
+    return best
 
 
 def outlier_rules(
@@ -228,7 +228,7 @@ def outlier_rules(
     stats = workspace.stage(stats, "outlier-stats")
     estimates = _estimates(stats.where(~F.col("base_failed")).select("g", *DIMS), coverage, prior_rows)
     d2 = F.when(~F.col("base_failed"), _distance())
-    return stats.join(estimates, "g", "left").select(
+    return stats.join(workspace.lookup(estimates), "g", "left").select(
         F.col("doc_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         d2.alias("d2"), (~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(True))).alias("kept"),
     )

@@ -62,12 +62,14 @@ def _splits(live: DataFrame, scale: list[float], tolerable: float) -> DataFrame:
     share = F.floor(F.col("n") / 2) / F.col("n")
     cuts = _median_bins(hist, ["node", "dim"], "bin", F.col("total") * share)
     cuts = workspace.stage(cuts.select("node", "dim", "bin", side.alias("side"), "want"), "shard-cuts")
+    cuts = workspace.lookup(cuts)
     # Inside the bins that hold a median and are too heavy: by a hash of the text, then by one of the row.
     heavy = cuts.where("side < 0").select("node", "dim", "bin", F.col("want").alias("wanted"))
     inside = live.join(heavy, "node").where(F.get(F.array(*NAMES), F.col("dim")) == F.col("bin"))
     texts = inside.groupBy("node", "wanted", "h_text").agg(F.sum("w").alias("w"))
     texts = _median_bins(texts, ["node"], "h_text", F.col("wanted"))
     texts = workspace.stage(texts.select("node", F.col("h_text").alias("text_bin"), side.alias("text_side"), F.col("want").alias("text_want")), "shard-texts")
+    texts = workspace.lookup(texts)
     single = texts.where("text_side < 0").select("node", "text_bin", F.col("text_want").alias("wanted"))
     within = inside.drop("wanted").join(single, "node").where("h_text = text_bin")
     within = within.groupBy("node", "wanted", "h_row").agg(F.sum("w").alias("w"))
@@ -80,7 +82,7 @@ def _splits(live: DataFrame, scale: list[float], tolerable: float) -> DataFrame:
 def _parted(rows: DataFrame, splits: DataFrame) -> DataFrame:
     """Moves every row to a child of its node (2 * node, 2 * node + 1); rows of leaves stay.
 
-    ``splits`` has one row a node; Spark broadcasts it if it is small enough, as its written size tells.
+    ``splits`` has one row a node, and is broadcast if these are counted to be few.
     """
     at = F.get(F.array(*NAMES), F.col("dim"))
     right = (
@@ -90,7 +92,7 @@ def _parted(rows: DataFrame, splits: DataFrame) -> DataFrame:
         .when(F.col("text_side") >= 0, F.col("text_side"))
         .otherwise((F.col("h_row") > F.col("row_bin")).cast("int"))
     )
-    met = rows.join(splits, "node", "left").select("*", F.when(F.col("dim").isNotNull(), F.coalesce(right, F.lit(0))).alias("right"))
+    met = rows.join(workspace.lookup(splits), "node", "left").select("*", F.when(F.col("dim").isNotNull(), F.coalesce(right, F.lit(0))).alias("right"))
     left_n = F.floor(F.col("n") / 2).cast("int")
     return met.select(
         *[c for c in rows.columns if c not in ("node", "n", "first")],

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 BLOCK = 4096
+#: Rows up to which a written table of few columns is sent to all executors: a few MB.
+SMALL_ROWS = 20_000
 _announced: set[str] = set()
 
 
@@ -52,6 +54,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def lookup(table: DataFrame) -> DataFrame:
+    """A written table of few columns for joins: broadcast if its rows are counted to be few, else as it is.
+
+    A table of many rows lies in many small files, so that its size in bytes alone would tell Spark little."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
