@@ -8,9 +8,12 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.functions import text as text_functions
+
 # --- fixed values: the algorithm's ending groups, longest match wins -----------------------------------------------
 VOWELS = "аеиоуыэюя"
 GERUND_AFTER_A = "в вши вшись".split()
@@ -85,3 +88,12 @@ def stem(word: str) -> str:
 def stems(tokens: pd.Series) -> pd.Series:
     """Stems of arrays of tokens."""
     return tokens.map(lambda xs: [stem(x) for x in xs] if xs is not None else None)
+
+
+def stem_set(text: Column) -> Column:
+    """Distinct stems of a text's tokens."""
+    return F.array_distinct(stems(text_functions.tokens(text)))
+
+
+#: Analyzers by name: a text column to an array of terms.
+ANALYZERS = {"tokens": text_functions.tokens, "set": text_functions.token_set, "stems": lambda c: stems(text_functions.tokens(c)), "stem_set": stem_set}

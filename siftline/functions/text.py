@@ -106,5 +106,32 @@ def prefixed_bag(stems: Column, lemmas: Column) -> Column:
     return F.concat(F.transform(stems, lambda x: F.concat(F.lit("s:"), x)), F.transform(lemmas, lambda x: F.concat(F.lit("l:"), x)))
 
 
-#: Analyzers by name: a text column to an array of terms.
-ANALYZERS = {"tokens": tokens, "set": token_set}
+def item_variants(title: Column, params: Column, description: Column) -> dict[str, Column]:
+    """The texts of an item for an encoder: its title; with its parameters, if it has any; with the description's start.
+
+    The parsed variants (t2p, t3p) are these with the item's core text, cut to 500 characters, for ``params``."""
+    t, p, d = (F.coalesce(c, F.lit("")) for c in (title, params, description))
+    return {"t1": t, "t2": F.when(p == "", t).otherwise(F.concat(t, F.lit(". "), p)), "t3": F.concat(t, F.lit(". "), p, F.lit(". "), F.substring(d, 1, 300))}
+
+
+def query_variants(query: Column, filters: Column, city: Column) -> dict[str, Column]:
+    """The texts of a query for an encoder: alone, with its filters, with its city (null if unknown), with both."""
+    q, f = F.coalesce(query, F.lit("")), F.coalesce(filters, F.lit(""))
+    filtered = F.when(f == "", q).otherwise(F.concat(q, F.lit(". "), f))
+    at = F.coalesce(F.concat(F.lit(". Город: "), city), F.lit(""))
+    return {"plain": q, "filters": filtered, "city": F.concat(q, at), "filters_city": F.concat(filtered, at)}
+
+
+# --- fixed values: what encoders were trained to see before a text, by family, for queries and for items -------------
+PROMPTS = {
+    "e5": ("query: ", "passage: "),
+    "frida": ("search_query: ", "search_document: "),
+    "qwen3": ("Instruct: Retrieve Russian service ads that satisfy the user search.\nQuery: ", ""),
+}
+# --------------------------------------------------------------------------------------------------------------------
+
+
+def prompt(model: str, text: Column, is_query: bool) -> Column:
+    """A text with its model's prefix; the family is the name's part before the first underscore."""
+    prefix = PROMPTS.get(model.split("_")[0], ("", ""))[0 if is_query else 1]
+    return F.concat(F.lit(prefix), text) if prefix else text

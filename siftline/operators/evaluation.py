@@ -71,6 +71,33 @@ def check_answer(answer: DataFrame, queries: DataFrame, items: DataFrame, k: int
     return one.select(F.explode(rules).alias("x")).select("x.rule", "x.n", "x.severity")
 
 
+HOLD_WORDS = 5
+
+
+def holders(items: DataFrame, passages: DataFrame, text: str = "text", passage: str = "text") -> DataFrame:
+    """query_id, item_id of all items whose text holds a passage, as it is, anywhere.
+
+    A passage's second to sixth words stand whole and side by side in any text that holds it, so these are looked up
+    among the runs of words of all texts by a hash, and what meets is verified. Passages of fewer than seven words are
+    compared with all texts: a stated set of queries.
+    """
+    words = lambda c: F.split(c, "[ \t\n\x0b\f\r]+")
+    q = passages.select("query_id", F.col(passage).alias("passage")).where("passage is not null").withColumn("w", words(F.col("passage")))
+    run = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(HOLD_WORDS)])
+    long_ = q.where(F.size("w") >= HOLD_WORDS + 2).select("query_id", "passage", run(F.col("w"), F.lit(1)).alias("h"))
+    t = items.select("item_id", F.col(text).alias("text"), words(F.col(text)).alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - HOLD_WORDS), lambda i: run(F.col("w"), i))
+    met = t.where(F.size("w") >= HOLD_WORDS).select("item_id", F.explode(runs).alias("h")).join(long_.select("h").distinct(), "h").distinct()
+    pairs = met.join(long_, "h").join(t.select("item_id", "text"), "item_id").where(F.contains("text", "passage"))
+    short = q.where(F.size("w") < HOLD_WORDS + 2).select("query_id", "passage")
+    few = t.select("item_id", "text").join(F.broadcast(short.limit(SHORT_PASSAGES)), F.contains("text", "passage"))
+    if short.limit(SHORT_PASSAGES + 1).count() > SHORT_PASSAGES:
+        raise ValueError(f"more than {SHORT_PASSAGES} passages have fewer than {HOLD_WORDS + 2} words")
+    return pairs.select("query_id", "item_id").unionByName(few.select("query_id", "item_id"))
+
+
+#: Short passages that are compared with all texts.
+SHORT_PASSAGES = 10_000
 RAKE_CELLS = 1_000_000
 
 
@@ -86,7 +113,9 @@ def rake(cells: DataFrame, target: DataFrame, columns: list[str], passes: int =
         raise ValueError(f"more than {RAKE_CELLS} cells: {', '.join(columns)} aren't segment labels")
     shares = []
     for c in columns:
-        counts = target.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).limit(RAKE_CELLS).collect()
+        counts = target.groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).limit(RAKE_CELLS + 1).collect()
+        if len(counts) > RAKE_CELLS:
+            raise ValueError(f"more than {RAKE_CELLS} values of {c} in the target: these aren't segment labels")
         total = sum(r.n for r in counts)
         shares.append({r.v: r.n / total for r in counts if r.v is not None})
     weights = rake_on_driver([(r.n, *(None if r[c] is None else str(r[c]) for c in columns)) for r in listed], shares, passes)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import math as M
+from siftline.operators import retrieval as R
 
 
 def transitions(history: DataFrame) -> DataFrame:
@@ -22,9 +25,36 @@ def log_geo(pairs: DataFrame, trans: DataFrame, floor: float = 1e-6, own: float
     return met.withColumn("log_geo", F.ln(F.when(same, F.greatest(p, F.lit(own))).otherwise(F.greatest(p, F.lit(floor))))).drop("p")
 
 
-def nearest_quantile(values: Column, q: float) -> Column:
-    """The quantile by the nearest value, of an array (of one group's aggregated distances)."""
-    return F.element_at(F.array_sort(values), (F.round((F.size(values) - 1) * q) + 1).cast("int"))
+def log_prior(trans: DataFrame, floor: float = 1e-6, own: float = 0.5) -> DataFrame:
+    """search_location_id, item_location_id, log_p: what ``log_geo`` gives for all pairs over the floor, own locations too."""
+    own_rows = trans.select("search_location_id").distinct().select("search_location_id", F.col("search_location_id").alias("item_location_id"), F.lit(own).alias("p"))
+    both = trans.select("search_location_id", "item_location_id", "p").unionByName(own_rows)
+    best = both.groupBy("search_location_id", "item_location_id").agg(F.max("p").alias("p"))
+    return best.where(F.col("p") > floor).select("search_location_id", "item_location_id", F.ln("p").alias("log_p"))
+
+
+def rank_with_prior(scored: DataFrame, queries: DataFrame, items: DataFrame, trans: DataFrame, alpha: float, k: int, floor: float = 1e-6, own: float = 0.5) -> DataFrame:
+    """The k best items of every query by score + alpha * log_geo, over all items; an item without a match has score 0.
+
+    ``scored``: query_id, item_id, score > 0 of all matches; ``queries``: query_id, search_location_id; ``items``:
+    item_id, item_location_id. Beside the matches only these can be among the best: of each location over the floor
+    (the search's own among them) the first k by id, and, of what is at the floor, the first k without a match.
+    """
+    asked = queries.select("query_id", "search_location_id")
+    places = items.select("item_id", "item_location_id")
+    searched = asked.select("search_location_id").distinct()
+    known = log_prior(trans.select("search_location_id", "item_location_id", "p").unionByName(searched.select("search_location_id", F.col("search_location_id").alias("item_location_id"), F.lit(own).alias("p"))), floor, own)
+    first = Window.partitionBy("item_location_id").orderBy("item_id")
+    few = places.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
+    near = searched.join(known, "search_location_id").join(few, "item_location_id")
+    near = R.top_k(near.select(F.col("search_location_id").alias("query_id"), "item_id", F.col("log_p").alias("score")), k).select(F.col("query_id").alias("search_location_id"), "item_id")
+    near = asked.join(near, "search_location_id").select("query_id", "item_id", F.lit(0.0).alias("score"))
+    matches = scored.select("query_id", "item_id", "score")
+    both = matches.unionByName(near.join(matches, ["query_id", "item_id"], "left_anti"))
+    score = F.round("score", 6) + alpha * F.coalesce("log_p", F.lit(math.log(floor)))
+    met = both.join(asked, "query_id").join(places, "item_id").join(known, ["search_location_id", "item_location_id"], "left")
+    ranked = R.top_k(met.select("query_id", "item_id", score.alias("score")), k)
+    return R.fill(ranked, asked, items, k, alpha * math.log(floor))
 
 
 def centroids(points: DataFrame, key: str) -> DataFrame:
@@ -33,11 +63,15 @@ def centroids(points: DataFrame, key: str) -> DataFrame:
 
 
 def spreads(points: DataFrame, centres: DataFrame, key: str) -> DataFrame:
-    """key, d50, d75, d90: quantiles of the distances to the centre; exact counts of distinct rounded distances."""
+    """key, d50, d75, d90: quantiles of the distances to the centre, each by the nearest of the sorted distances.
+
+    Rows are counted by distinct rounded distance before they are sorted, so a place's many rows are never together."""
     met = points.join(centres.select(key, F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon")), key)
     d = F.round(M.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")), 6)
-    listed = met.withColumn("d", d).groupBy(key).agg(F.collect_list("d").alias("ds"))
-    return listed.select(key, F.round(nearest_quantile(F.col("ds"), 0.5), 6).alias("d50"), F.round(nearest_quantile(F.col("ds"), 0.75), 6).alias("d75"), F.round(nearest_quantile(F.col("ds"), 0.9), 6).alias("d90"))
+    counts = met.withColumn("d", d).where("d is not null").groupBy(key, "d").agg(F.count("*").alias("c"))
+    counts = counts.select("*", F.sum("c").over(Window.partitionBy(key).orderBy("d")).alias("upto"), F.sum("c").over(Window.partitionBy(key)).alias("n"))
+    at = lambda q: F.min(F.when(F.col("upto") > F.round((F.col("n") - 1) * q), F.col("d")))
+    return counts.groupBy(key).agg(at(0.5).alias("d50"), at(0.75).alias("d75"), at(0.9).alias("d90"))
 
 
 def location_kind(known: Column, in_corpus: Column, median_spread: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline import staging
 from siftline.functions import math as M
 from siftline.functions import text as T
 
@@ -31,20 +35,75 @@ def query_terms(queries: DataFrame, terms: str = "terms") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms)).alias("term"))
 
 
-def body_terms(text: Column, whole: bool = True) -> Column:
-    """Terms of a long text by slices at 1,500 and 4,000 characters; what follows only if ``whole``."""
-    parts = [T.tokens(T.char_slice(text, 0, 1500)), T.tokens(T.char_slice(text, 1500, 4000))]
-    return F.concat(*parts, *([T.tokens(T.char_slice(text, 4000, 2**31 - 1))] if whole else []))
+def body_terms(text: Column) -> Column:
+    """Terms of a whole long text, by slices that end at 1,500 and 4,000 characters and at its end."""
+    return F.concat(*[T.tokens(T.char_slice(text, a, b)) for a, b in ((0, 1500), (1500, 4000), (4000, 2**31 - 1))])
 
 
-def postings(items: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
-    """item_id, field, term, tf, dl for the terms that queries have; only these are shuffled."""
-    # explode() would have the optimizer ask for the array's size in a filter at the scan: the text would be tokenized twice.
-    parts = [items.select("item_id", F.lit(f).alias("field"), F.size(f).alias("dl"), F.explode_outer(f).alias("term")) for f in fields]
+@dataclass
+class Index:
+    """A corpus's postings for the terms that a set of queries has, written once and scored as often as wanted.
+
+    tf: item_id, field, term, dl, tf, dealt by item; df: term, df (items with the term in any field);
+    size: one row, n and the mean length avg_<field> of each field; wanted: query_id, term.
+    """
+
+    tf: DataFrame
+    df: DataFrame
+    size: DataFrame
+    wanted: DataFrame
+    fields: list[str]
+
+    def only(self, field: str) -> Index:
+        """The index of one of its fields."""
+        tf = self.tf.where(F.col("field") == field)
+        return Index(tf, staging.stage(tf.groupBy("term").agg(F.count("*").alias("df")), "index-df"), self.size, self.wanted, [field])
+
+
+def index(items: DataFrame, queries: DataFrame, fields: list[str]) -> Index:
+    """``items`` has item_id and arrays of terms, ``queries`` query_id and terms (unknown ones find nothing).
+
+    Every text is read and tokenized once. Only terms that queries have, and one row an item and field for its length,
+    are kept; they are dealt by item once, and everything until the best k of each query stays where its item is.
+    """
+    wanted = staging.stage(query_terms(queries), "index-wanted")
+    # explode() would have the optimizer ask for the array's size in a filter at the scan: the text would be tokenized
+    # twice. The empty term stands for the item itself.
+    parts = [items.select("item_id", F.lit(f).alias("field"), F.size(f).alias("dl"), F.explode_outer(F.concat(F.array(F.lit("")), F.coalesce(f, F.array().cast("array<string>")))).alias("term")) for f in fields]
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    return rows.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("item_id", "field", "term", "dl").agg(F.count("*").alias("tf"))
+    known = staging.stage(wanted.select("term").distinct().unionByName(wanted.sparkSession.range(1).select(F.lit("").alias("term"))), "index-terms")
+    kept = rows.join(staging.lookup(known), "term", "left_semi")
+    tf = staging.stage(kept.repartition("item_id").groupBy("item_id", "field", "term", "dl").agg(F.count("*").alias("tf")), "index-postings")
+    own = tf.where("term = ''")
+    means = [F.coalesce(F.avg(F.when(F.col("field") == f, F.greatest(F.col("dl"), F.lit(0)).cast("double"))), F.lit(0.0)).alias(f"avg_{f}") for f in fields]
+    size = staging.stage(own.agg(F.count_if(F.col("field") == fields[0]).alias("n"), *means), "index-size")
+    tf = tf.where("term <> ''")
+    df = tf.groupBy("term").agg(F.count_distinct("item_id").alias("df") if len(fields) > 1 else F.count("*").alias("df"))
+    return Index(tf, staging.stage(df, "index-df"), size, wanted, fields)
+
+
+def _summed(ix: Index, weighted: DataFrame) -> DataFrame:
+    """query_id, item_id, score from item_id, term, w. The rows are dealt by item, so pairs are summed where they are."""
+    return weighted.join(staging.lookup(ix.wanted), "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
+
+
+def score_bm25(ix: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, item_id, score of every pair that shares a term, from an index of one field; reweighting is another call."""
+    weight = M.bm25(F.col("tf"), F.col("dl"), F.col(f"avg_{ix.fields[0]}"), F.col("n"), F.col("df"), k1, b)
+    rows = ix.tf.repartition("item_id").join(staging.lookup(ix.df), "term").crossJoin(F.broadcast(ix.size))  # size is one row
+    return _summed(ix, rows.select("item_id", "term", weight.alias("w")))
+
+
+def score_bm25f(ix: Index, weights: dict[str, float], bs: dict[str, float], k1: float = 1.2) -> DataFrame:
+    """As ``score_bm25``, over several fields: T = sum of w_f tf_f / (1 - b_f + b_f dl_f / avg_f)."""
+    pick = lambda values: F.element_at(F.create_map(*[x for f in ix.fields for x in (F.lit(f), values(f))]), F.col("field"))
+    w, b, avg = pick(lambda f: F.lit(float(weights[f]))), pick(lambda f: F.lit(float(bs[f]))), pick(lambda f: F.col(f"avg_{f}"))
+    part = w * F.col("tf") / (1 - b + b * F.col("dl") / F.greatest(avg, F.lit(1e-9)))
+    total = ix.tf.repartition("item_id").crossJoin(F.broadcast(ix.size)).groupBy("item_id", "term", "n").agg(F.sum(part).alias("t"))  # size is one row
+    weight = F.col("t") * (k1 + 1) / (F.col("t") + k1) * M.idf(F.col("n"), F.col("df"))
+    return _summed(ix, total.join(staging.lookup(ix.df), "term").select("item_id", "term", weight.alias("w")))
 
 
 def bm25(items: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -52,69 +111,76 @@ def bm25(items: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
 
     Unknown terms are dropped; every item counts in the number and the mean length, empty ones too.
     """
-    wanted = query_terms(queries)
-    tf = postings(items, wanted, ["terms"]).drop("field")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    size = items.agg(F.count("*").alias("n"), F.avg(F.size("terms").cast("double")).alias("avgdl"))
-    weight = M.bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n"), F.col("df"), k1, b)
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(size)).select("item_id", "term", weight.alias("w"))  # size is one row
-    return wanted.join(weighted, "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
+    return score_bm25(index(items, queries, ["terms"]), k1, b)
 
 
 def bm25f(items: DataFrame, queries: DataFrame, weights: dict[str, float], bs: dict[str, float], k1: float = 1.2) -> DataFrame:
-    """As ``bm25``, over several fields (arrays of terms): T = sum of w_f tf_f / (1 - b_f + b_f dl_f / avg_f)."""
-    fields = [f for f, w in weights.items() if w]
-    wanted = query_terms(queries)
-    tf = postings(items, wanted, fields)
-    size = items.agg(F.count("*").alias("n"), *[F.avg(F.size(f).cast("double")).alias(f"avg_{f}") for f in fields])
-    pick = lambda values: F.element_at(F.create_map(*[x for f in fields for x in (F.lit(f), values(f))]), F.col("field"))
-    w, b, avg = pick(lambda f: F.lit(float(weights[f]))), pick(lambda f: F.lit(float(bs[f]))), pick(lambda f: F.col(f"avg_{f}"))
-    part = w * F.col("tf") / (1 - b + b * F.col("dl") / F.greatest(avg, F.lit(1e-9)))
-    total = tf.crossJoin(F.broadcast(size)).groupBy("item_id", "term", "n").agg(F.sum(part).alias("t"))  # size is one row
-    df = tf.select("item_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
-    weighted = total.join(df, "term").select("item_id", "term", (F.col("t") * (k1 + 1) / (F.col("t") + k1) * M.idf(F.col("n"), F.col("df"))).alias("w"))
-    return wanted.join(weighted, "term").groupBy("query_id", "item_id").agg(F.sum("w").alias("score"))
+    """``bm25`` over several fields (arrays of terms), those with a weight."""
+    return score_bm25f(index(items, queries, [f for f, w in weights.items() if w]), weights, bs, k1)
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(items: DataFrame, queries: DataFrame, k: int, prior: DataFrame | None = None, alpha: float = 0.0, floor: float = 1e-6) -> DataFrame:
     """The k items of largest dot product for every query, exactly: query_id, item_id, score, rank.
 
     ``items`` has item_id, vector; ``queries`` query_id, vector. Queries come in blocks of bounded size, each of which
-    goes to all tasks; a task multiplies matrices and keeps k candidates a query of each of its batches.
+    goes to all tasks; a task multiplies matrices and keeps k candidates a query of each of its batches. With ``prior``
+    (search_location_id, item_location_id, log_p), ``alpha`` times log_p, or the logarithm of ``floor`` for what it lacks,
+    is added before the best are chosen; items and queries then have these locations too. A block takes the rows of
+    the prior that its own locations have.
     """
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
     kind = queries.schema["query_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    place = F.col("item_location_id").cast("string") if prior is not None else F.lit(None).cast("string")
+    slim = items.select("item_id", "vector", place.alias("place"))
     out = None
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect() if blocks > 1 else queries.collect()
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        rows = mine.collect()  # a block
         if not rows:
             continue
         ids = [r.query_id for r in rows]
         matrix = np.array([r.vector for r in rows], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+        numbers: dict[str | None, int] = {}
+        bonus = np.full((len(rows), 1), alpha * math.log(floor))
+        if prior is not None:
+            searched = mine.select("search_location_id").distinct()
+            known = prior.join(F.broadcast(searched), "search_location_id").select(F.col("search_location_id").alias("s"), F.col("item_location_id").cast("string").alias("i"), "log_p").collect()  # a block's locations
+            numbers = {i: n for n, i in enumerate(sorted({r.i for r in known}))}
+            bonus = np.full((len(rows), len(numbers) + 1), alpha * math.log(floor))
+            at = defaultdict(list)
+            for n, r in enumerate(rows):
+                at[r.search_location_id].append(n)
+            for r in known:
+                bonus[at[r.s], numbers[r.i]] = alpha * r.log_p
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, numbers=numbers, bonus=bonus) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 vectors = batch.column(1)
                 if not len(vectors):
                     continue
                 x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-                scores = np.round(matrix @ x.T, 6)
+                scores = matrix @ x.T
+                if numbers:
+                    scores = np.round(scores, 6) + bonus[:, [numbers.get(p, -1) for p in batch.column(2).to_pylist()]]
+                scores = np.round(scores, 6)
                 n = min(k, len(vectors))
                 # All that tie with the k-th stay, so that the choice among ties is the window's.
                 least = np.partition(scores, len(vectors) - n, axis=1)[:, len(vectors) - n]
                 q, i = np.nonzero(scores >= least[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in q.tolist()]), batch.column(0).take(pa.array(i)), pa.array(scores[q, i])], names=["query_id", "item_id", "score"])
 
-        part = items.select("item_id", "vector").mapInArrow(run, f"query_id {kind[0]}, item_id {kind[1]}, score double")
+        part = top_k(slim.mapInArrow(run, f"query_id {kind[0]}, item_id {kind[1]}, score double"), k)
+        # Of several blocks each is written before the next is read, so that the driver holds one at a time.
+        part = staging.stage(part, "nearest") if blocks > 1 else part
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = queries.select("query_id").crossJoin(items.select("item_id")).select("*", F.lit(0.0).alias("score")).limit(0)
-    return top_k(out, k)
+        out = queries.sparkSession.createDataFrame([], f"query_id {kind[0]}, item_id {kind[1]}, score double, rank int")
+    return out
 
 
-def fill(channel: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Queries with fewer than k items get items without a match, with score 0, by ascending id: a full ranking's tail.
+def fill(channel: DataFrame, queries: DataFrame, items: DataFrame, k: int, score: float = 0.0) -> DataFrame:
+    """Queries with fewer than k items get items without a match, with ``score``, by ascending id: a full ranking's tail.
 
     Any k + (number of items a query has) smallest ids hold enough, so 2 k candidates do for all queries.
     """
@@ -122,7 +188,7 @@ def fill(channel: DataFrame, queries: DataFrame, items: DataFrame, k: int) -> Da
     short = queries.select("query_id").join(channel.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left")
     short = short.where(F.coalesce("have", F.lit(0)) < k).select("query_id")
     extra = short.crossJoin(F.broadcast(tail)).join(channel.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")  # 2 k rows
-    return top_k(channel.select("query_id", "item_id", "score").unionByName(extra.withColumn("score", F.lit(0.0))), k)
+    return top_k(channel.select("query_id", "item_id", "score").unionByName(extra.withColumn("score", F.lit(float(score)))), k)
 
 
 def filter_penalty(pairs: DataFrame, filters: DataFrame, item_kv: DataFrame, penalty: dict[str, float], default: float) -> DataFrame:

@@ -69,7 +69,7 @@ def select_stratified(candidates: DataFrame, strata: list[str], wanted: dict[str
     ``candidates``: id, position, rel (its items), the columns ``strata`` (and ``seen``, rows of its text elsewhere);
     ``wanted``: for each split, how many of each full cell. Cells are filled exactly first; what is missing is filled
     with cells that agree on fewer strata from the left. Splits take turns in a cell. Texts with 1 to 30 other rows
-    also stand in the frequency cell ``convert``, after all that are there by nature. Each choice depends on the items
+    also stand in the frequency cell ``convert``, after all that are there by nature, the rarest first. Each choice depends on the items
     taken before, so this runs in one task; callers bound its input by what they want (some 10,000 rows).
     """
     names = list(wanted)
@@ -77,12 +77,13 @@ def select_stratified(candidates: DataFrame, strata: list[str], wanted: dict[str
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
         rows = list(pdf.itertuples(index=False))
+        rarest = sorted(rows, key=lambda r: (getattr(r, seen), r.position)) if seen else rows
         need = {s: {tuple(map(str, c)): n for c, n in wanted[s]} for s in names}
         taken, items, out = set(), set(), []
         for depth in range(len(strata), -1, -1):
             pools: dict = defaultdict(list)
             for extra in (False, True):
-                for r in rows:
+                for r in rarest if extra else rows:
                     cell = [str(getattr(r, c)) for c in strata]
                     if extra:
                         if seen is None or not 1 <= getattr(r, seen) <= 30:

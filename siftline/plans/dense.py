@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import math as M
+from siftline.operators import geo as G
 from siftline.operators import retrieval as R
 from siftline.plans.registry import query, ranked_sql, table
 
@@ -35,18 +36,15 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH {_SCORES}, c AS (SELECT label, count(*) / sum(count(*)) OVER () AS p FROM embeddings GROUP BY label),
 g AS (SELECT query_id, item_id, round(score + {ALPHA} * ln(CASE WHEN q_label = s.label THEN greatest(p, 0.5) ELSE greatest(p, 1e-6) END), 6) AS score FROM s JOIN c ON c.label = s.label),
-t AS (SELECT s.query_id, s.item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS r FROM s) s WHERE r <= 200),
-p AS (SELECT g.* FROM g JOIN t USING (query_id, item_id)),
-{ranked_sql('r', 'p', 50)} SELECT * FROM r
+{ranked_sql('r', 'g', 50)} SELECT * FROM r
 """)
 def cosine_geo_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The 200 nearest of every query, ranked anew with the logarithm of a prior over the items' places (their labels)."""
+    """The nearest vectors with the logarithm of a prior over the items' places (their labels), added to all of them."""
     corpus, qs = _items(spark, sf), _queries(spark, sf)
-    near = R.nearest(corpus, qs, 200)
     share = corpus.groupBy("label").agg(F.count("*").alias("n")).crossJoin(corpus.agg(F.count("*").alias("total"))).select("label", (F.col("n") / F.col("total")).alias("p"))  # one row a label
-    met = near.join(corpus.select("item_id", "label"), "item_id").join(qs.select("query_id", "q_label"), "query_id").join(share, "label")
-    prior = F.ln(F.when(F.col("q_label") == F.col("label"), F.greatest("p", F.lit(0.5))).otherwise(F.greatest("p", F.lit(1e-6))))
-    return R.top_k(met.select("query_id", "item_id", (F.col("score") + ALPHA * prior).alias("score")), 50)
+    searched = qs.select(F.col("q_label").alias("search_location_id")).distinct()
+    trans = searched.crossJoin(share.withColumnRenamed("label", "item_location_id"))  # labels times labels: the prior itself
+    return R.nearest(corpus.withColumnRenamed("label", "item_location_id"), qs.withColumnRenamed("q_label", "search_location_id"), 50, G.log_prior(trans), ALPHA)
 
 
 @query("""

@@ -12,13 +12,12 @@ from siftline.operators import sampling as S
 from siftline.plans.fusion import CHANNELS, channels
 from siftline.plans.registry import items, mix, passages, query, table
 
-QRELS = "qrels AS MATERIALIZED (SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60)))"
+QRELS = "qrels AS MATERIALIZED (SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
-    """Items that hold a passage's first 60 characters: every text is read once, against all passages (the stated query set)."""
-    q = passages(spark, sf).select("query_id", F.substring("text", 1, 60).alias("head"))
-    return items(spark, sf).select("item_id", "text").join(q, F.contains("text", "head")).select("query_id", "item_id")
+    """Items that hold a passage."""
+    return E.holders(items(spark, sf), passages(spark, sf))
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,8 +154,19 @@ def _rake_sql(passes: int) -> str:
     return f"WITH {', '.join(ctes)} SELECT o_orderstatus, o_orderpriority, n, round(w / (SELECT sum(w * n) / sum(n) FROM {last}), 6) AS w FROM {last}"
 
 
+@query()
+def rake_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """50 passes; as SQL these would be a chain of 400 tables."""
+    return _raked(spark, sf, 50)
+
+
 @query(_rake_sql(3))
-def rake_weights(spark: SparkSession, sf: str, passes: int = 3) -> DataFrame:
+def rake_three_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """The first passes of ``rake_weights``, for its SQL."""
+    return _raked(spark, sf, 3)
+
+
+def _raked(spark: SparkSession, sf: str, passes: int) -> DataFrame:
     orders = table(spark, sf, "orders")
     names = ["o_orderstatus", "o_orderpriority"]
     cells = orders.where("o_orderkey % 3 = 0").groupBy(*names).agg(F.count("*").alias("n"))
@@ -164,10 +174,7 @@ def rake_weights(spark: SparkSession, sf: str, passes: int = 3) -> DataFrame:
     return E.rake(cells, target, names, passes).select(*names, "n", F.round("w", 6).alias("w"))
 
 
-@query()
-def rake_weights_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The operator's 50 passes; as SQL these would be a chain of 400 tables."""
-    return rake_weights(spark, sf, 50)
+RESAMPLES = 2000
 
 
 def _draws(value: str, source: str, resamples: int) -> str:
@@ -183,17 +190,11 @@ SELECT (SELECT round(avg(x), 6) FROM v) AS mean, (SELECT n FROM n) AS n, round(q
 """
 
 
-@query(_ci_sql(200))
-def bootstrap_ci(spark: SparkSession, sf: str, resamples: int = 200) -> DataFrame:
-    """As many resamples as the SQL has; bootstrap_ci_whole has the operator's 2000."""
+@query(_ci_sql(RESAMPLES))
+def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     rows = passages(spark, sf).select("query_id", ((F.col("query_id") % 3) / 2.0).alias("r"))
     rows = rows.withColumn("idx", F.row_number().over(Window.orderBy("query_id")) - 1)
-    return E.bootstrap(rows, "r", resamples)
-
-
-@query(_ci_sql(2000))
-def bootstrap_ci_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return bootstrap_ci(spark, sf, 2000)
+    return E.bootstrap(rows, "r", RESAMPLES)
 
 
 def _paired_sql(resamples: int) -> str:
@@ -204,19 +205,14 @@ SELECT (SELECT round(avg(x), 6) FROM v) AS mean, (SELECT n FROM n) AS n, round(q
 """
 
 
-@query(_paired_sql(200))
-def paired_bootstrap(spark: SparkSession, sf: str, resamples: int = 200) -> DataFrame:
+@query(_paired_sql(RESAMPLES))
+def paired_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("query_id")
     a = passages(spark, sf).select(n, (n % 3 / 2.0).alias("b"))
     b = passages(spark, sf).select(n, (n % 4 / 3.0).alias("a"))
     rows = a.join(b, "query_id").withColumn("d", F.col("b") - F.col("a")).withColumn("idx", F.row_number().over(Window.orderBy("query_id")) - 1)
     signs = rows.agg(F.sum((F.col("d") > 0).cast("long")).alias("better"), F.sum((F.col("d") < 0).cast("long")).alias("worse"))
-    return E.bootstrap(rows, "d", resamples).crossJoin(signs)  # each is one row
-
-
-@query(_paired_sql(2000))
-def paired_bootstrap_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return paired_bootstrap(spark, sf, 2000)
+    return E.bootstrap(rows, "d", RESAMPLES).crossJoin(signs)  # each is one row
 
 
 @query("""

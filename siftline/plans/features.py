@@ -10,7 +10,7 @@ from siftline.functions import text as T
 from siftline.operators import evaluation as E
 from siftline.operators import features as X
 from siftline.operators import retrieval as R
-from siftline.plans.fusion import SAMPLE, WHOLE, Sizes, pool, pool_sql
+from siftline.plans.fusion import POOL, pool
 from siftline.plans.registry import items, passages, query, ranked_sql, table, tok
 
 PLACE = "CASE {x} % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'es' ELSE 'fr' END"
@@ -20,7 +20,7 @@ def _place(c):
     return F.when(c % 4 == 0, "de").when(c % 4 == 1, "en").when(c % 4 == 2, "es").otherwise("fr")
 
 
-def _pairs(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pool pairs with what both sides bring: token sets are made once a query and once an item, before the join."""
     q = passages(spark, sf).select("query_id", T.token_set(F.col("text")).alias("q_tokens"), F.substring("text", 1, 12).alias("q_text"), _place(F.col("query_id")).alias("q_place"), T.n_words(F.col("text")).alias("query_words"))
     q = q.withColumn("q_filter_tokens", F.slice("q_tokens", 1, 3))
@@ -28,11 +28,10 @@ def _pairs(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
         "item_id", "title", "lang", "source", "n_chars", T.token_set(F.col("title")).alias("title_tokens"), T.token_set(T.char_slice(F.col("text"), 0, 600)).alias("param_tokens"),
         T.token_set(T.char_slice(F.col("text"), 0, 300)).alias("core_tokens"), T.token_set(T.char_slice(F.col("text"), 300, 600)).alias("service_tokens"),
     )
-    return pool(spark, sf, n).join(q, "query_id").join(i, "item_id")
+    return pool(spark, sf).join(q, "query_id").join(i, "item_id")
 
 
-def pairs_sql(n: Sizes) -> str:
-    return f"""{pool_sql(n)},
+_PAIRS = f"""{POOL},
 pq AS MATERIALIZED (SELECT item_id AS query_id, list_distinct({tok('text')}) AS a, substr(text, 1, 12) AS q_text, {PLACE.format(x='item_id')} AS q_place,
        len(string_split(trim(regexp_replace(replace(lower(text), 'ё', 'е'), '[^0-9a-zа-я]+', ' ', 'g')), ' '))::INT AS query_words, {tok('text')} AS raw FROM benchmark),
 pf AS MATERIALIZED (SELECT *, list_transform(list_filter(list_zip(raw, range(1, len(raw) + 1)), lambda z: list_position(raw, z[1]) = z[2])[1:3], lambda z: z[1]) AS f FROM pq),
@@ -50,20 +49,12 @@ feat AS MATERIALIZED (
 )"""
 
 
-_PAIRS = pairs_sql(SAMPLE)
-
-
 @query(f"WITH {_PAIRS} SELECT query_id, item_id, round(title_cov, 6) AS title_cov, round(params_cov, 6) AS params_cov, round(title_jacc, 6) AS title_jacc, round(filter_cov, 6) AS filter_cov FROM feat")
-def coverage_jaccard(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
-    out = X.text_features(_pairs(spark, sf, n))
+def coverage_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    out = X.text_features(_pairs(spark, sf))
     return out.select("query_id", "item_id", *[F.round(c, 6).alias(c) for c in ("title_cov", "params_cov", "title_jacc", "filter_cov")])
 
 
-@query(f"WITH {pairs_sql(WHOLE)} SELECT query_id, item_id, round(title_cov, 6) AS title_cov, round(params_cov, 6) AS params_cov, round(title_jacc, 6) AS title_jacc, round(filter_cov, 6) AS filter_cov FROM feat")
-def coverage_jaccard_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage_jaccard(spark, sf, WHOLE)
-
-
 @query(f"WITH {_PAIRS} SELECT query_id, item_id, exact_phrase_title FROM feat")
 def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
     return X.text_features(_pairs(spark, sf)).select("query_id", "item_id", "exact_phrase_title")
@@ -104,8 +95,8 @@ def filter_match(spark: SparkSession, sf: str) -> DataFrame:
 FEATURES = ["title_cov", "params_cov", "title_jacc", "filter_cov", "core_cov", "service_cov", "exact_phrase_title", "same_loc", "query_words", "log_chars", "c0_score", "c0_rank", "c0_score_gap", "c1_score", "c1_rank", "c1_score_gap"]
 
 
-def pair_frame(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
-    out = X.channel_features(X.text_features(_pairs(spark, sf, n)), 2)
+def pair_frame(spark: SparkSession, sf: str) -> DataFrame:
+    out = X.channel_features(X.text_features(_pairs(spark, sf)), 2)
     out = out.withColumns({"same_loc": (F.col("q_place") == F.col("lang")).cast("int"), "log_chars": F.log1p("n_chars")})
     exact = {"exact_phrase_title", "same_loc", "query_words", "c0_rank", "c1_rank"}
     return out.select("query_id", "item_id", *[F.col(c) if c in exact else F.round(c, 6).alias(c) for c in FEATURES])
@@ -119,41 +110,25 @@ def pair_features(spark: SparkSession, sf: str) -> DataFrame:
     return pair_frame(spark, sf)
 
 
-@query(f"WITH {pairs_sql(WHOLE)} SELECT query_id, item_id, {_FEATURES} FROM feat")
-def pair_features_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return pair_frame(spark, sf, WHOLE)
-
-
 _LINEAR = {"title_cov": 1.0, "params_cov": 2.0, "core_cov": 0.5, "exact_phrase_title": 0.25, "same_loc": 0.125, "c0_score_gap": 0.0625, "c1_score_gap": 0.03125}
 
 
-def _answer_sql(n: Sizes) -> str:
-    return f"""
-WITH {pairs_sql(n)}, f AS (SELECT query_id, item_id, {_FEATURES} FROM feat), s AS (SELECT query_id, item_id, round({' + '.join(f'{w} * {c}' for c, w in _LINEAR.items())}, 6) AS score FROM f),
+@query(f"""
+WITH {_PAIRS}, f AS (SELECT query_id, item_id, {_FEATURES} FROM feat), s AS (SELECT query_id, item_id, round({' + '.join(f'{w} * {c}' for c, w in _LINEAR.items())}, 6) AS score FROM f),
 {ranked_sql('r', 's', 50)}
 SELECT item_id AS query_id, coalesce(answer, '') AS answer FROM benchmark LEFT JOIN (SELECT query_id, string_agg(item_id::VARCHAR, ' ' ORDER BY rank) AS answer FROM r GROUP BY 1) a ON a.query_id = item_id
-"""
-
-
-@query(_answer_sql(SAMPLE))
-def answer_pipeline(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
+""")
+def answer_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Channels, pool, features, a fixed linear score, and the answers of every query."""
     score = sum((F.col(c) * w for c, w in list(_LINEAR.items())[1:]), F.col("title_cov") * 1.0)
-    ranked = R.top_k(pair_frame(spark, sf, n).select("query_id", "item_id", score.alias("score")), 50)
+    ranked = R.top_k(pair_frame(spark, sf).select("query_id", "item_id", score.alias("score")), 50)
     return passages(spark, sf).select("query_id").join(E.answers(ranked), "query_id", "left").fillna("", ["answer"])
 
 
-@query(_answer_sql(WHOLE))
-def answer_pipeline_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return answer_pipeline(spark, sf, WHOLE)
-
-
 def labelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pool pairs with label 1 where the item holds the whole passage."""
-    q = passages(spark, sf).select("query_id", F.col("text").alias("passage"))
-    i = items(spark, sf).select("item_id", "text")
-    marked = pool(spark, sf, WHOLE).join(q, "query_id").join(i, "item_id").select("query_id", "item_id", F.contains("text", "passage").cast("int").alias("label"))
-    return pair_frame(spark, sf, WHOLE).join(marked, ["query_id", "item_id"])
+    held = E.holders(items(spark, sf), passages(spark, sf)).withColumn("label", F.lit(1))
+    return pair_frame(spark, sf).join(held, ["query_id", "item_id"], "left").fillna(0, ["label"])
 
 
 @query()

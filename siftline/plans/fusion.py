@@ -7,19 +7,21 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline import staging
+from siftline.functions import text as T
 from siftline.operators import fusion as U
 from siftline.operators import retrieval as R
 from siftline.plans.registry import bm25_sql, items, passages, query, ranked_sql, with_terms
 
+
 class Sizes(NamedTuple):
     depth: int  # ranks a channel keeps
     quotas: list[int]  # ranks of each channel that enter the union
     most: int  # pairs of a query after the cap
 
 
-#: The queries without a suffix are a sample of the job, about a tenth of its size, as their SQL says; those that end in _whole do all of it.
-SAMPLE = Sizes(200, [100, 40], 120)
-WHOLE = Sizes(2000, [1000, U.dynamic_quota(2)], 2000)
+#: What a pool takes in production.
+SIZES = Sizes(2000, [1000, U.dynamic_quota(2)], 2000)
 
 
 def channels_sql(n: Sizes) -> str:
@@ -37,20 +39,22 @@ pool AS MATERIALIZED (
 )"""
 
 
-CHANNELS, POOL = channels_sql(SAMPLE), pool_sql(SAMPLE)
+CHANNELS, POOL = channels_sql(SIZES), pool_sql(SIZES)
 
 
-def channels(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> list[DataFrame]:
-    qs = with_terms(passages(spark, sf))
-    return [R.top_k(R.bm25(with_terms(items(spark, sf), c), qs), n.depth) for c in ("text", "title")]
+def channels(spark: SparkSession, sf: str, n: Sizes = SIZES) -> list[DataFrame]:
+    """Texts and titles by BM25, from one index of both; each list is written, as the pool reads it several times."""
+    corpus = items(spark, sf).select("item_id", T.tokens(F.col("text")).alias("text"), T.tokens(F.col("title")).alias("title"))
+    ix = R.index(corpus, with_terms(passages(spark, sf)), ["text", "title"])
+    return [staging.stage(R.top_k(R.score_bm25(ix.only(c)), n.depth), f"channel-{c}") for c in ix.fields]
 
 
-def union(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
-    return U.pool_union(channels(spark, sf, n), n.quotas)
+def union(spark: SparkSession, sf: str) -> DataFrame:
+    return U.pool_union(channels(spark, sf), SIZES.quotas)
 
 
-def pool(spark: SparkSession, sf: str, n: Sizes = SAMPLE) -> DataFrame:
-    return U.cap(U.fuse(union(spark, sf, n), 2), n.most)
+def pool(spark: SparkSession, sf: str) -> DataFrame:
+    return U.cap(U.fuse(union(spark, sf), 2), SIZES.most)
 
 
 @query(f"WITH {POOL} SELECT query_id, item_id, c0_score, c0_rank, c1_score, c1_rank FROM pool")
@@ -68,21 +72,6 @@ def pool_cap(spark: SparkSession, sf: str) -> DataFrame:
     return pool(spark, sf).select("query_id", "item_id", "rrf", "pool_rank")
 
 
-@query(f"WITH {pool_sql(WHOLE)} SELECT query_id, item_id, c0_score, c0_rank, c1_score, c1_rank FROM pool")
-def pool_union_quota_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return union(spark, sf, WHOLE)
-
-
-@query(f"WITH {pool_sql(WHOLE)} SELECT query_id, item_id, rrf FROM pool")
-def rrf_fusion_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return U.fuse(union(spark, sf, WHOLE), 2).select("query_id", "item_id", "rrf")
-
-
-@query(f"WITH {pool_sql(WHOLE)} SELECT query_id, item_id, rrf, pool_rank FROM capped")
-def pool_cap_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return pool(spark, sf, WHOLE).select("query_id", "item_id", "rrf", "pool_rank")
-
-
 @query("""
 WITH c AS (SELECT user_id AS query_id, floor(value * 10)::BIGINT AS item_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - (user_id % 9 = 0)::INT)::INT AS rank FROM events),
 q AS (SELECT count(*) FILTER (n > 12)::BIGINT AS too_long, count(*) FILTER (least <> 1)::BIGINT AS not_from_one FROM (SELECT query_id, count(*) AS n, min(rank) AS least FROM c GROUP BY 1)),

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
+from siftline.operators import geo as G
 from siftline.operators import retrieval as R
-from siftline.plans.registry import bm25_sql, items, norm, passages, query, ranked_sql, table, tok, with_terms
+from siftline.plans.registry import HISTORY, bm25_sql, history, items, norm, passages, query, ranked_sql, table, tok, with_terms
 
 FIELD_WEIGHTS = {"title": 2.0, "body": 1.0, "source": 1.0}
 FIELD_BS = {"title": 0.9, "body": 0.75, "source": 0.75}
@@ -41,22 +42,29 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return R.top_k(R.bm25(with_terms(items(spark, sf)), with_terms(passages(spark, sf))), 50)
 
 
-@query(f"WITH {bm25_sql('s', 'text', 0.9, 0.4)}, {ranked_sql('r', 's', 10)} SELECT * FROM r")
+_WEIGHTINGS = ((1.2, 0.75), (0.9, 0.4))
+
+
+@query(f"""
+WITH {bm25_sql('s0', 'text', *_WEIGHTINGS[0])}, {ranked_sql('r0', 's0', 10)}, {bm25_sql('s1', 'text', *_WEIGHTINGS[1])}, {ranked_sql('r1', 's1', 10)}
+SELECT 0 AS weighting, * FROM r0 UNION ALL SELECT 1, * FROM r1
+""")
 def bm25_reweight(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.bm25(with_terms(items(spark, sf)), with_terms(passages(spark, sf)), k1=0.9, b=0.4), 10)
+    """One table of term frequencies, weighed in two ways."""
+    ix = R.index(with_terms(items(spark, sf)), with_terms(passages(spark, sf)), ["terms"])
+    ranked = [R.top_k(R.score_bm25(ix, *w), 10).select(F.lit(k).alias("weighting"), "query_id", "item_id", "score", "rank") for k, w in enumerate(_WEIGHTINGS)]
+    return ranked[0].unionByName(ranked[1])
 
 
-def _fields(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Titles, bodies (slices, so a word across a cut is two tokens) and sources, as terms. Bodies end at 4,000
-    characters (the reference's desc4000) or are ``whole`` (its descall)."""
-    body = R.body_terms(F.col("text"), whole)
+def _fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles, bodies (by slices, so a word across a cut is two tokens) and sources, as terms."""
+    body = R.body_terms(F.col("text"))
     return items(spark, sf).select("item_id", T.tokens(F.col("title")).alias("title"), body.alias("body"), T.tokens(F.col("source")).alias("source"))
 
 
-def _bm25f_sql(body: str) -> str:
-    return f"""
-WITH f AS MATERIALIZED (
-  SELECT doc_id AS item_id, {tok('substr(text, 1, 120)')} AS title, {body} AS body, {tok('source')} AS source FROM documents
+_BODY = f"list_concat({tok('substr(text, 1, 1500)')}, {tok('substr(text, 1501, 2500)')}, {tok('substr(text, 4001)')})"
+_BM25F = f"""f AS MATERIALIZED (
+  SELECT doc_id AS item_id, {tok('substr(text, 1, 120)')} AS title, {_BODY} AS body, {tok('source')} AS source FROM documents
 ), n AS MATERIALIZED (SELECT count(*) AS n, avg(len(title)::DOUBLE) AS a_title, avg(len(body)::DOUBLE) AS a_body, avg(len(source)::DOUBLE) AS a_source FROM f),
 q AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, unnest({tok('text')}) AS term FROM benchmark),
 tf AS (
@@ -67,23 +75,39 @@ tf AS (
   ) WHERE term IN (SELECT term FROM q) GROUP BY ALL
 ), t AS MATERIALIZED (SELECT item_id, term, sum(w * tf / (1 - b + b * dl / greatest(avg_f, 1e-9))) AS t FROM tf GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
-s AS (SELECT query_id, item_id, round(sum(t * 2.2 / (t + 1.2) * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score FROM q JOIN t USING (term) JOIN df USING (term), n GROUP BY ALL),
-{ranked_sql('r', 's', 50)} SELECT * FROM r
-"""
-
-
-_BODY = f"list_concat({tok('substr(text, 1, 1500)')}, {tok('substr(text, 1501, 2500)')})"
+s AS (SELECT query_id, item_id, round(sum(t * 2.2 / (t + 1.2) * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score FROM q JOIN t USING (term) JOIN df USING (term), n GROUP BY ALL)"""
 
 
-@query(_bm25f_sql(_BODY))
+@query(f"WITH {_BM25F}, {ranked_sql('r', 's', 50)} SELECT * FROM r")
 def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the first 4,000 characters of every text, as its SQL says; bm25f_topk_whole reads all of them."""
     return R.top_k(R.bm25f(_fields(spark, sf), with_terms(passages(spark, sf)), FIELD_WEIGHTS, FIELD_BS), 50)
 
 
-@query(_bm25f_sql(f"list_concat({_BODY}, {tok('substr(text, 4001)')})"))
-def bm25f_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.bm25f(_fields(spark, sf, whole=True), with_terms(passages(spark, sf)), FIELD_WEIGHTS, FIELD_BS), 50)
+#: All items and all queries, an item without a match with score 0, and the logarithm of how often a search there chose the item's place.
+_GEO = """g AS (
+  SELECT query_id, item_id, round(round(coalesce(s.score, 0), 6) + {alpha} * ln(CASE WHEN a = b THEN greatest(coalesce(p, 1e-6), 0.5) ELSE greatest(coalesce(p, 1e-6), 1e-6) END), 6) AS score
+  FROM (SELECT item_id AS query_id, (item_id % 25)::BIGINT AS a FROM benchmark) CROSS JOIN (SELECT doc_id AS item_id, (doc_id % 31)::BIGINT AS b FROM documents)
+  LEFT JOIN s USING (query_id, item_id) LEFT JOIN trans ON search_location_id = a AND item_location_id = b
+)"""
+
+
+def _with_places(spark: SparkSession, sf: str, scored: DataFrame, alpha: float) -> DataFrame:
+    """Items lie in the 25 nations and six places that nobody chose; queries search from a nation."""
+    asked = passages(spark, sf).select("query_id", (F.col("query_id") % 25).alias("search_location_id"))
+    places = items(spark, sf).select("item_id", (F.col("item_id") % 31).alias("item_location_id"))
+    return G.rank_with_prior(scored, asked, places, G.transitions(history(spark, sf)), alpha, 50)
+
+
+@query(f"WITH {bm25_sql('s')}, {HISTORY}, {_GEO.format(alpha=2.0)}, {ranked_sql('r', 'g', 50)} SELECT * FROM r")
+def bm25_geo_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 with the prior of places, over all items."""
+    return _with_places(spark, sf, R.bm25(with_terms(items(spark, sf)), with_terms(passages(spark, sf))), 2.0)
+
+
+@query(f"WITH {_BM25F}, {HISTORY}, {_GEO.format(alpha=1.5)}, {ranked_sql('r', 'g', 50)} SELECT * FROM r")
+def bm25f_geo_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Fielded BM25 with the prior of places, over all items."""
+    return _with_places(spark, sf, R.bm25f(_fields(spark, sf), with_terms(passages(spark, sf)), FIELD_WEIGHTS, FIELD_BS), 1.5)
 
 
 @query(f"""

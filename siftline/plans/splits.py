@@ -48,19 +48,14 @@ FROM q LEFT JOIN t USING (norm_q) LEFT JOIN p ON p.norm_q = q.norm_q AND p.searc
 """
 
 
-@query(_history_sql("event_id % 40 = 1"))
-def history_features(spark: SparkSession, sf: str, kept: str = "event_id % 40 = 1") -> DataFrame:
-    """The history is a fortieth of the rows, as the SQL has it; history_features_whole takes all that aren't queries."""
+@query(_history_sql("event_id % 5 <> 0"))
+def history_features(spark: SparkSession, sf: str) -> DataFrame:
+    """A fifth of the rows are queries, all others their history."""
     rows = train(spark, sf).withColumnRenamed("search", "search_location_id")
-    out = S.history_features(rows.where("event_id % 5 = 0"), rows.where(kept))
+    out = S.history_features(rows.where("event_id % 5 = 0"), rows.where("event_id % 5 <> 0"))
     return out.select("event_id", "text_rows_in_history", "seen_text", "seen_same_loc", "f_bucket")
 
 
-@query(_history_sql("event_id % 5 <> 0"))
-def history_features_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return history_features(spark, sf, "event_id % 5 <> 0")
-
-
 @query(f"""
 WITH {_TRAIN}, taken AS (SELECT DISTINCT search, place FROM train WHERE event_id % 100 = 0)
 SELECT event_id FROM train WHERE (search, place) NOT IN (SELECT (search, place) FROM taken) AND item_id IS NOT NULL AND item_id NOT IN (SELECT item_id FROM train WHERE event_id % 50 = 7 AND item_id IS NOT NULL)

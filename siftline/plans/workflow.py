@@ -15,7 +15,7 @@ from siftline.functions import math as M
 from siftline.functions import params as P
 from siftline.functions import service_terms
 from siftline.functions import text as T
-from siftline.functions.stem import stems
+from siftline.functions.stem import stem_set, stems
 from siftline.operators import evaluation as E
 from siftline.operators import features as X
 from siftline.operators import fusion as U
@@ -89,16 +89,9 @@ class Search:
         return G.smoothed_prior(search, centres, G.transitions(self.history(split)))
 
     def _with_geo(self, channel: DataFrame, queries: DataFrame, split: str, alpha: float, k: int) -> DataFrame:
-        """Adds alpha * log frequency to a channel's scores; items at a search's frequent places join it without a match."""
-        trans = G.transitions(self.history(split)).persist()
+        """Adds alpha * log frequency to a lexical channel's scores; items at a search's frequent places join it without a match."""
         places = self.store.corpus(["item_id", "item_location_id"])
-        asked = queries.select("query_id", "search_location_id")
-        near = asked.join(trans.where("p > 1e-6").select("search_location_id", "item_location_id", "p"), "search_location_id").join(places, "item_location_id")
-        near = R.top_k(near.select("query_id", "item_id", F.col("p").alias("score")), k).select("query_id", "item_id", F.lit(0.0).alias("score"))
-        both = channel.select("query_id", "item_id", "score").unionByName(near).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-        pairs = G.log_geo(both.join(asked, "query_id").join(places, "item_id"), trans)
-        ranked = R.top_k(pairs.select("query_id", "item_id", (F.col("score") + alpha * F.col("log_geo")).alias("score")), k)
-        return R.fill(ranked, asked, places, k)
+        return G.rank_with_prior(channel, queries, places, G.transitions(self.history(split)), alpha, k)
 
     # Channels
 
@@ -110,10 +103,10 @@ class Search:
 
     def bm25f_channel(self, split: str, alpha: float = 1.5, k: int = K, penalty: dict[str, float] | None = None) -> DataFrame:
         """Fielded BM25 with the prior, and penalties for filters that an item doesn't meet."""
-        rec = self.items_params().select("item_id", "core_text", "other_params_text", "place_city")
+        rec = self.items_params().select("item_id", "core_text", "other_params_text", "place")
         raw = self.store.corpus(["item_id", "item_title_raw", "item_description_raw"]).join(rec, "item_id")
         body = R.body_terms(F.col("item_description_raw"))
-        fields = {"title": T.tokens(F.col("item_title_raw")), "core": T.tokens(F.col("core_text")), "description": body, "other": T.tokens(F.col("other_params_text")), "address": T.tokens(F.col("place_city"))}
+        fields = {"title": T.tokens(F.col("item_title_raw")), "core": T.tokens(F.col("core_text")), "description": body, "other": T.tokens(F.col("other_params_text")), "address": T.tokens(F.col("place"))}
         items = raw.select("item_id", *[stems(c).alias(n) for n, c in fields.items()])
         queries = self._query_terms(split)
         scored = R.bm25f(items, queries, FIELD_WEIGHTS, FIELD_BS)
@@ -127,8 +120,13 @@ class Search:
     def dense_channel(self, split: str, owner: str, name: str, alpha: float | None = 0.005, k: int = K) -> DataFrame:
         items = self.store.vectors(owner, name, "items").select(F.col("id").alias("item_id"), "vector")
         queries = self.store.vectors(owner, name, split).select(F.col("id").alias("query_id"), "vector")
-        near = R.nearest(items, queries, k)
-        return near if alpha is None else self._with_geo(near, self.store.queries(split), split, alpha, k)
+        if alpha is None:
+            return R.nearest(items, queries, k)
+        items = items.join(self.store.corpus(["item_id", "item_location_id"]), "item_id")
+        queries = queries.join(self.store.queries(split).select("query_id", "search_location_id"), "query_id")
+        trans = G.transitions(self.history(split)).select("search_location_id", "item_location_id", "p")
+        asked = queries.select("search_location_id", F.col("search_location_id").alias("item_location_id"), F.lit(0.0).alias("p")).distinct()
+        return R.nearest(items, queries, k, G.log_prior(trans.unionByName(asked)), alpha)
 
     # Pool, features, model
 
@@ -148,13 +146,13 @@ class Search:
         )
         centres = self.centres()
         items = X.item_features(raw).join(rec, "item_id").join(centres.drop("w"), "item_location_id", "left").withColumns(
-            {"title_tokens": T.token_set(F.col("title")), "param_tokens": T.token_set(F.col("params")), "core_tokens": T.token_set(F.col("core_text")), "service_tokens": T.token_set(F.concat_ws(" ", "services", "custom_services"))}
+            {"title_tokens": stem_set(F.col("title")), "param_tokens": stem_set(F.col("params")), "core_tokens": stem_set(F.col("core_text")), "service_tokens": stem_set(F.concat_ws(" ", "services", "custom_services"))}
         ).drop("params", "description", "core_text")
         own = centres.select(F.col("item_location_id").alias("search_location_id"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
         meta = self.store.meta(split).select("query_id", "loc_type", "n_words", F.col("has_filter").alias("query_has_filter"), "seen_text", "text_rows_in_history")
         filters = self.query_filters(split).select("query_id", F.col("vid").alias("f_vid"), F.col("tip").alias("f_tip"), F.col("tip_auto").alias("f_tip_auto"), "n_filters")
         queries = X.codes(self.store.queries(split).join(meta, "query_id", "left").join(filters, "query_id", "left").join(own, "search_location_id", "left"), "loc_type", "query_loc_type")
-        queries = queries.withColumns({"q_tokens": T.token_set(F.col("search_query")), "q_filter_tokens": T.token_set(F.col("search_infm_params_text")), "q_text": F.col("search_query")})
+        queries = queries.withColumns({"q_tokens": stem_set(F.col("search_query")), "q_filter_tokens": stem_set(F.col("search_infm_params_text")), "q_text": F.col("search_query")})
         pairs = X.channel_features(self.pool(split, channels, quotas), n).join(queries, "query_id").join(items, "item_id")
         pairs = X.filter_match_features(X.distance_feature(X.text_features(pairs)))
         pairs = X.geo2_features(G.log_geo(pairs, G.transitions(self.history(split))), self.geo_table(split))

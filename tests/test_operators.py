@@ -83,9 +83,48 @@ def test_smoothed_prior_keeps_denominators(spark):
     assert got[1, 1] + got[1, 2] < 1
 
 
-def test_nearest_quantile(spark):
-    got = spark.range(1).select(G.nearest_quantile(F.array(*map(F.lit, (4.0, 1.0, 3.0, 2.0))), 0.75).alias("x")).first().x
-    assert got == 3.0
+def test_spreads_are_by_the_nearest_value(spark):
+    points = frame(spark, [("a", 0.0, float(x)) for x in (4, 1, 3, 2, 3, 3)] + [("b", 0.0, 1.0), ("b", None, None)], "k string, lat double, lon double")
+    centres = frame(spark, [("a", 0.0, 0.0), ("b", 0.0, 0.0)], "k string, lat double, lon double")
+    got = {r.k: [round(x / 111.19492664) for x in (r.d50, r.d75, r.d90)] for r in G.spreads(points, centres, "k").collect()}
+    assert got == {"a": [3, 3, 4], "b": [1, 1, 1]}
+
+
+def test_ranking_with_a_prior_is_that_of_all_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    items = [(i, rng.choice([1, 2, 3, 4, 5, 6])) for i in range(120)]
+    queries = [(q, rng.choice([1, 2, 3, 9])) for q in range(12)]
+    scored = [(q, i, round(rng.uniform(0.1, 9), 3)) for q, _ in queries for i, _ in items if rng.random() < 0.04 * (q % 4)]
+    p = {(1, 1): 0.01, (1, 2): 0.7, (1, 3): 0.29, (2, 5): 1.0, (9, 4): 0.4, (9, 3): 0.6}
+    trans = frame(spark, [(s, i, v) for (s, i), v in p.items()], "search_location_id long, item_location_id long, p double")
+    got = G.rank_with_prior(
+        frame(spark, scored, "query_id long, item_id long, score double"), frame(spark, queries, "query_id long, search_location_id long"), frame(spark, items, "item_id long, item_location_id long"), trans, 2.0, 15
+    )
+    have = {(q, i): v for q, i, v in scored}
+    want = set()
+    for q, s in queries:
+        prior = lambda at, s=s: math.log(max(p.get((s, at), 1e-6), 0.5 if at == s else 1e-6))
+        best = sorted((-round(have.get((q, i), 0) + 2 * prior(at), 6), i) for i, at in items)[:15]
+        want |= {(q, i, -v) for v, i in best}
+    assert {(r.query_id, r.item_id, r.score) for r in got.collect()} == want
+
+
+def test_holders_are_those_that_contain(spark):
+    text = "one two three four five six seven eight nine"
+    docs = [(1, text), (2, "x" + text + "y"), (3, text[:-4]), (4, None), (5, "seven eight"), (6, text.replace(" ", "  ")), (7, f"a\n{text}\n{text}"), (8, "")]
+    q = [(10, text), (11, "ne two three four five six seven ei"), (12, "seven eight"), (13, None), (14, "eight nine")]
+    got = E.holders(frame(spark, docs, "item_id long, text string"), frame(spark, q, "query_id long, text string")).collect()
+    want = {(i, j) for i, p in q for j, t in docs if p and t is not None and p in t}
+    assert {(r.query_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+def test_raking_checks_the_targets_size(spark, monkeypatch):
+    monkeypatch.setattr(E, "RAKE_CELLS", 3)
+    with pytest.raises(ValueError, match="target"):
+        E.rake(frame(spark, [("a", 1)], "c string, n long"), frame(spark, [(str(k),) for k in range(9)], "c string"), ["c"])
 
 
 def test_pool_takes_scores_from_whole_channels(spark):
@@ -179,6 +218,13 @@ def test_selection_shares_no_item(spark):
     assert [r.split for r in got].count("val") == 3
 
 
+def test_converted_texts_are_the_rarest(spark):
+    rows = [(k, k, [100 + k], "5", 30 - k) for k in range(8)]  # later positions are rarer
+    cand = frame(spark, rows, "id long, position long, rel array<long>, f string, seen long")
+    got = S.select_stratified(cand, ["f"], {"val": [(("0",), 3)]}, seen="seen").collect()
+    assert sorted(r.id for r in got) == [5, 6, 7] and all(r.converted for r in got)
+
+
 def test_sample_weights_use_all_qrels(spark):
     pairs = frame(spark, [(1, 1, 1), (1, 2, 0)], "query_id long, item_id long, label int")
     qrels = frame(spark, [(1, 1), (1, 77)], "query_id long, item_id long")

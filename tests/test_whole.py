@@ -20,7 +20,7 @@ def copies(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("copies"), documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), benchmark=([(1, text)], "item_id long, text string"))
 
 
-@pytest.mark.parametrize("name", ["pool_union_quota_whole", "rrf_fusion_whole", "pool_cap_whole", "pair_features_whole", "coverage_jaccard_whole"])
+@pytest.mark.parametrize("name", ["pool_union_quota", "rrf_fusion", "pool_cap", "pair_features", "coverage_jaccard"])
 def test_all_copies_are_in_the_pool(spark, copies, name):
     assert catalog.QUERIES[name](spark, copies).count() == 300
 
@@ -33,7 +33,7 @@ def test_bodies_are_read_to_their_end(spark, tmp_path):
     text = "silver otters swim under the frozen harbour while seven grey lanterns burn all night long"
     docs = [(1, "word " * 900 + text, "en", "web", 4590), (2, "word " * 900, "en", "web", 4500), (3, None, "en", "web", 0), (4, text[:70] + " otherwise", "en", "web", 80)]
     folder = tables(spark, tmp_path, documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"), benchmark=([(1, text)], "item_id long, text string"))
-    assert {r.item_id for r in catalog.QUERIES["bm25f_topk_whole"](spark, folder).collect()} == {1, 4}
+    assert {r.item_id for r in catalog.QUERIES["bm25f_topk"](spark, folder).collect()} == {1, 4}
     assert {r.item_id for r in features.labelled_pairs(spark, folder).where("label = 1").collect()} == {1}
 
 
@@ -54,7 +54,7 @@ def test_workflow_reads_descriptions_to_their_end(spark):
 def test_penalties_reach_all_parts(spark, tmp_path):
     parts = [(50, "steel", "a"), (51, "steel", "b"), (5000001, "steel", "a"), (9000001, "tin", "b")]
     folder = tables(spark, tmp_path, part=(parts, "p_partkey long, p_type string, p_brand string"))
-    got = {r.item_id: (r.penalty, r.vid_match, r.tip_match) for r in catalog.QUERIES["filter_unmet_penalty_whole"](spark, folder).collect()}
+    got = {r.item_id: (r.penalty, r.vid_match, r.tip_match) for r in catalog.QUERIES["filter_unmet_penalty"](spark, folder).collect()}
     assert got == {50: (0.0, 1, 1), 51: (1.5, 1, -1), 5000001: (0.0, 1, 1), 9000001: (4.5, -1, -1)}
 
 
@@ -93,7 +93,7 @@ def test_ranker_is_fully_trained(spark, monkeypatch, copies):
 def test_history_is_all_other_rows(spark, tmp_path):
     rows = [(i, 1, "view") for i in range(100)]
     folder = tables(spark, tmp_path, events=(rows, "event_id long, user_id long, event_type string"))
-    got = catalog.QUERIES["history_features_whole"](spark, folder).collect()
+    got = catalog.QUERIES["history_features"](spark, folder).collect()
     assert len(got) == 20 and {r.text_rows_in_history for r in got} == {80}
 
 
@@ -103,44 +103,6 @@ def test_raking_and_resampling_run_to_their_defaults(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(E, "bootstrap", lambda rows, value, resamples: seen.setdefault(value, resamples) and spark.range(1))
     monkeypatch.setattr(E, "rake", lambda cells, target, names, passes: seen.setdefault("passes", passes) and cells.selectExpr("*", "1.0 as w"))
-    for name in ("bootstrap_ci_whole", "paired_bootstrap_whole", "rake_weights_whole"):
+    for name in ("bootstrap_ci", "paired_bootstrap", "rake_weights"):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == {"r": 2000, "d": 2000, "passes": 50}
-
-
-def _two_programs():
-    """Two association sections, maps of both programs on one PID, and a later map that adds a stream to the first."""
-    import struct
-
-    from siftline.llm import mpegts as m
-
-    def pes(pid, data):
-        one = b"\x00\x00\x01\xbd" + struct.pack(">H", len(data) + 3) + b"\x84\x00\x00" + data
-        gap = m.PACKET - 4 - len(one)
-        return struct.pack(">BHBBB", m.SYNC, 0x4000 | pid, 0x30, gap - 1, 0) + b"\xff" * (gap - 2) + one
-
-    def pmt(number, *streams):
-        return m._section(2, number, struct.pack(">HH", 0xE000 | 0x200, 0xF000) + b"".join(struct.pack(">BHH", 6, 0xE000 | es, 0xF000) for es in streams))
-
-    pat = [m._section(0, 1, struct.pack(">HH", n, 0xE000 | 0x100)) for n in (1, 2)]
-    tables = [m._table_packet(0, 0, pat[0]), m._table_packet(0, 1, pat[1]), m._table_packet(0x100, 0, pmt(1, 0x201)), m._table_packet(0x100, 1, pmt(2, 0x202)), m._table_packet(0x100, 2, pmt(1, 0x201, 0x203))]
-    return b"".join(tables + [pes(0x201, b"one"), pes(0x202, b"two"), pes(0x203, b"three")])
-
-
-def test_all_programs_and_later_maps_are_read():
-    from siftline.llm import mpegts as m
-
-    got = m.demux(_two_programs())
-    assert got["programs"] == {1: {0x201: 6, 0x203: 6}, 2: {0x202: 6}} and got["payload"] == b"onetwothree"
-
-
-def test_a_section_that_ends_before_the_pointer_is_read():
-    import struct
-
-    import numpy as np
-
-    from siftline.llm import mpegts as m
-
-    first, second = m._section(0, 1, bytes(200)), m._section(0, 1, b"\x00\x07\xe1\x00")
-    packets = struct.pack(">BHB", m.SYNC, 0x4000, 0x10) + b"\x00" + first[:183] + (struct.pack(">BHB", m.SYNC, 0x4000, 0x11) + bytes([len(first) - 183]) + first[183:] + second).ljust(m.PACKET, b"\xff")
-    assert m._sections(np.frombuffer(packets, np.uint8).reshape(2, m.PACKET), 0) == [(1, bytes(200)), (1, b"\x00\x07\xe1\x00")]
