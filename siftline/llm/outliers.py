@@ -103,19 +103,14 @@ def _with_root(estimates: DataFrame) -> DataFrame:
     """Adds the Cholesky factor l_ij of the 4 x 4 scatter s_ij, and log_det, its determinant's logarithm.
 
     The spread floors keep it positive definite."""
-    names = estimates.columns
-    done: list[str] = []
+    # One select: each value may name those before it.
+    values = []
     for i, j in PAIRS:
-        rest = F.col(f"s{i}{j}")
-        if i == j:
-            rest = rest + F.lit(FLOORS[i] ** 2)
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        value = F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}")
-        estimates = estimates.select("*", value.alias(f"l{i}{j}"))
-        done.append(f"l{i}{j}")
-    log_det = sum((2 * F.ln(F.col(f"l{i}{i}")) for i in range(1, 4)), 2 * F.ln(F.col("l00")))
-    return estimates.select(*[c for c in names if c not in SCATTERS], *done, log_det.alias("log_det"))
+        floor = FLOORS[i] ** 2
+        rest = " - ".join([f"(s{i}{j}{f' + {floor}D' if i == j else ''})"] + [f"l{i}{k} * l{j}{k}" for k in range(j)])
+        values.append(f"sqrt(greatest({rest}, {floor / 4}D)) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    log_det = " + ".join(f"2 * ln(l{i}{i})" for i in range(4))
+    return estimates.selectExpr(*[c for c in estimates.columns if c not in SCATTERS], *values, f"{log_det} AS log_det")
 
 
 def _distance() -> Column:
@@ -129,13 +124,14 @@ def _distance() -> Column:
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
-def _concentrated(rows: DataFrame, estimates: DataFrame, by: list[str], coverage: float, target: list[float], prior_rows: float) -> DataFrame:
+def _concentrated(rows: DataFrame, estimates: DataFrame, by: list[str], coverage: float, target: list[float], prior_rows: float, few: bool) -> DataFrame:
     """One concentration step: ``by``, the new centre m, root l and log_det.
 
-    ``rows`` has g, n and the vector; ``target`` the scatter that small groups are drawn to."""
-    far = rows.join(workspace.lookup(estimates).drop("log_det"), "g").select(*by, "n", *DIMS, _distance().alias("d2"))
-    cut = workspace.stage(far.groupBy(*by).agg(F.percentile_approx("d2", coverage, 2000).alias("cut")), "outlier-cut")
-    inner = far.join(workspace.lookup(cut), by).where(F.col("d2") <= F.col("cut"))
+    ``rows`` has g, n and the vector; ``target`` the scatter that small groups are drawn to; ``few`` says that the
+    groups were counted to be few, so that a row for each goes to all tasks."""
+    far = rows.join(F.broadcast(estimates.drop("log_det")) if few else estimates.drop("log_det"), "g").select(*by, "n", *DIMS, _distance().alias("d2"))
+    cut = far.groupBy(*by).agg(F.percentile_approx("d2", coverage, 2000).alias("cut"))
+    inner = far.join(F.broadcast(cut) if few else workspace.stage(cut, "outlier-cut"), by).where(F.col("d2") <= F.col("cut"))
     moments = inner.groupBy(*by).agg(F.max("n").alias("n"), *_moments())
     return workspace.stage(_with_root(_regularised(moments, _consistency(coverage), target, prior_rows)), "outlier-step")
 
@@ -171,7 +167,7 @@ def _common_scatter(rows: DataFrame, coverage: float) -> list[float]:
     if best is None:
         return none
     for _ in range(MAX_STEPS):
-        now = _concentrated(centred, now, ["g"], coverage, none, 0.0)
+        now = _concentrated(centred, now, ["g"], coverage, none, 0.0, True)
         new = now.first()
         if new.log_det > best.log_det - LEAST_FALL:
             break
@@ -182,7 +178,8 @@ def _common_scatter(rows: DataFrame, coverage: float) -> list[float]:
 def _estimates(rows: DataFrame, coverage: float, prior_rows: float) -> DataFrame:
     """The centre m and root l of every group g, of the least determinant that was found. ``rows`` has g and the vector."""
     quartiles = workspace.stage(_quartiles(rows), "outlier-quartiles")
-    rows = rows.join(workspace.lookup(quartiles), "g")
+    few = quartiles.count() * (SUBSETS + 2) <= workspace.SMALL_ROWS
+    rows = rows.join(F.broadcast(quartiles) if few else quartiles, "g")
     target = _common_scatter(rows, coverage)
     rows = rows.drop(*[f"q{i}" for i in range(4)])
     # Starts: the quartiles, the common scatter around the median, and random subsets (as a hash of the row says).
@@ -195,12 +192,12 @@ def _estimates(rows: DataFrame, coverage: float, prior_rows: float) -> DataFrame
     starts = starts.unionByName(_regularised(subsets, 1.0, target, prior_rows))
     now = workspace.stage(_with_root(starts), "outlier-starts")
     for _ in range(2):
-        now = _concentrated(rows, now, ["g", "start"], coverage, target, prior_rows)
+        now = _concentrated(rows, now, ["g", "start"], coverage, target, prior_rows, few)
     least = now.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("least"))
     best = workspace.stage(now.join(least.select("g", "least.start"), ["g", "start"]).drop("start"), "outlier-best")
     live = best
     for _ in range(MAX_STEPS):
-        step = _concentrated(rows, live, ["g"], coverage, target, prior_rows)
+        step = _concentrated(rows, live, ["g"], coverage, target, prior_rows, few)
         before = best.select("g", F.col("log_det").alias("before"))
         live = workspace.stage(step.join(before, "g").where(F.col("log_det") < F.col("before") - LEAST_FALL).drop("before"), "outlier-live")
         if live.isEmpty():

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.staging import clean, drop, lookup, shared_dir, stage
+from siftline.staging import SMALL_ROWS, clean, drop, lookup, shared_dir, stage
 
-__all__ = ["clean", "drop", "lookup", "numbered", "shared_dir", "stage"]
+__all__ = ["SMALL_ROWS", "clean", "drop", "lookup", "numbered", "shared_dir", "stage"]
 BLOCK = 4096
 
 
