@@ -60,7 +60,8 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_i
     starts = workspace.stage(again.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_set("pos")).alias("_siftline_starts")), "line-starts")
     covered = F.array_distinct(F.flatten(F.transform("_siftline_starts", lambda p: F.sequence(p, p + (LINES - 1)))))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
-    met = docs.select(*kept_columns, *_identity(key, text)).join(starts, list(DOCUMENT), "left")
+    # What repeats grows with the documents, so it is never broadcast: the same plan at every size.
+    met = docs.select(*kept_columns, *_identity(key, text)).join(starts.hint("merge"), list(DOCUMENT), "left")
     met = met.withColumns({"_siftline_lines": _worded(F.col(text)), "_siftline_covered": covered})
     whole = F.sequence(F.lit(0), F.size("_siftline_lines") - 1)
     kept = F.transform(F.array_except(whole, "_siftline_covered"), lambda i: F.get("_siftline_lines", i))
