@@ -21,6 +21,8 @@ from . import textops, workspace
 
 LINES = 3
 DOCUMENT = ("_siftline_id", "_siftline_text")
+#: Bits of the table that tells which documents may have lines to lose, and bits of one of its rows: 8 MB in all.
+MARK_BITS, MARK_WIDTH = 1 << 26, 1 << 15
 #: A line break before a line with a word: what it parts are lines with words, each with the empty ones that follow.
 _BREAK = r"\n(?=[^\n]*[^\t-\r ])"
 
@@ -50,6 +52,21 @@ def windows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return worded.select(*DOCUMENT, F.explode(both).alias("x")).select(*DOCUMENT, "x.pos", "x.h1", "x.h2")
 
 
+def _split(docs: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (with DOCUMENT) in two parts: those that are surely not in ``starts``, and the others.
+
+    ``starts`` grows with the documents, so it can't go to all tasks; a table of bits, whose size is fixed, can. A
+    document whose bit isn't set stays where it is. The more bits are set, the more documents are shuffled for nothing.
+    """
+    slot = F.pmod(F.xxhash64(*DOCUMENT), F.lit(MARK_BITS))
+    bucket, at = F.floor(slot / MARK_WIDTH).alias("_siftline_bucket"), F.pmod(slot, F.lit(MARK_WIDTH))
+    marks = workspace.stage(starts.groupBy(bucket).agg(F.bitmap_construct_agg(at).alias("_siftline_bits")), "line-marks")
+    met = docs.select("*", bucket, at.alias("_siftline_at")).join(F.broadcast(marks), "_siftline_bucket", "left")  # 8 MB at most
+    byte = F.expr("cast(conv(hex(substring(_siftline_bits, cast(_siftline_at div 8 + 1 AS INT), 1)), 16, 10) AS INT)")
+    maybe = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_siftline_at % 8 AS INT))")) != 0, F.lit(False))
+    return met.where(~maybe).select(*docs.columns), met.where(maybe).select(*docs.columns)
+
+
 def remove_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with ``text`` cleaned, and n_lines (with a word), n_removed (of these), removed_lines (their text)."""
     found = workspace.stage(windows(docs, text, key), "line-windows")
@@ -58,18 +75,20 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_i
     firsts = workspace.stage(firsts, "line-firsts")
     again = found.join(firsts, ["h1", "h2"]).where(F.struct(*DOCUMENT, "pos") != F.col("first"))
     starts = workspace.stage(again.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_set("pos")).alias("_siftline_starts")), "line-starts")
-    covered = F.array_distinct(F.flatten(F.transform("_siftline_starts", lambda p: F.sequence(p, p + (LINES - 1)))))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
-    # What repeats grows with the documents, so it is never broadcast: the same plan at every size.
-    met = docs.select(*kept_columns, *_identity(key, text)).join(starts.hint("merge"), list(DOCUMENT), "left")
+    clean, suspect = _split(docs.select(*kept_columns, *_identity(key, text)), starts)
+    clean = clean.select(*kept_columns, F.coalesce(F.size(_worded(F.col(text))), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_removed"), F.array().cast("array<string>").alias("removed_lines"))
+    met = suspect.join(starts.hint("merge"), list(DOCUMENT), "left")
+    covered = F.array_distinct(F.flatten(F.transform("_siftline_starts", lambda p: F.sequence(p, p + (LINES - 1)))))
     met = met.withColumns({"_siftline_lines": _worded(F.col(text)), "_siftline_covered": covered})
     whole = F.sequence(F.lit(0), F.size("_siftline_lines") - 1)
     kept = F.transform(F.array_except(whole, "_siftline_covered"), lambda i: F.get("_siftline_lines", i))
     gone = F.filter(F.transform("_siftline_covered", lambda i: F.get("_siftline_lines", i)), lambda x: x.isNotNull())
     some = F.coalesce((F.size("_siftline_covered") > 0) & (F.size("_siftline_lines") >= LINES), F.lit(False))
-    return met.select(
+    cleaned = met.select(
         *[(F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)) if c == text else F.col(c)).alias(c) for c in kept_columns],
         F.coalesce(F.size("_siftline_lines"), F.lit(0)).alias("n_lines"),
         F.when(some, F.size(gone)).otherwise(0).alias("n_removed"),
         F.when(some, F.transform(gone, _trimmed)).otherwise(F.array().cast("array<string>")).alias("removed_lines"),
     )
+    return clean.unionByName(cleaned)
