@@ -75,20 +75,26 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_i
     firsts = workspace.stage(firsts, "line-firsts")
     again = found.join(firsts, ["h1", "h2"]).where(F.struct(*DOCUMENT, "pos") != F.col("first"))
     starts = workspace.stage(again.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_set("pos")).alias("_siftline_starts")), "line-starts")
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
-    clean, suspect = _split(docs.select(*kept_columns, *_identity(key, text)), starts)
-    clean = clean.select(*kept_columns, F.coalesce(F.size(_worded(F.col(text))), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_removed"), F.array().cast("array<string>").alias("removed_lines"))
+    # The input's columns travel in a struct, whose fields can't clash with anything here.
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed_lines")]
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text]).alias("_siftline_row")
+    raw = F.col("_siftline_raw")
+
+    def result(rows: DataFrame, new_text: Column, n_lines: Column, n_removed: Column, removed: Column) -> DataFrame:
+        back = [(new_text if c == text else F.col(f"_siftline_row.c{i}")).alias(c) for i, c in enumerate(names)]
+        return rows.select(*back, n_lines.alias("n_lines"), n_removed.alias("n_removed"), removed.alias("removed_lines"))
+
+    n_lines = F.coalesce(F.size("_siftline_lines"), F.lit(0))
+    nothing = F.array().cast("array<string>")
+    clean, suspect = _split(docs.select(others, F.col(text).alias("_siftline_raw"), *_identity(key, text)), starts)
+    clean = result(clean.withColumn("_siftline_lines", _worded(raw)), raw, n_lines, F.lit(0), nothing)
     met = suspect.join(starts.hint("merge"), list(DOCUMENT), "left")
     covered = F.array_distinct(F.flatten(F.transform("_siftline_starts", lambda p: F.sequence(p, p + (LINES - 1)))))
-    met = met.withColumns({"_siftline_lines": _worded(F.col(text)), "_siftline_covered": covered})
+    met = met.withColumns({"_siftline_lines": _worded(raw), "_siftline_covered": covered})
     whole = F.sequence(F.lit(0), F.size("_siftline_lines") - 1)
     kept = F.transform(F.array_except(whole, "_siftline_covered"), lambda i: F.get("_siftline_lines", i))
     gone = F.filter(F.transform("_siftline_covered", lambda i: F.get("_siftline_lines", i)), lambda x: x.isNotNull())
     some = F.coalesce((F.size("_siftline_covered") > 0) & (F.size("_siftline_lines") >= LINES), F.lit(False))
-    cleaned = met.select(
-        *[(F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text)) if c == text else F.col(c)).alias(c) for c in kept_columns],
-        F.coalesce(F.size("_siftline_lines"), F.lit(0)).alias("n_lines"),
-        F.when(some, F.size(gone)).otherwise(0).alias("n_removed"),
-        F.when(some, F.transform(gone, _trimmed)).otherwise(F.array().cast("array<string>")).alias("removed_lines"),
-    )
+    removed = F.when(some, F.transform(gone, _trimmed)).otherwise(nothing)
+    cleaned = result(met, F.when(some, F.array_join(kept, "\n")).otherwise(raw), n_lines, F.when(some, F.size(gone)).otherwise(0), removed)
     return clean.unionByName(cleaned)
