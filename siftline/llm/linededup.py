@@ -81,8 +81,10 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_i
     raw = F.col("_siftline_raw")
 
     def result(rows: DataFrame, new_text: Column, n_lines: Column, n_removed: Column, removed: Column) -> DataFrame:
-        back = [(new_text if c == text else F.col(f"_siftline_row.c{i}")).alias(c) for i, c in enumerate(names)]
-        return rows.select(*back, n_lines.alias("n_lines"), n_removed.alias("n_removed"), removed.alias("removed_lines"))
+        own = ("_siftline_new", "_siftline_n", "_siftline_gone", "_siftline_list")
+        rows = rows.select("_siftline_row", *[c.alias(n) for c, n in zip((new_text, n_lines, n_removed, removed), own)])
+        back = [F.col(own[0] if c == text else f"_siftline_row.c{i}").alias(c) for i, c in enumerate(names)]
+        return rows.select(*back, *[F.col(n).alias(as_) for n, as_ in zip(own[1:], ("n_lines", "n_removed", "removed_lines"))])
 
     n_lines = F.coalesce(F.size("_siftline_lines"), F.lit(0))
     nothing = F.array().cast("array<string>")
