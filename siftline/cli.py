@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators import evaluation as E
+from siftline.plans import split_build
 from siftline.plans.workflow import Search
 from siftline.sources import tables
 
@@ -33,6 +34,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--k", type=int, default=2000)
         if name == "dense":
             c.add_argument("--vectors", required=True, help="owner/name of the vectors")
+    c = sub.add_parser("split", help="build the evaluation and training splits")
+    c.add_argument("--dry-run", action="store_true", help="print the manifest, write nothing")
+    c.add_argument("--force", action="store_true", help="replace a split that differs")
+    c.add_argument("--evaluation", type=int, default=2000, help="searches of val and of test")
+    c.add_argument("--ranker", type=int, default=6000, help="searches of rtrain")
+    c.add_argument("--seed", type=int, default=1)
     c = sub.add_parser("geo", help="publish the smoothed geography table")
     c.add_argument("split")
     c.add_argument("out")
@@ -80,6 +87,10 @@ def main(argv: list[str] | None = None) -> int:
         build = {"bm25": search.bm25_channel, "bm25f": search.bm25f_channel, "dense": lambda s, **k: search.dense_channel(s, *a.vectors.split("/", 1), **k)}[a.command]
         store.save_channel(a.owner, a.name, a.split, build(a.split, k=a.k, **given))
         store.save_meta(a.owner, a.name, "channel", a.command, fit_only=False)
+    elif a.command == "split":
+        plan = split_build.Plan(rounds=({"val": a.evaluation, "test": a.evaluation}, {"rtrain": a.ranker}), seed=a.seed)
+        done, manifest = split_build.build_in_store(store, plan, write=not a.dry_run, force=a.force)
+        print(json.dumps({"split": done, **manifest}, ensure_ascii=False))
     elif a.command == "geo":
         search.geo_table(a.split).write.mode("overwrite").parquet(a.out)
     elif a.command == "params":

@@ -39,10 +39,12 @@ def searches(train: DataFrame, keys: list[str], corpus: DataFrame) -> DataFrame:
 
 
 def location_table(train: DataFrame, corpus: DataFrame, named: dict[str, str], large: int = 2000, medium: int = 400, self_least: float = 0.3) -> DataFrame:
-    """location, n_items, self_rate, loc_type. ``train`` has search_location_id, item_location_id; ``corpus`` item_location_id."""
+    """location, n_items, self_rate, loc_type. ``train`` has search_location_id, item_location_id; ``corpus`` item_location_id.
+
+    A location that nobody searched from counts as one whose searches all stay there."""
     own = train.groupBy(F.col("search_location_id").alias("location")).agg(F.avg((F.col("search_location_id") == F.col("item_location_id")).cast("double")).alias("self_rate"))
     have = corpus.groupBy(F.col("item_location_id").alias("location")).agg(F.count("*").alias("n_items"))
-    rows = own.join(have, "location", "full").select("location", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("self_rate", F.lit(0.0)).alias("self_rate"))
+    rows = own.join(have, "location", "full").select("location", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("self_rate", F.lit(1.0)).alias("self_rate"))
     name = F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("location").cast("string")) if named else F.lit(None).cast("string")
     size = F.when(F.col("n_items") >= large, "city_L").when(F.col("n_items") >= medium, "city_M").otherwise("city_S")
     return rows.withColumn("loc_type", F.coalesce(name, F.when((F.col("self_rate") < self_least) | (F.col("n_items") == 0), "wide_other").otherwise(size)))
@@ -63,41 +65,56 @@ def without_leaks(train: DataFrame, taken: DataFrame, taken_items: DataFrame, ta
     return out.join(taken_items.select("item_id").distinct(), "item_id", "left_anti").join(taken_texts.select("norm_q").distinct(), "norm_q", "left_anti")
 
 
-def select_stratified(candidates: DataFrame, strata: list[str], wanted: dict[str, list[tuple[tuple, int]]], seen: str | None = None, convert: str = "0") -> DataFrame:
+def likely(candidates: DataFrame, strata: list[str], limit: int, seen: str, convert: str = "0", frequency: str | None = None, rarest: int = 30) -> DataFrame:
+    """Of every full cell the first ``limit`` candidates by position, and the ``limit`` rarest that can be converted to it."""
+    converted = [F.lit(convert) if c == (frequency or strata[0]) else F.col(c) for c in strata]
+    natural = candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("position"))).where(F.col("_r") <= limit)
+    extra = candidates.where(F.col(seen).between(1, rarest)).withColumn("_r", F.row_number().over(Window.partitionBy(*converted).orderBy(seen, "position"))).where(F.col("_r") <= limit)
+    return natural.drop("_r").unionByName(extra.drop("_r")).dropDuplicates(["id"])
+
+
+def select_stratified(
+    candidates: DataFrame, strata: list[str], wanted: dict[str, list[tuple[tuple, int]]], seen: str | None = None, convert: str = "0", frequency: str | None = None, limit: int | None = None
+) -> DataFrame:
     """Greedy selection for several splits that share no item: id, split, converted.
 
     ``candidates``: id, position, rel (its items), the columns ``strata`` (and ``seen``, rows of its text elsewhere);
     ``wanted``: for each split, how many of each full cell. Cells are filled exactly first; what is missing is filled
     with cells that agree on fewer strata from the left. Splits take turns in a cell. Texts with 1 to 30 other rows
-    also stand in the frequency cell ``convert``, after all that are there by nature, the rarest first. Each choice depends on the items
-    taken before, so this runs in one task; callers bound its input by what they want (some 10,000 rows).
+    also stand in the cell whose ``frequency`` (the first stratum unless named) is ``convert``, after all that are there by
+    nature, the rarest first. Each choice depends on the items taken before, so this runs in one task; callers bound its
+    input. ``limit`` says that ``candidates`` are those of ``likely`` with this limit: if a choice hung on what that left
+    out, a row with a null split says so, and the caller takes a larger limit.
     """
-    names = list(wanted)
+    names, place_of = list(wanted), strata.index(frequency) if frequency else 0
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
         rows = list(pdf.itertuples(index=False))
         rarest = sorted(rows, key=lambda r: (getattr(r, seen), r.position)) if seen else rows
         need = {s: {tuple(map(str, c)): n for c, n in wanted[s]} for s in names}
-        taken, items, out = set(), set(), []
+        taken, items, out, short = set(), set(), [], False
         for depth in range(len(strata), -1, -1):
-            pools: dict = defaultdict(list)
+            pools, natural = defaultdict(list), defaultdict(int)
             for extra in (False, True):
                 for r in rarest if extra else rows:
                     cell = [str(getattr(r, c)) for c in strata]
                     if extra:
                         if seen is None or not 1 <= getattr(r, seen) <= 30:
                             continue
-                        cell[0] = convert
+                        cell[place_of] = convert
                     pools[tuple(cell[:depth])].append((r, extra))
+                    natural[tuple(cell[:depth])] += not extra
             places = sorted({c[:depth] for s in names for c, n in need[s].items() if n > 0}, key=str)
             for place in places:
-                queue, turn = iter(pools.get(place, ())), 0
+                queue, turn = pools.get(place, ()), 0
+                sure = float("inf") if limit is None else limit if natural[place] >= limit else natural[place] + limit
                 open_ = lambda s, place=place: next((c for c, n in sorted(need[s].items()) if n > 0 and c[: len(place)] == place), None)
-                for r, extra in queue:
+                for number, (r, extra) in enumerate(queue):
                     order = [s for k in range(len(names)) if open_(s := names[(turn + k) % len(names)])]
                     if not order:
                         break
+                    short |= number >= sure
                     rel = list(r.rel)
                     if r.id in taken or items.intersection(rel):
                         continue
@@ -107,6 +124,9 @@ def select_stratified(candidates: DataFrame, strata: list[str], wanted: dict[str
                     items.update(rel)
                     out.append((r.id, split, extra))
                     turn = names.index(split) + 1
+                short |= len(queue) >= sure and any(map(open_, names))
+        if short:
+            out.append((None, None, False))
         return pd.DataFrame(out, columns=["id", "split", "converted"])
 
     kind = candidates.schema["id"].dataType.simpleString()

@@ -29,7 +29,7 @@ def searches_grouped(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH {HISTORY}, own AS (SELECT search_location_id AS location, avg((search_location_id = item_location_id)::INT::DOUBLE) AS self_rate FROM history GROUP BY 1),
 have AS (SELECT s_nationkey::BIGINT AS location, count(*) AS n_items FROM supplier WHERE s_nationkey < 20 GROUP BY 1),
-r AS (SELECT coalesce(o.location, h.location) AS location, coalesce(n_items, 0) AS n_items, coalesce(self_rate, 0.0) AS self_rate FROM own o FULL JOIN have h ON o.location = h.location)
+r AS (SELECT coalesce(o.location, h.location) AS location, coalesce(n_items, 0) AS n_items, coalesce(self_rate, 1.0) AS self_rate FROM own o FULL JOIN have h ON o.location = h.location)
 SELECT location, n_items, round(self_rate, 6) AS self_rate, CASE WHEN location = 3 THEN 'wide_rus' WHEN self_rate < 0.03 OR n_items = 0 THEN 'wide_other' WHEN n_items >= 6 THEN 'city_L' WHEN n_items >= 4 THEN 'city_M' ELSE 'city_S' END AS loc_type FROM r
 """)
 def location_table(spark: SparkSession, sf: str) -> DataFrame:

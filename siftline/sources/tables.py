@@ -60,8 +60,10 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{table}").where(F.col("split") == split).drop("split")  # a partition column: other splits aren't read
 
     def save_split(self, table: str, split: str, df: DataFrame) -> None:
+        """Writes a split's rows of a table; what the split had before is replaced, other splits stay."""
         self._check(split)
-        df.withColumn("split", F.lit(split)).write.mode("append").partitionBy("split").option("compression", "zstd").parquet(f"{self.root}/{table}")
+        writer = df.withColumn("split", F.lit(split)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("split").option("compression", "zstd").parquet(f"{self.root}/{table}")
 
     # Artifacts
 
@@ -160,6 +162,12 @@ def read_log(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
+def versions(spark: SparkSession, paths: list[str]) -> str:
+    """16 hexadecimal digits that change when a file below one of the paths comes, goes or is rewritten. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return content_hash(files.select("path", "length", F.unix_micros("modificationTime").alias("modified")))
+
+
 def content_hash(df: DataFrame) -> str:
     """The first 16 hexadecimal digits of a hash that doesn't depend on the order of rows."""
     line = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
