@@ -191,13 +191,43 @@ def fill(channel: DataFrame, queries: DataFrame, items: DataFrame, k: int, score
     return top_k(channel.select("query_id", "item_id", "score").unionByName(extra.withColumn("score", F.lit(float(score)))), k)
 
 
-def filter_penalty(pairs: DataFrame, filters: DataFrame, item_kv: DataFrame, penalty: dict[str, float], default: float) -> DataFrame:
-    """query_id, item_id, penalty: the sum over a query's filter keys that no item value meets (any of several does)."""
+def _by_key(pairs: DataFrame, filters: DataFrame, item_kv: DataFrame) -> DataFrame:
+    """query_id, item_id, key, met: for each of a query's filter keys whether an item value meets it (any of several does)."""
     need = filters.select("query_id", "key", "value")
     met = pairs.select("query_id", "item_id").join(need, "query_id").join(item_kv.withColumn("hit", F.lit(1)), ["item_id", "key", "value"], "left")
-    by_key = met.groupBy("query_id", "item_id", "key").agg(F.max(F.coalesce("hit", F.lit(0))).alias("met"))
-    weight = F.coalesce(F.element_at(F.create_map(*[x for k, v in penalty.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("key")), F.lit(default)) if penalty else F.lit(default)
-    return by_key.groupBy("query_id", "item_id").agg(F.sum(F.when(F.col("met") == 0, weight).otherwise(0.0)).alias("penalty"))
+    return met.groupBy("query_id", "item_id", "key").agg(F.max(F.coalesce("hit", F.lit(0))).alias("met"))
+
+
+def unmet_filters(pairs: DataFrame, filters: DataFrame, item_kv: DataFrame) -> DataFrame:
+    """query_id, item_id, key: the filter keys that an item doesn't meet."""
+    return _by_key(pairs, filters, item_kv).where("met = 0").drop("met")
+
+
+def _penalty(penalty: dict[str, float], default: float) -> Column:
+    named = F.create_map(*[x for k, v in penalty.items() for x in (F.lit(k), F.lit(float(v)))]) if penalty else None
+    return F.lit(default) if named is None else F.coalesce(F.try_element_at(named, F.col("key")), F.lit(default))
+
+
+def filter_penalty(pairs: DataFrame, filters: DataFrame, item_kv: DataFrame, penalty: dict[str, float], default: float) -> DataFrame:
+    """query_id, item_id, penalty of the pairs whose query has filters: the sum over the keys that the item doesn't meet."""
+    lost = F.sum(F.when(F.col("met") == 0, _penalty(penalty, default)).otherwise(0.0))
+    return _by_key(pairs, filters, item_kv).groupBy("query_id", "item_id").agg(lost.alias("penalty"))
+
+
+def penalized(scored: DataFrame, unmet: DataFrame, penalty: dict[str, float]) -> DataFrame:
+    """Scores less the penalties of the keys that aren't met."""
+    lost = unmet.groupBy("query_id", "item_id").agg(F.sum(_penalty(penalty, 0.0)).alias("penalty"))
+    return scored.join(lost, ["query_id", "item_id"], "left").select("query_id", "item_id", (F.col("score") - F.coalesce("penalty", F.lit(0.0))).alias("score"))
+
+
+def with_class_prior(scored: DataFrame, kinds: DataFrame, classes: DataFrame, beta: float, floor: float) -> DataFrame:
+    """Adds beta * log((p + floor) / floor): p of the item's class (``kinds``: item_id, microcat) for the query, 0 if unlisted.
+
+    This is beta * log(p + floor) but for a constant, chosen so that unlisted classes add nothing: an item that isn't in
+    ``scored`` and has score 0 then stands where an unlisted class would put it.
+    """
+    met = scored.join(kinds.select("item_id", "microcat"), "item_id").join(classes.select("query_id", "microcat", "p"), ["query_id", "microcat"], "left")
+    return met.select("query_id", "item_id", (F.col("score") + beta * F.log1p(F.coalesce("p", F.lit(0.0)) / floor)).alias("score"))
 
 
 def expected_rank(scored: DataFrame) -> DataFrame:

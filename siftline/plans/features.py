@@ -158,3 +158,18 @@ def class_prior(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("query_id")
     prior = counts.select("query_id", "microcat", F.row_number().over(w.orderBy(F.desc("n"), "microcat")).alias("rank"), (F.col("n") / F.sum("n").over(w)).alias("p"))
     return X.class_prior_features(rows, prior).select("query_id", "item_id", F.round("microcat_p", 6).alias("microcat_p"), "microcat_rank")
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS query_id, o_orderkey AS item_id, o_orderpriority AS microcat, o_totalprice::DOUBLE / 100000 AS score FROM orders),
+p AS (SELECT *, n / sum(n) OVER (PARTITION BY query_id) AS p FROM (SELECT query_id, microcat, count(*) AS n FROM t WHERE item_id % 3 <> 0 GROUP BY ALL))
+SELECT t.query_id, t.item_id, round(score + 2.0 * ln(1 + coalesce(p, 0.0) / 0.001), 6) AS score FROM t LEFT JOIN p USING (query_id, microcat)
+""")
+def class_prior_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores plus 2 * log((p + 0.001) / 0.001) of the item's class for its query."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item_id"), F.col("o_orderpriority").alias("microcat"), (F.col("o_totalprice").cast("double") / 100000).alias("score"))
+    counts = rows.where("item_id % 3 <> 0").groupBy("query_id", "microcat").agg(F.count("*").alias("n"))
+    classes = counts.select("query_id", "microcat", (F.col("n") / F.sum("n").over(Window.partitionBy("query_id"))).alias("p"))
+    return R.with_class_prior(rows, rows, classes, 2.0, 1e-3).select("query_id", "item_id", F.round("score", 6).alias("score"))

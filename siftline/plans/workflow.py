@@ -7,10 +7,13 @@ search_infm_params_text, search_category.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline import staging
 from siftline.functions import math as M
 from siftline.functions import params as P
 from siftline.functions import service_terms
@@ -22,11 +25,13 @@ from siftline.operators import fusion as U
 from siftline.operators import geo as G
 from siftline.operators import ranker, sampling
 from siftline.operators import retrieval as R
-from siftline.sources.tables import Store
+from siftline.sources.tables import Store, versions
 
 K = 2000
 FIELD_WEIGHTS = {"title": 2.0, "core": 1.0, "description": 1.0, "other": 1.0, "address": 1.0}
 FIELD_BS = {"title": 0.9, "core": 0.75, "description": 0.75, "other": 0.75, "address": 0.75}
+#: Filter keys and the penalties that are tried for each.
+PENALTIES = {"Вид услуги": [1.0, 2.0, 4.0, 8.0], "Тип услуги": [0.5, 1.0, 2.0, 4.0], "Тип услуги автосервиса": [0.5, 1.0, 2.0, 4.0]}
 RAKE_COLUMNS = ["loc_type", "f_bucket", "has_filter", "words_bucket"]
 
 
@@ -101,22 +106,54 @@ class Search:
         queries = self._query_terms(split)
         return self._with_geo(R.bm25(items, queries), queries, split, alpha, k)
 
-    def bm25f_channel(self, split: str, alpha: float = 1.5, k: int = K, penalty: dict[str, float] | None = None) -> DataFrame:
-        """Fielded BM25 with the prior, and penalties for filters that an item doesn't meet."""
+    def bm25f_scores(self, split: str) -> DataFrame:
+        """query_id, item_id, score by fielded BM25."""
         rec = self.items_params().select("item_id", "core_text", "other_params_text", "place")
         raw = self.store.corpus(["item_id", "item_title_raw", "item_description_raw"]).join(rec, "item_id")
         body = R.body_terms(F.col("item_description_raw"))
         fields = {"title": T.tokens(F.col("item_title_raw")), "core": T.tokens(F.col("core_text")), "description": body, "other": T.tokens(F.col("other_params_text")), "address": T.tokens(F.col("place"))}
         items = raw.select("item_id", *[stems(c).alias(n) for n, c in fields.items()])
-        queries = self._query_terms(split)
-        scored = R.bm25f(items, queries, FIELD_WEIGHTS, FIELD_BS)
+        return R.bm25f(items, self._query_terms(split), FIELD_WEIGHTS, FIELD_BS)
+
+    def unmet(self, split: str, pairs: DataFrame) -> DataFrame:
+        """query_id, item_id, key for every filter key of a query that no value of the item meets."""
+        filters = self.query_filters(split).select("query_id", F.explode("filters").alias("f")).select("query_id", F.split("f", "\t")[0].alias("key"), F.split("f", "\t")[1].alias("value"))
+        kv = self.store.corpus(["item_id", "item_infm_params_text"]).select("item_id", F.explode(self.parse("item_infm_params_text")).alias("x")).select("item_id", "x.key", "x.value").distinct()
+        return R.unmet_filters(pairs, filters, kv)
+
+    def bm25f_channel(
+        self, split: str, alpha: float = 1.5, k: int = K, penalty: dict[str, float] | None = None, classes: DataFrame | None = None, beta: float = 1.0, floor: float = 1e-3
+    ) -> DataFrame:
+        """Fielded BM25 with the prior, penalties for filters that an item doesn't meet, and a prior of item classes.
+
+        ``classes``: query_id, microcat, p; a match gains beta * log((p + floor) / floor).
+        """
+        queries, scored = self._query_terms(split), self.bm25f_scores(split)
         if penalty:
-            filters = self.query_filters(split).select("query_id", F.explode("filters").alias("f")).select("query_id", F.split("f", "\t")[0].alias("key"), F.split("f", "\t")[1].alias("value"))
-            kv = self.store.corpus(["item_id", "item_infm_params_text"]).select("item_id", F.explode(self.parse("item_infm_params_text")).alias("x")).select("item_id", "x.key", "x.value").distinct()
-            lost = R.filter_penalty(scored, filters, kv, penalty, 0.0)
-            scored = scored.join(lost, ["query_id", "item_id"], "left").select("query_id", "item_id", (F.col("score") - F.coalesce("penalty", F.lit(0.0))).alias("score"))
+            scored = R.penalized(scored, self.unmet(split, scored), penalty)
+        if classes is not None:
+            kinds = self.store.corpus(["item_id", "item_microcat_id"]).withColumnRenamed("item_microcat_id", "microcat")
+            scored = R.with_class_prior(scored, kinds, classes, beta, floor)
         return self._with_geo(scored, queries, split, alpha, k)
 
+    def tune_penalties(self, split: str = "rtrain", grid: dict[str, list[float]] | None = None, alpha: float = 1.5, k: int = E.K) -> tuple[dict[str, float], float]:
+        """The penalties of best mean recall at k, each key's values in turn after the keys before it: a grid over written scores.
+
+        Texts are read and scored once; a setting costs one ranking of the pairs that match.
+        """
+        grid = grid or PENALTIES
+        scored = staging.stage(self.bm25f_scores(split), "tune-scores")
+        unmet = staging.stage(self.unmet(split, scored).where(F.col("key").isin(list(grid))), "tune-unmet")
+        queries, qrels = staging.stage(self._query_terms(split), "tune-queries"), self.store.qrels(split)
+
+        def recall(penalty: dict[str, float]) -> float:
+            ranked = self._with_geo(R.penalized(scored, unmet, penalty), queries, split, alpha, k)
+            return E.recall(qrels, ranked.select("query_id", "item_id")).agg(F.avg("recall")).first()[0] or 0.0
+
+        best = ranker.line_search(recall, dict.fromkeys(grid, 0.0), grid, least_gain=1e-5, passes=1)
+        staging.drop(scored, unmet, queries)
+        return best
+
     def dense_channel(self, split: str, owner: str, name: str, alpha: float | None = 0.005, k: int = K) -> DataFrame:
         items = self.store.vectors(owner, name, "items").select(F.col("id").alias("item_id"), "vector")
         queries = self.store.vectors(owner, name, split).select(F.col("id").alias("query_id"), "vector")
@@ -177,6 +214,19 @@ class Search:
         names += [f"c{j}_{p}" for j in range(n) for p in ("score", "score_gap", "rank")]
         return pairs.select("query_id", "item_id", *[F.col(c).cast("double").alias(c) for c in names])
 
+    def cached_features(self, split: str, channels: list[tuple[str, str]], vectors: tuple[str, str] | None = None, refresh: bool = False) -> DataFrame:
+        """``features``, read from the store if it was written there for these channels, vocabulary and files as they are now."""
+        root, rows = self.store.root, "train" if split == "bench" else "hist"
+        paths = [f"{root}/{t}" for t in ("items", rows, f"queries/split={split}", f"meta/split={split}")]
+        paths += [self.store._path(*c) + f"/{split}" for c in channels]
+        if vectors:
+            paths += [self.store._path(*vectors) + f"/{x}" for x in ("items", split)]
+        chosen = hashlib.sha256(repr((channels, vectors, sorted(self.kinds.items()))).encode()).hexdigest()[:16]
+        place = f"{root}/features/{split}-{chosen}-{versions(self.store.spark, paths)}"
+        if refresh or not self.store._fs(place).exists(self.store._hadoop(f"{place}/_SUCCESS")):
+            self.features(split, channels, vectors).write.mode("overwrite").option("compression", "zstd").parquet(place)
+        return self.store.spark.read.parquet(place)
+
     def train(self, channels: list[tuple[str, str]], split: str = "rtrain", seeds: tuple[int, ...] = (1, 2, 3), rounds: int = 200, **more) -> tuple[list[PipelineModel], list[str]]:
         frame = self.features(split, channels, **more)
         names = [c for c in frame.columns if c not in ("query_id", "item_id")]

@@ -66,6 +66,18 @@ def test_penalty_is_met_by_any_value(spark):
     assert got == {5: 0.5, 6: 2.5}
 
 
+def test_penalized_scores(spark):
+    scored = frame(spark, [(1, 1, 5.0), (1, 2, 4.0), (2, 1, 3.0)], "query_id long, item_id long, score double")
+    filters = frame(spark, [(1, "k", "a"), (1, "k", "b"), (1, "m", "x")], "query_id long, key string, value string")
+    kv = frame(spark, [(1, "k", "b"), (2, "m", "x")], "item_id long, key string, value string")
+    unmet = R.unmet_filters(scored, filters, kv)
+    assert sorted(map(tuple, unmet.collect())) == [(1, 1, "m"), (1, 2, "k")]
+    get = lambda p: {(r.query_id, r.item_id): r.score for r in R.penalized(scored, unmet, p).collect()}
+    assert get({}) == {(1, 1): 5.0, (1, 2): 4.0, (2, 1): 3.0}
+    assert get({"k": 2.0}) == {(1, 1): 5.0, (1, 2): 2.0, (2, 1): 3.0}
+    assert get({"k": 2.0, "m": 0.5}) == {(1, 1): 4.5, (1, 2): 2.0, (2, 1): 3.0}
+
+
 def test_log_geo_floors(spark):
     pairs = frame(spark, [(1, 1), (1, 2), (1, 3)], "search_location_id long, item_location_id long")
     trans = G.transitions(frame(spark, [(1, 1)] + [(1, 2)] * 9, "search_location_id long, item_location_id long"))
