@@ -106,3 +106,13 @@ def test_raking_and_resampling_run_to_their_defaults(spark, monkeypatch):
     for name in ("bootstrap_ci", "paired_bootstrap", "rake_weights"):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == {"r": 2000, "d": 2000, "passes": 50}
+
+
+def test_penalty_pairs_are_not_shuffled(spark, tmp_path):
+    """The pairs of all queries and all parts come last in the plan; a null type is met by nothing."""
+    parts = [(50, "steel", "a"), (51, None, "a"), (100, None, "b")]
+    folder = tables(spark, tmp_path, part=(parts, "p_partkey long, p_type string, p_brand string"))
+    out = catalog.QUERIES["filter_unmet_penalty"](spark, folder)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
+    assert {(r.query_id, r.item_id): r.penalty for r in out.collect()} == {(50, 50): 0.0, (50, 51): 3.0, (50, 100): 4.5, (100, 50): 4.5, (100, 51): 4.5, (100, 100): 3.0}
