@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline import staging
 from siftline.functions import math as M
 from siftline.operators import retrieval as R
 
@@ -33,13 +35,16 @@ def log_prior(trans: DataFrame, floor: float = 1e-6, own: float = 0.5) -> DataFr
     return best.where(F.col("p") > floor).select("search_location_id", "item_location_id", F.ln("p").alias("log_p"))
 
 
-def rank_with_prior(scored: DataFrame, queries: DataFrame, items: DataFrame, trans: DataFrame, alpha: float, k: int, floor: float = 1e-6, own: float = 0.5) -> DataFrame:
+def rank_with_prior(scored: DataFrame | R.Lexical, queries: DataFrame, items: DataFrame, trans: DataFrame, alpha: float, k: int, floor: float = 1e-6, own: float = 0.5) -> DataFrame:
     """The k best items of every query by score + alpha * log_geo, over all items; an item without a match has score 0.
 
     ``scored``: query_id, item_id, score > 0 of all matches; ``queries``: query_id, search_location_id; ``items``:
     item_id, item_location_id. Beside the matches only these can be among the best: of each location over the floor
     (the search's own among them) the first k by id, and, of what is at the floor, the first k without a match.
+    Of a ``Lexical`` that keeps item_location_id only the best k matches a task are made, not all, unless ids repeat.
     """
+    lists = scored if isinstance(scored, R.Lexical) and not scored.ix.repeated else None
+    scored = scored.pairs() if isinstance(scored, R.Lexical) and lists is None else scored
     asked = queries.select("query_id", "search_location_id")
     places = items.select("item_id", "item_location_id")
     searched = asked.select("search_location_id").distinct()
@@ -49,6 +54,13 @@ def rank_with_prior(scored: DataFrame, queries: DataFrame, items: DataFrame, tra
     near = searched.join(known, "search_location_id").join(few, "item_location_id")
     near = R.top_k(near.select(F.col("search_location_id").alias("query_id"), "item_id", F.col("log_p").alias("score")), k).select(F.col("query_id").alias("search_location_id"), "item_id")
     near = asked.join(near, "search_location_id").select("query_id", "item_id", F.lit(0.0).alias("score"))
+    if lists is not None:
+        near = staging.stage(near, "near")
+        held = replace(lists, ix=lists.ix.of(near)).pairs()
+        near = near.join(held, ["query_id", "item_id"], "left_anti").join(asked, "query_id").join(places, "item_id").join(known, ["search_location_id", "item_location_id"], "left")
+        near = near.select("query_id", "item_id", (alpha * F.coalesce("log_p", F.lit(math.log(floor)))).alias("score"))
+        best = lists.best(k, R.Bonus(known, asked, "item_location_id", alpha, floor)).select("query_id", "item_id", "score")
+        return R.fill(R.top_k(best.unionByName(near), k), asked, items, k, alpha * math.log(floor))
     matches = scored.select("query_id", "item_id", "score")
     both = matches.unionByName(near.join(matches, ["query_id", "item_id"], "left_anti"))
     score = F.round("score", 6) + alpha * F.coalesce("log_p", F.lit(math.log(floor)))

@@ -9,7 +9,7 @@ from siftline.functions import math as M
 from siftline.functions import text as T
 from siftline.operators import evaluation as E
 from siftline.operators import sampling as S
-from siftline.plans.fusion import CHANNELS, channels
+from siftline.plans.fusion import CHANNELS, text_channel
 from siftline.plans.registry import items, mix, passages, query, table
 
 QRELS = "qrels AS MATERIALIZED (SELECT b.item_id AS query_id, d.doc_id AS item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -21,7 +21,7 @@ def qrels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    return E.answers(channels(spark, sf)[0])
+    return E.answers(text_channel(spark, sf, E.K))
 
 
 _RECALL = f"""{CHANNELS}, {QRELS}, rec AS MATERIALIZED (
@@ -50,7 +50,7 @@ WITH {CHANNELS}, {QRELS}, h AS (SELECT query_id, count(*) AS n, {', '.join(f'sum
 SELECT {', '.join(f'round(avg(h{k} / n), 6) AS recall_{k}' for k in (1, 5, 20, 50, 100, 200))}, (SELECT round(avg(n), 6) FROM (SELECT count(*) AS n FROM c0 GROUP BY query_id)) AS mean_pool_size FROM h
 """)
 def pool_recall_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return E.recall_curve(qrels(spark, sf), channels(spark, sf)[0], [1, 5, 20, 50, 100, 200])
+    return E.recall_curve(qrels(spark, sf), text_channel(spark, sf), [1, 5, 20, 50, 100, 200])
 
 
 _META = """meta AS (SELECT item_id AS query_id, CASE WHEN len(string_split(text, ' ')) >= 50 THEN '50+' ELSE 'less' END AS words, (item_id % 3)::VARCHAR AS loc_type, CASE WHEN item_id % 2 = 0 THEN 'true' ELSE 'false' END AS has_filter FROM benchmark)"""

@@ -44,9 +44,14 @@ CHANNELS, POOL = channels_sql(SIZES), pool_sql(SIZES)
 
 def channels(spark: SparkSession, sf: str, n: Sizes = SIZES) -> list[DataFrame]:
     """Texts and titles by BM25, from one index of both; each list is written, as the pool reads it several times."""
-    corpus = items(spark, sf).select("item_id", T.tokens(F.col("text")).alias("text"), T.tokens(F.col("title")).alias("title"))
-    ix = R.index(corpus, with_terms(passages(spark, sf)), ["text", "title"])
-    return [staging.stage(R.top_k(R.score_bm25(ix.only(c)), n.depth), f"channel-{c}") for c in ix.fields]
+    ix = R.index(items(spark, sf).select("item_id", "text", "title"), with_terms(passages(spark, sf)), ["text", "title"])
+    return [staging.stage(R.bm25_scores(ix.only(c)).best(n.depth), f"channel-{c}") for c in ix.fields]
+
+
+def text_channel(spark: SparkSession, sf: str, depth: int = SIZES.depth) -> DataFrame:
+    """The first of the channels alone, to a depth."""
+    ix = R.index(items(spark, sf).select("item_id", "text"), with_terms(passages(spark, sf)), ["text"])
+    return staging.stage(R.bm25_scores(ix).best(depth), "channel-text")
 
 
 def union(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,9 +37,14 @@ def norm_text_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"n_words": n_words, "words_bucket": T.words_bucket(n_words), "f_bucket": T.frequency_bucket(F.col("n"))})
 
 
+def _texts(spark: SparkSession, sf: str, column: str = "text") -> DataFrame:
+    """Items with the text that the index tokenizes, and their places: they lie in the 25 nations and six places that nobody chose."""
+    return items(spark, sf).select("item_id", (F.col("item_id") % 31).alias("item_location_id"), F.col(column).alias("terms"))
+
+
 @query(f"WITH {bm25_sql('s')}, {ranked_sql('r', 's', 50)} SELECT * FROM r")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.bm25(with_terms(items(spark, sf)), with_terms(passages(spark, sf))), 50)
+    return R.bm25_lists(_texts(spark, sf), with_terms(passages(spark, sf))).best(50)
 
 
 _WEIGHTINGS = ((1.2, 0.75), (0.9, 0.4))
@@ -51,15 +56,14 @@ SELECT 0 AS weighting, * FROM r0 UNION ALL SELECT 1, * FROM r1
 """)
 def bm25_reweight(spark: SparkSession, sf: str) -> DataFrame:
     """One table of term frequencies, weighed in two ways."""
-    ix = R.index(with_terms(items(spark, sf)), with_terms(passages(spark, sf)), ["terms"])
-    ranked = [R.top_k(R.score_bm25(ix, *w), 10).select(F.lit(k).alias("weighting"), "query_id", "item_id", "score", "rank") for k, w in enumerate(_WEIGHTINGS)]
+    ix = R.index(_texts(spark, sf), with_terms(passages(spark, sf)), ["terms"])
+    ranked = [R.bm25_scores(ix, *w).best(10).select(F.lit(k).alias("weighting"), "query_id", "item_id", "score", "rank") for k, w in enumerate(_WEIGHTINGS)]
     return ranked[0].unionByName(ranked[1])
 
 
 def _fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles, bodies (by slices, so a word across a cut is two tokens) and sources, as terms."""
-    body = R.body_terms(F.col("text"))
-    return items(spark, sf).select("item_id", T.tokens(F.col("title")).alias("title"), body.alias("body"), T.tokens(F.col("source")).alias("source"))
+    """Titles, bodies (by slices, so a word across a cut is two tokens) and sources, as texts, and places."""
+    return items(spark, sf).select("item_id", (F.col("item_id") % 31).alias("item_location_id"), "title", R.body_text(F.col("text")).alias("body"), "source")
 
 
 _BODY = f"list_concat({tok('substr(text, 1, 1500)')}, {tok('substr(text, 1501, 2500)')}, {tok('substr(text, 4001)')})"
@@ -80,7 +84,7 @@ s AS (SELECT query_id, item_id, round(sum(t * 2.2 / (t + 1.2) * ln(1 + (n - df +
 
 @query(f"WITH {_BM25F}, {ranked_sql('r', 's', 50)} SELECT * FROM r")
 def bm25f_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.bm25f(_fields(spark, sf), with_terms(passages(spark, sf)), FIELD_WEIGHTS, FIELD_BS), 50)
+    return R.bm25f_lists(_fields(spark, sf), with_terms(passages(spark, sf)), FIELD_WEIGHTS, FIELD_BS).best(50)
 
 
 #: All items and all queries, an item without a match with score 0, and the logarithm of how often a search there chose the item's place.
@@ -91,7 +95,7 @@ _GEO = """g AS (
 )"""
 
 
-def _with_places(spark: SparkSession, sf: str, scored: DataFrame, alpha: float) -> DataFrame:
+def _with_places(spark: SparkSession, sf: str, scored: R.Lexical, alpha: float) -> DataFrame:
     """Items lie in the 25 nations and six places that nobody chose; queries search from a nation."""
     asked = passages(spark, sf).select("query_id", (F.col("query_id") % 25).alias("search_location_id"))
     places = items(spark, sf).select("item_id", (F.col("item_id") % 31).alias("item_location_id"))
@@ -101,13 +105,13 @@ def _with_places(spark: SparkSession, sf: str, scored: DataFrame, alpha: float)
 @query(f"WITH {bm25_sql('s')}, {HISTORY}, {_GEO.format(alpha=2.0)}, {ranked_sql('r', 'g', 50)} SELECT * FROM r")
 def bm25_geo_topk(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 with the prior of places, over all items."""
-    return _with_places(spark, sf, R.bm25(with_terms(items(spark, sf)), with_terms(passages(spark, sf))), 2.0)
+    return _with_places(spark, sf, R.bm25_lists(_texts(spark, sf), with_terms(passages(spark, sf)), ["item_location_id"]), 2.0)
 
 
 @query(f"WITH {_BM25F}, {HISTORY}, {_GEO.format(alpha=1.5)}, {ranked_sql('r', 'g', 50)} SELECT * FROM r")
 def bm25f_geo_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Fielded BM25 with the prior of places, over all items."""
-    return _with_places(spark, sf, R.bm25f(_fields(spark, sf), with_terms(passages(spark, sf)), FIELD_WEIGHTS, FIELD_BS), 1.5)
+    return _with_places(spark, sf, R.bm25f_lists(_fields(spark, sf), with_terms(passages(spark, sf)), FIELD_WEIGHTS, FIELD_BS, ["item_location_id"]), 1.5)
 
 
 @query(f"""
@@ -121,8 +125,8 @@ u AS (SELECT query_id, item_id, score FROM c UNION ALL SELECT * FROM extra),
 """)
 def bm25_filled(spark: SparkSession, sf: str) -> DataFrame:
     """A full ranking's tail: queries with too few matches get unmatched items by id."""
-    corpus, qs = with_terms(items(spark, sf), "title"), with_terms(passages(spark, sf))
-    return R.fill(R.top_k(R.bm25(corpus, qs), 60), qs, corpus, 60)
+    corpus, qs = _texts(spark, sf, "title"), with_terms(passages(spark, sf))
+    return R.fill(R.bm25_lists(corpus, qs).best(60), qs, corpus, 60)
 
 
 @query("""

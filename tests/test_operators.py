@@ -246,3 +246,31 @@ def test_sample_weights_use_all_qrels(spark):
 def test_line_search():
     best, score = ranker.line_search(lambda c: -((c["a"] - 2) ** 2) - (c["b"] + 1) ** 2, {"a": 0, "b": 0}, {"a": [0, 1, 2, 3], "b": [-2, -1, 0]})
     assert best == {"a": 2, "b": -1} and score == 0
+
+
+def test_lists_of_repeated_and_missing_ids(spark):
+    """Rows of one id are summed as SQL sums them, and lists equal all pairs' best."""
+    docs = [(1, "a b a"), (1, "a b a"), (1, "a c"), (None, "a"), (None, "b b"), (2, "c d"), (3, None), (4, "")]
+    items = frame(spark, docs, "item_id long, terms string")
+    queries = frame(spark, [(7, ["a", "b", "a"]), (7, ["b"]), (8, ["c", "zz"]), (9, [])], "query_id long, terms array<string>")
+    lists = R.bm25_lists(items, queries)
+    got = {(r.query_id, r.item_id): round(r.score, 6) for r in lists.pairs().collect()}
+    from math import log
+
+    n, avg = 8, (3 + 3 + 2 + 1 + 2 + 2) / 8
+    w = lambda tf, dl, df: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg)) * log(1 + (n - df + 0.5) / (df + 0.5))
+    want = {(7, 1): w(4, 3, 3) + w(2, 3, 2) + w(1, 2, 3), (7, None): w(1, 1, 3) + w(2, 2, 2), (8, 1): w(1, 2, 2), (8, 2): w(1, 2, 2)}
+    assert got == {k: round(v, 6) for k, v in want.items()}
+    best = sorted((r.query_id, r["rank"], r.item_id) for r in lists.best(1).collect())
+    assert best == [(7, 1, 1), (8, 1, 1)]
+
+
+def test_lists_by_blocks_of_queries(spark, monkeypatch):
+    items = frame(spark, [(i, " ".join(f"t{j}" for j in range(1 + i % 7))) for i in range(60)], "item_id long, terms string")
+    queries = frame(spark, [(q, [f"t{q % 5}", "t0"]) for q in range(20)], "query_id long, terms array<string>")
+    get = lambda: sorted(map(tuple, R.bm25_lists(items, queries).best(3).select("query_id", "rank", "item_id", "score").collect()))
+    whole = get()
+    assert len(whole) == 60
+    assert whole == sorted((r.query_id, r["rank"], r.item_id, r.score) for r in R.top_k(R.bm25(items, queries), 3).collect())
+    monkeypatch.setattr(R, "QUERY_BLOCK", 6)
+    assert get() == whole

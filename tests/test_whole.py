@@ -116,3 +116,30 @@ def test_penalty_pairs_are_not_shuffled(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "Aggregate" not in plan
     assert {(r.query_id, r.item_id): r.penalty for r in out.collect()} == {(50, 50): 0.0, (50, 51): 3.0, (50, 100): 4.5, (100, 50): 4.5, (100, 51): 4.5, (100, 100): 3.0}
+
+
+@pytest.mark.parametrize("name", ["ordered_answer_concat", "recall_at_k", "pool_recall_curve"])
+def test_one_channel_is_made_for_one(spark, monkeypatch, copies, name):
+    """What takes one channel doesn't index the other."""
+    from siftline import staging
+
+    seen, real = [], staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: seen.append(name) or real(df, name))
+    assert catalog.QUERIES[name](spark, copies).count() == 1
+    assert [x for x in seen if x.startswith("channel")] == ["channel-text"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["pool_cap", "rrf_fusion", "pair_features", "coverage_jaccard", "channel_gap", "answer_pipeline", "bm25_geo_topk", "bm25f_geo_topk"])
+def test_tokens_are_not_rows(spark, monkeypatch, name):
+    """An index counts the terms of a text where the text is: no row a token, and no shuffle of all pairs that share a term."""
+    from siftline import staging
+
+    plans, real = {}, staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: plans.setdefault(name, []).append(_plan(df)) or real(df, name))
+    _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert all("Generate" not in p and "HashAggregate" not in p for x in ("index-rows", "channel-text", "channel-title") for p in plans.get(x, []))
+    assert plans["index-rows"]
