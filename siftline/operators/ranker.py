@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline import staging
 from siftline.functions import math as M
 from siftline.operators.retrieval import top_k
 
+#: Training pairs a task: a round's jobs cost more than this many rows do.
+TASK_ROWS = 200_000
+
 
 def fit(pairs: DataFrame, features: list[str], seeds: list[int], rounds: int = 200, depth: int = 5, fraction: float = 0.9, step: float = 0.1) -> list[PipelineModel]:
-    """One model a seed; ``pairs`` has label and weight. Missing values count as -999."""
-    models = []
-    for seed in seeds:
+    """One model a seed; ``pairs`` has label and weight. Missing values count as -999.
+
+    Each round takes a dozen small jobs, so the pairs are written once, in as few partitions as their rows need, and the
+    seeds are fitted side by side."""
+    spark = pairs.sparkSession
+    written = staging.stage(_filled(pairs, features).select(*features, F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight")), "ranker-pairs")
+    parts = -(-max(1, written.count()) // TASK_ROWS)
+    rows = written.repartitionByRange(parts, *features, "label", "weight").sortWithinPartitions(*features, "label", "weight") if parts > 1 else written.coalesce(1).sortWithinPartitions(*features, "label", "weight")
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("features", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+
+    @inheritable_thread_target(spark)
+    def one(seed: int) -> PipelineModel:
         trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, subsamplingRate=fraction, stepSize=step, maxBins=127, seed=seed)
-        assembler = VectorAssembler(inputCols=features, outputCol="features")
-        models.append(Pipeline(stages=[assembler, trees]).fit(_filled(pairs, features)))
+        return PipelineModel([assembler, trees.fit(rows)])
+
+    with ThreadPoolExecutor(max(1, len(seeds))) as pool:
+        models = list(pool.map(one, seeds))
+    rows.unpersist()
+    staging.drop(written)
     return models
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline import staging
 from siftline.functions import math as M
 from siftline.functions import text as T
 from siftline.operators import evaluation as E
 from siftline.operators import features as X
 from siftline.operators import retrieval as R
 from siftline.plans.fusion import POOL, pool
-from siftline.plans.registry import items, passages, query, ranked_sql, table, tok
+from siftline.plans.registry import items, passages, query, ranked_sql, spread, table, tok
 
 PLACE = "CASE {x} % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'es' ELSE 'fr' END"
 
@@ -136,12 +137,12 @@ def gbt_rank_top50(spark: SparkSession, sf: str) -> DataFrame:
     """The trained ranker's answer: gradient-boosted trees of three seeds on weighted, sampled pairs."""
     from siftline.operators import ranker, sampling
 
-    pairs = labelled_pairs(spark, sf).persist()
+    pairs = staging.stage(labelled_pairs(spark, sf), "ranker-pool")
     qrels = pairs.where("label = 1").select("query_id", "item_id")
     train = sampling.negatives(pairs.withColumn("rank", F.col("c0_rank")))
     train = sampling.sample_weights(train, qrels)
     models = ranker.fit(train, FEATURES, seeds=[1, 2, 3])
-    return ranker.predict(pairs, models, FEATURES)
+    return ranker.predict(spread(pairs), models, FEATURES)
 
 
 @query("""

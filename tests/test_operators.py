@@ -274,3 +274,12 @@ def test_lists_by_blocks_of_queries(spark, monkeypatch):
     assert whole == sorted((r.query_id, r["rank"], r.item_id, r.score) for r in R.top_k(R.bm25(items, queries), 3).collect())
     monkeypatch.setattr(R, "QUERY_BLOCK", 6)
     assert get() == whole
+
+
+def test_models_do_not_hang_on_partitions(spark):
+    """Training rows are put in order, in as few partitions as they need, whatever they came in."""
+    from siftline.operators import ranker
+
+    rows = spark.range(400).selectExpr("id % 4 as query_id", "id as item_id", "cast(id % 37 as double) as x", "cast(id % 11 as double) as y", "cast(id % 37 > 20 and id % 3 > 0 as int) as label", "1.0D as weight")
+    get = lambda n: sorted(map(tuple, ranker.predict(rows, ranker.fit(rows.repartition(n), ["x", "y"], [1, 2], rounds=2), ["x", "y"]).collect()))
+    assert get(1) == get(7)
