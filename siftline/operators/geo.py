@@ -49,6 +49,7 @@ def rank_with_prior(scored: DataFrame | R.Lexical, queries: DataFrame, items: Da
     places = items.select("item_id", "item_location_id")
     searched = asked.select("search_location_id").distinct()
     known = log_prior(trans.select("search_location_id", "item_location_id", "p").unionByName(searched.select("search_location_id", F.col("search_location_id").alias("item_location_id"), F.lit(own).alias("p"))), floor, own)
+    known = staging.stage(known, "prior")  # it is read several times, and comes from the whole history
     first = Window.partitionBy("item_location_id").orderBy("item_id")
     few = places.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
     near = searched.join(known, "search_location_id").join(few, "item_location_id")
@@ -60,12 +61,13 @@ def rank_with_prior(scored: DataFrame | R.Lexical, queries: DataFrame, items: Da
         near = near.join(held, ["query_id", "item_id"], "left_anti").join(asked, "query_id").join(places, "item_id").join(known, ["search_location_id", "item_location_id"], "left")
         near = near.select("query_id", "item_id", (alpha * F.coalesce("log_p", F.lit(math.log(floor)))).alias("score"))
         best = lists.best(k, R.Bonus(known, asked, "item_location_id", alpha, floor)).select("query_id", "item_id", "score")
-        return R.fill(R.top_k(best.unionByName(near), k), asked, items, k, alpha * math.log(floor))
+        ranked = staging.stage(R.top_k(best.unionByName(near), k), "ranked")  # fill reads it several times
+        return R.fill(ranked, asked, items, k, alpha * math.log(floor))
     matches = scored.select("query_id", "item_id", "score")
     both = matches.unionByName(near.join(matches, ["query_id", "item_id"], "left_anti"))
     score = F.round("score", 6) + alpha * F.coalesce("log_p", F.lit(math.log(floor)))
     met = both.join(asked, "query_id").join(places, "item_id").join(known, ["search_location_id", "item_location_id"], "left")
-    ranked = R.top_k(met.select("query_id", "item_id", score.alias("score")), k)
+    ranked = staging.stage(R.top_k(met.select("query_id", "item_id", score.alias("score")), k), "ranked")
     return R.fill(ranked, asked, items, k, alpha * math.log(floor))
 
 

@@ -283,3 +283,33 @@ def test_models_do_not_hang_on_partitions(spark):
     rows = spark.range(400).selectExpr("id % 4 as query_id", "id as item_id", "cast(id % 37 as double) as x", "cast(id % 11 as double) as y", "cast(id % 37 > 20 and id % 3 > 0 as int) as label", "1.0D as weight")
     get = lambda n: sorted(map(tuple, ranker.predict(rows, ranker.fit(rows.repartition(n), ["x", "y"], [1, 2], rounds=2), ["x", "y"]).collect()))
     assert get(1) == get(7)
+
+
+def test_tokens_in_bulk_are_those_of_the_expression(spark):
+    """Of texts with every character that has a neighbour, and of slices with nulls and empty texts."""
+    import pyarrow as pa
+
+    from siftline.functions import text as T
+
+    every = [chr(c) for c in range(1, 0x3000)] + ["\U0001f600", "\ufb01", "\uff21"]
+    texts = [None, "", "a", *[f"Б{c}z" for c in every], "", *["".join(every[i : i + 9]) for i in range(0, len(every), 9)], None, "ё Ё", "x" * 70_000, "y"]
+    rows = frame(spark, [(i, t) for i, t in enumerate(texts)], "i long, t string")
+    want = [r.t for r in rows.select("i", T.tokens(F.col("t")).alias("t")).orderBy("i").collect()]
+    for a, b in ((0, len(texts)), (1, 3), (2, 500), (0, 2), (5, 5)):
+        words, lens = R.tokenized(pa.array(texts, pa.string()).slice(a, b - a))
+        assert words.to_pylist() == [w for x in want[a:b] for w in x] and lens.tolist() == [len(x) for x in want[a:b]]
+
+
+def test_index_counts_texts_as_arrays(spark, monkeypatch):
+    """Texts that are cut to pieces have the counts of their arrays of terms, in two fields."""
+    from siftline.functions import text as T
+
+    monkeypatch.setattr(R, "TEXT_BYTES", 20)
+    texts = frame(spark, [(1, "a b a Ё", "b"), (2, None, "c c"), (3, "", None), (4, "d " * 40 + "a", "a")], "item_id long, x string, y string")
+    queries = frame(spark, [(1, ["a", "b", "е"]), (2, ["c", "d"])], "query_id long, terms array<string>")
+    both = texts, texts.withColumns({c: T.tokens(F.col(c)) for c in "xy"})
+    found = [R.index(t, queries, ["x", "y"]) for t in both]
+    flat = [sorted((r.item_id, list(r.lens), sorted(zip(r.code, r.tf, r.dl))) for r in ix.rows.collect()) for ix in found]
+    assert flat[0] == flat[1] and found[0].avg == found[1].avg
+    assert found[0].df().tolist() == found[1].df().tolist() == [2.0, 1.0, 1.0, 1.0, 1.0]
+    assert found[0].only("y").df().tolist() == [1.0, 1.0, 1.0, 0.0, 0.0]

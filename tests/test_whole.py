@@ -177,3 +177,14 @@ def test_tokens_are_not_rows(spark, monkeypatch, name):
     _plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert all("Generate" not in p and "HashAggregate" not in p for x in ("index-rows", "channel-text", "channel-title") for p in plans.get(x, []))
     assert plans["index-rows"]
+
+
+@pytest.mark.parametrize("name", ["bm25_geo_topk", "bm25f_geo_topk"])
+def test_history_and_scores_are_read_once(spark, monkeypatch, name):
+    """The prior and the ranking are written before they are used several times."""
+    from siftline import staging
+
+    read, real = [], staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, what: read.append("lineitem" in _plan(df)) or real(df, what))
+    out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in _plan(out) and "MapInArrow" not in _plan(out) and sum(read) == 1
