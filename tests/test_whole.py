@@ -188,3 +188,9 @@ def test_history_and_scores_are_read_once(spark, monkeypatch, name):
     monkeypatch.setattr(staging, "stage", lambda df, what: read.append("lineitem" in _plan(df)) or real(df, what))
     out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert "lineitem" not in _plan(out) and "MapInArrow" not in _plan(out) and sum(read) == 1
+
+
+@pytest.mark.parametrize("name", ["coverage_jaccard", "answer_pipeline"])
+def test_only_the_items_of_the_pool_are_analysed(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "MapInArrow" not in plan
