@@ -48,8 +48,9 @@ def rank_with_prior(scored: DataFrame | R.Lexical, queries: DataFrame, items: Da
     asked = queries.select("query_id", "search_location_id")
     places = items.select("item_id", "item_location_id")
     searched = asked.select("search_location_id").distinct()
-    known = log_prior(trans.select("search_location_id", "item_location_id", "p").unionByName(searched.select("search_location_id", F.col("search_location_id").alias("item_location_id"), F.lit(own).alias("p"))), floor, own)
-    known = staging.stage(known, "prior")  # it is read several times, and comes from the whole history
+    trans = staging.stage(trans.select("search_location_id", "item_location_id", "p"), "transitions")  # the prior reads it twice, and it comes from the whole history
+    known = log_prior(trans.unionByName(searched.select("search_location_id", F.col("search_location_id").alias("item_location_id"), F.lit(own).alias("p"))), floor, own)
+    known = staging.stage(known, "prior")  # it is read several times
     first = Window.partitionBy("item_location_id").orderBy("item_id")
     few = places.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
     near = searched.join(known, "search_location_id").join(few, "item_location_id")

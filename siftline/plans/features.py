@@ -22,14 +22,17 @@ def _place(c):
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pool pairs with what both sides bring: token sets are made once a query and once an item of the pool, before the join."""
+    """Pool pairs with what both sides bring: token sets are made once a query and once an item of the pool, before the join.
+
+    The pool's ids are sent to all tasks, so that whole texts aren't shuffled to find them."""
     pairs = staging.stage(pool(spark, sf), "pool")
     pooled = staging.stage(pairs.select("item_id").distinct(), "pool-items")
     q = passages(spark, sf).select("query_id", T.token_set(F.col("text")).alias("q_tokens"), F.substring("text", 1, 12).alias("q_text"), _place(F.col("query_id")).alias("q_place"), T.n_words(F.col("text")).alias("query_words"))
     q = q.withColumn("q_filter_tokens", F.slice("q_tokens", 1, 3))
-    i = items(spark, sf).join(staging.lookup(pooled), "item_id", "left_semi").select(
-        "item_id", "title", "lang", "source", "n_chars", T.token_set(F.col("title")).alias("title_tokens"), T.token_set(T.char_slice(F.col("text"), 0, 600)).alias("param_tokens"),
-        T.token_set(T.char_slice(F.col("text"), 0, 300)).alias("core_tokens"), T.token_set(T.char_slice(F.col("text"), 300, 600)).alias("service_tokens"),
+    head = items(spark, sf).select("item_id", "title", "lang", "source", "n_chars", T.char_slice(F.col("text"), 0, 600).alias("head"))
+    i = head.join(staging.lookup(pooled, staging.SMALL_IDS), "item_id", "left_semi").select(
+        "item_id", "title", "lang", "source", "n_chars", T.token_set(F.col("title")).alias("title_tokens"), T.token_set(F.col("head")).alias("param_tokens"),
+        T.token_set(T.char_slice(F.col("head"), 0, 300)).alias("core_tokens"), T.token_set(T.char_slice(F.col("head"), 300, 600)).alias("service_tokens"),
     )
     return pairs.join(q, "query_id").join(i, "item_id")
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LOCAL_FALLBACK = "file:///tmp/checkpoints"
 #: Rows up to which a written table of few columns is sent to all executors: a few MB.
 SMALL_ROWS = 20_000
+#: The same for a table of one number: some 20 MB.
+SMALL_IDS = 1_000_000
 _announced: set[str] = set()
 
 
@@ -53,11 +55,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def lookup(table: DataFrame) -> DataFrame:
-    """A written table of few columns for joins: broadcast if its rows are counted to be few, else as it is.
+def lookup(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table of few columns for joins: broadcast if its rows are counted to be few (``most``), else as it is.
 
     A table of many rows lies in many small files, so that its size in bytes alone would tell Spark little."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+    return F.broadcast(table) if table.count() <= (SMALL_ROWS if most is None else most) else table
 
 
 def _delete(spark: SparkSession, path: str) -> None:

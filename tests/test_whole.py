@@ -181,6 +181,97 @@ def test_nearest_lists_are_cut_early(spark, monkeypatch):
     assert len(got) == 2048 * 50 and peak < 40e6
 
 
+def _peak(run, batches):
+    """Rows, and the most bytes that were allocated while they came."""
+    import tracemalloc
+
+    tracemalloc.start()
+    got = list(run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return got, peak
+
+
+def test_texts_are_counted_in_small_pieces():
+    """8 MB of texts of 8 KB, without work tables of many times a piece of 4 MB."""
+    import pyarrow as pa
+
+    from siftline.operators import retrieval as R
+
+    texts = [f"alpha {i} beta gamma-Delta ё " * 300 for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["item_id", "text"])
+    got, peak = _peak(R._counted(["text"], {"alpha": 0, "delta": 1, "е": 2, "none": 3}, 0), [batch])
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["item_id"] for r in rows] == list(range(1000))
+    assert all(r["lens"] == [1800] and r["code"] == [0, 1, 2] and r["tf"] == [300] * 3 and r["dl"] == [1800] * 3 for r in rows)
+    assert peak < 30e6
+
+
+@pytest.mark.parametrize("negative", [False, True])
+def test_lists_hold_few_candidates_and_are_exact(negative):
+    """200 queries with common and rare terms, lists of 500, many ties, against all pairs; signed parts may cancel."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from siftline.operators import retrieval as R
+
+    rng = np.random.default_rng(2)
+    n_items, n_terms, n_queries = 20_000, 60, 200
+    has = rng.random((n_items, n_terms)) < 0.2
+    tf = np.where(has, rng.integers(1, 4, has.shape), 0)
+    asks = rng.random((n_terms, n_queries)) < np.where(np.arange(n_terms) < 20, 0.3, 0.01)[:, None]
+    at = np.argwhere(asks)
+    first = np.searchsorted(at[:, 0], np.arange(n_terms + 1))
+    item, code = np.nonzero(has)
+    offsets = pa.array(np.searchsorted(item, np.arange(n_items + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (code, tf[has], np.ones(len(code)))]
+    table = pa.Table.from_arrays([pa.array(range(n_items - 1, -1, -1)), *lists, pa.array(["a"] * n_items)], names=["item_id", "code", "tf", "dl", "place"])
+    sign = np.where(np.arange(n_terms) % 2 == 1, -1.0, 1.0) if negative else np.ones(n_terms)
+    ix = SimpleNamespace(terms=range(n_terms), fields=["f"], picked=["f"], repeated=False)
+    how = R.Lexical(ix, lambda field, tf, dl: tf, lambda total, term: total * sign[term])
+    got, peak = _peak(R._scoring(how, pa.array(range(n_queries)), first, at[:, 1], 500, None), table.to_batches(max_chunksize=4000))
+    got = pa.Table.from_batches(got).to_pandas()
+    score, shared = (tf * sign) @ asks, (has.astype(int) @ asks.astype(int)) > 0
+    for q in (0, 1, 7, 199):
+        want = sorted((-score[i, q], n_items - 1 - i) for i in np.flatnonzero(shared[:, q]))[:500]
+        mine = got[got["query_id"] == q].sort_values(["score", "item_id"], ascending=[False, True])
+        assert list(zip(-mine["score"], mine["item_id"])) == want
+    assert peak < 60e6
+    every = pa.Table.from_batches(list(R._scoring(how, pa.array(range(n_queries)), first, at[:, 1], None, None)(iter(table.to_batches()[:1])))).num_rows
+    assert every == shared.sum()
+
+
+def test_history_is_joined_once(spark, monkeypatch):
+    """The prior reads written transitions."""
+    from siftline import staging
+
+    plans, real = {}, staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: plans.update({name: _plan(df)}) or real(df, name))
+    assert catalog.QUERIES["bm25_geo_topk"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "l_suppkey" in plans["transitions"] and "l_suppkey" not in plans["prior"]
+
+
+def test_whole_texts_are_not_shuffled_to_the_pool(spark, monkeypatch, copies):
+    """Even where the pool's items are more than a lookup of several columns may have."""
+    import re
+
+    from siftline import staging
+    from siftline.plans import features
+
+    monkeypatch.setattr(staging, "SMALL_ROWS", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = features._pairs(spark, copies)
+        text = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    keyed = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning", text)
+    assert keyed and not any(re.search(r"\btext#", x) for x in keyed), keyed
+
+
 @pytest.mark.parametrize("name", ["ordered_answer_concat", "recall_at_k", "pool_recall_curve"])
 def test_one_channel_is_made_for_one(spark, monkeypatch, copies, name):
     """What takes one channel doesn't index the other."""
