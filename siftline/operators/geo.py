@@ -54,18 +54,18 @@ def rank_with_prior(scored: DataFrame | R.Lexical, queries: DataFrame, items: Da
     first = Window.partitionBy("item_location_id").orderBy("item_id")
     few = places.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r")
     near = searched.join(known, "search_location_id").join(few, "item_location_id")
-    near = R.top_k(near.select(F.col("search_location_id").alias("query_id"), "item_id", F.col("log_p").alias("score")), k).select(F.col("query_id").alias("search_location_id"), "item_id")
-    near = asked.join(near, "search_location_id").select("query_id", "item_id", F.lit(0.0).alias("score"))
+    near = R.top_k(near.select(F.col("search_location_id").alias("query_id"), "item_id", "log_p", F.col("log_p").alias("score")), k).select(F.col("query_id").alias("search_location_id"), "item_id", "log_p")
+    near = asked.join(near, "search_location_id").select("query_id", "item_id", F.lit(0.0).alias("score"), "log_p")
     if lists is not None:
         near = staging.stage(near, "near")
         held = replace(lists, ix=lists.ix.of(near)).pairs()
-        near = near.join(held, ["query_id", "item_id"], "left_anti").join(asked, "query_id").join(places, "item_id").join(known, ["search_location_id", "item_location_id"], "left")
-        near = near.select("query_id", "item_id", (alpha * F.coalesce("log_p", F.lit(math.log(floor)))).alias("score"))
+        # What lies near comes with its place's prior, so that no item is looked for once more.
+        near = near.join(held, ["query_id", "item_id"], "left_anti").select("query_id", "item_id", (alpha * F.col("log_p")).alias("score"))
         best = lists.best(k, R.Bonus(known, asked, "item_location_id", alpha, floor)).select("query_id", "item_id", "score")
         ranked = staging.stage(R.top_k(best.unionByName(near), k), "ranked")  # fill reads it several times
         return R.fill(ranked, asked, items, k, alpha * math.log(floor))
     matches = scored.select("query_id", "item_id", "score")
-    both = matches.unionByName(near.join(matches, ["query_id", "item_id"], "left_anti"))
+    both = matches.unionByName(near.drop("log_p").join(matches, ["query_id", "item_id"], "left_anti"))
     score = F.round("score", 6) + alpha * F.coalesce("log_p", F.lit(math.log(floor)))
     met = both.join(asked, "query_id").join(places, "item_id").join(known, ["search_location_id", "item_location_id"], "left")
     ranked = staging.stage(R.top_k(met.select("query_id", "item_id", score.alias("score")), k), "ranked")

@@ -314,3 +314,41 @@ def test_history_and_scores_are_read_once(spark, monkeypatch, name):
 def test_only_the_items_of_the_pool_are_analysed(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "MapInArrow" not in plan
+
+
+def test_postings_are_stored_as_bytes(spark, monkeypatch):
+    """Spark copies an item's numbers, without a step for each; the arrays are a view of them."""
+    from siftline import staging
+    from siftline.operators import retrieval as R
+
+    kinds, real = {}, staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: kinds.update({name: dict(df.dtypes)}) or real(df, name))
+    queries = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "d"])], "query_id long, terms array<string>")
+    for ids in ((1, 2, 3), (1, 1, 3)):  # the second time rows of one item are merged
+        items = spark.createDataFrame([(ids[0], "a b a", "c"), (ids[1], "x " * 70_000 + "d " * 70_000, None), (ids[2], None, "")], "item_id long, x string, y string")
+        ix = R.index(items, queries, ["x", "y"])
+        name = "index-merged" if ix.repeated else "index-rows"
+        assert ix.repeated == (ids[0] == ids[1]) and kinds[name]["code"] == kinds[name]["tf"] == "binary" and "dl" not in kinds[name]
+        got = sorted((r.item_id, c, tf, dl) for r in ix.rows.collect() for c, tf, dl in zip(r.code, r.tf, r.dl))
+        assert got == sorted([(ids[0], 0, 2, 3), (ids[0], 1, 1, 3), (ids[0], 6, 1, 1), (ids[1], 3, 70_000, 140_000)])
+        assert ix.only("x").df().tolist() == [1, 1, 0, 1] and ix.only("y").df().tolist() == [0, 0, 1, 0] and ix.df().tolist() == [1, 1, 1, 1]
+
+
+def test_fields_are_counted_in_one_pass(spark, monkeypatch, copies):
+    """Both channels' document frequencies come from one reading of the index."""
+    from siftline.operators import retrieval as R
+
+    seen, real = [], R._held_by
+    monkeypatch.setattr(R, "_held_by", lambda *x: seen.append(x) or real(*x))
+    assert catalog.QUERIES["channel_gap"](spark, copies).count() > 0
+    assert len(seen) == 1
+
+
+def test_what_lies_near_brings_its_prior(spark, monkeypatch):
+    """No item of the corpus is looked for once more to rank it."""
+    from siftline import staging
+
+    plans, real = {}, staging.stage
+    monkeypatch.setattr(staging, "stage", lambda df, name: plans.update({name: _plan(df)}) or real(df, name))
+    catalog.QUERIES["bm25_geo_topk"](spark, "/root/testdata/sf0.001")
+    assert "doc_id" in plans["near"] and "doc_id" not in plans["ranked"]
