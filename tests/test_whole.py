@@ -352,3 +352,27 @@ def test_what_lies_near_brings_its_prior(spark, monkeypatch):
     monkeypatch.setattr(staging, "stage", lambda df, name: plans.update({name: _plan(df)}) or real(df, name))
     catalog.QUERIES["bm25_geo_topk"](spark, "/root/testdata/sf0.001")
     assert "doc_id" in plans["near"] and "doc_id" not in plans["ranked"]
+
+
+def test_words_are_found_without_strings(monkeypatch):
+    """Words of 16 bytes or fewer are looked up as numbers, also where several terms want one slot; longer ones as strings."""
+    import random
+
+    import pyarrow as pa
+
+    from siftline.operators import retrieval as R
+
+    made, real, rng = [], R._words, random.Random(3)
+    monkeypatch.setattr(R, "_words", lambda joined, sizes: made.append(sizes) or real(joined, sizes))
+    monkeypatch.setattr(R._Vocabulary, "_slots", lambda self, a, b: (a % 7).astype("int64"))  # seven slots are wanted by all
+    word = lambda: "".join(rng.choice("abя") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 30])))
+    terms = sorted({word() for _ in range(300)} | {"a" * 8, "a" * 9, "a" * 16, "a" * 17, "я" * 8})
+    texts = [" ".join(rng.choice(terms) if rng.random() < 0.6 else word() for _ in range(50)) for _ in range(40)] + [None, "", "A" * 16, "aaaaaaaaa"]
+    for mine in (terms, [t for t in terms if len(t.encode()) <= 16], []):
+        del made[:]
+        row, code, n, lens = R._text_counts(pa.array(texts), R._Vocabulary(mine))
+        want = [(i, t) for i, x in enumerate(texts) for t in (x or "").lower().split()]
+        assert lens.tolist() == [len((x or "").split()) for x in texts]
+        found = sorted((i, mine.index(t)) for i, t in want if t in mine)
+        assert sorted((i, c) for i, c, k in zip(row.tolist(), code.tolist(), n.tolist()) for _ in range(k)) == found
+        assert not made or (mine is terms and all(s > 16 for x in made for s in x))
